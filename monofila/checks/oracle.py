@@ -399,6 +399,32 @@ def oracle_queries() -> dict[str, str]:
             m_not_in_catalogue AS "No homologado", m_incomplete_territory AS "Territorio incompleto",
             m_invalid_date AS "Fecha inválida", m_critical AS "Registro crítico" FROM consolidated"""
         ),
+        "q_rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us,
+            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+            walk AS (SELECT event_id, user_id, i, 1 AS accepted, [us] AS recent FROM e WHERE i = 1
+            UNION ALL SELECT e.event_id, e.user_id, e.i,
+              CASE WHEN len(list_filter(w.recent, lambda a: e.us - a < 86400000000)) < 3 THEN 1 ELSE 0 END,
+              CASE WHEN len(list_filter(w.recent, lambda a: e.us - a < 86400000000)) < 3
+                THEN list_append(list_filter(w.recent, lambda a: e.us - a < 86400000000), e.us) ELSE w.recent END
+            FROM walk w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+            SELECT event_id, user_id, accepted FROM walk""",
+        "q_lockouts": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type = 'error' AS failed,
+            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+            walk AS (SELECT event_id, user_id, i, CASE WHEN failed THEN 'fail' ELSE 'ok' END AS outcome,
+              CASE WHEN failed THEN 1 ELSE 0 END AS streak, CAST(0 AS BIGINT) AS until FROM e WHERE i = 1
+            UNION ALL SELECT e.event_id, e.user_id, e.i,
+              CASE WHEN w.until > e.us THEN 'refused' WHEN NOT e.failed THEN 'ok' WHEN w.streak + 1 >= 3 THEN 'lock' ELSE 'fail' END,
+              CASE WHEN w.until > e.us THEN w.streak WHEN NOT e.failed OR w.streak + 1 >= 3 THEN 0 ELSE w.streak + 1 END,
+              CASE WHEN w.until <= e.us AND e.failed AND w.streak + 1 >= 3 THEN e.us + 86400000000 ELSE w.until END
+            FROM walk w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+            SELECT event_id, user_id, outcome FROM walk""",
+        "q_failure_streaks": """WITH e AS (SELECT *, event_type = 'error' AS failed,
+            sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)
+            SELECT user_id, CAST(island AS BIGINT) AS n_successes_before, count(*) AS n_failures,
+            arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id, CAST(min(ts) AS DATE) AS first_on
+            FROM e WHERE failed GROUP BY user_id, island""",
+        "q_retention": """SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day FROM events
+            WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 15 DAY""",
         "q_report_json": _on_consolidated(
             "SELECT '{\"period\":\"' || period || '\",\"channel\":\"' || channel || '\",\"n\":' || n || ',\"effective\":' || effective "
             "|| ',\"duplicated\":' || duplicated || '}' AS payload FROM (" + _TREND_BY_CHANNEL.format(and_tenant="") + ")"

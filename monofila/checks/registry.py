@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from monofila.functions.columns import blank_to_null, department_label, strip_blank
 from monofila.operators import consolidate as C
+from monofila.operators import events as E
 from monofila.operators import profiles as P
 from monofila.operators import universe as U
 from monofila.plans import reports as R
@@ -185,5 +186,14 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         ),
         "q_pivot_period_channel": lambda b: R.pivot_period_channel(b.consolidated),
         "q_report_table": lambda b: R.report_table(b.consolidated),
+        # events
+        "q_rate_limit": lambda b: E.rate_limit(b.table("events"), window_seconds=86_400),
+        "q_lockouts": lambda b: E.lockouts(
+            b.table("events"), F.col("event_type") == "error", failures=3, lock_seconds=86_400
+        ),
+        "q_failure_streaks": lambda b: E.failure_streaks(b.table("events"), F.col("event_type") == "error"),
+        "q_retention": lambda b: E.retain(b.table("events")).select(
+            "event_id", "user_id", "event_type", F.col("ts").cast("date").alias("day")
+        ),
         "q_report_json": lambda b: R.as_json(R.trend_by_channel(b.consolidated)),
     }
