@@ -73,8 +73,12 @@ def replace_tenants(df: DataFrame, path: str, tenants: Iterable[int]) -> dict[in
 
 
 def replace_shared(df: DataFrame, path: str) -> None:
-    """Full replace of a table all tenants share."""
-    df.write.mode("overwrite").parquet(path)
+    """Full replace of a table all tenants share.
+
+    Written aside first: a plain overwrite would drop the old table even when the new
+    rows turn out not to fit. Such tables are small.
+    """
+    write_scratch(df, "shared").write.mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, tenant: int | None = None, single_file: bool = False) -> None:
