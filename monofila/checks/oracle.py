@@ -264,6 +264,13 @@ _TREND_BY_CHANNEL = f"""SELECT period, channel, count(*) AS n, {_sum('is_effecti
   FROM consolidated WHERE period IS NOT NULL {{and_tenant}} GROUP BY period, channel"""
 
 
+def _hash(seed: str, key: str) -> str:
+    return f"CAST('0x' || left(md5('{seed}:' || CAST({key} AS VARCHAR)), 15) AS BIGINT)"
+
+
+_WEIGHT = 93.5 + 2.4 + 2.1 + 1.9 + 0.1
+
+
 def oracle_queries() -> dict[str, str]:
     flags = "tenant, person_key, m_not_in_catalogue, m_empty_document, m_incomplete_territory, m_invalid_date, m_critical"
     per_code = """, used AS (SELECT try_cast(trim(doc_type) AS INTEGER) AS code, count(*) AS n FROM s_official GROUP BY ALL)
@@ -399,6 +406,51 @@ def oracle_queries() -> dict[str, str]:
             m_not_in_catalogue AS "No homologado", m_incomplete_territory AS "Territorio incompleto",
             m_invalid_date AS "Fecha inválida", m_critical AS "Registro crítico" FROM consolidated"""
         ),
+        "q_load_blank_to_null": _staged(
+            "SELECT tenant, id, " + ", ".join(
+                f"nullif(trim({c}), '') AS {c}"
+                for c in ("doc_type", "doc_num", "filed", "requested", "status", "regime", "dane", "advisor")
+            ) + " FROM s_web"
+        ),
+        "q_width_violations": _staged(" UNION ALL ".join(
+            f"SELECT tenant, id, '{c}' AS \"column\", '{problem}' AS problem, CAST(length({c}) AS INTEGER) AS length, left({c}, 60) AS value "
+            f"FROM s_desk WHERE {test}"
+            for c, problem, test in (
+                ("doc_type", "too_long", "length(doc_type) > 3"),
+                ("doc_num", "not_integer", "doc_num IS NOT NULL AND try_cast(doc_num AS INTEGER) IS NULL"),
+                ("regime", "too_long", "length(regime) > 12"),
+                ("advisor", "not_integer", "advisor IS NOT NULL AND try_cast(advisor AS INTEGER) IS NULL"),
+            )
+        )),
+        "q_input_completeness": """WITH received AS (SELECT DISTINCT CASE WHEN o_orderkey % 8 < 4 THEN 0 ELSE 1 END AS tenant,
+            CASE o_orderpriority WHEN '5-LOW' THEN 'AFILIACIONES.csv' WHEN '2-HIGH' THEN 'DIGITAL.csv' WHEN '1-URGENT' THEN 'SAT.csv'
+            ELSE o_orderpriority || '.csv' END AS file FROM orders),
+            expected AS (SELECT tenant, unnest(['HOMOLOGACION_DOCUMENTOS.csv', 'AFILIACIONES.csv', 'DIGITAL.csv', 'SAT.csv',
+            'PROCESO_IRL.csv', 'XML.csv']) AS file FROM (SELECT DISTINCT tenant FROM received))
+            SELECT *, 'missing' AS problem FROM (SELECT * FROM expected EXCEPT SELECT * FROM received)
+            UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM received EXCEPT SELECT * FROM expected)""",
+        "q_cohort_split": f"""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY {_hash('cohorts', 'c_custkey')}, c_custkey) - 1 AS place,
+            count(*) OVER () AS n FROM customer),
+            c AS (SELECT *, CAST(floor(n * CAST(0.065 AS DOUBLE)) AS BIGINT) AS a FROM r)
+            SELECT c_custkey, CASE WHEN place < a THEN 'none' WHEN place < a + CAST(floor((n - a) * CAST(0.73 AS DOUBLE)) AS BIGINT)
+            THEN 'own' ELSE 'other' END AS cohort FROM c""",
+        "q_weighted_draw": f"""WITH u AS (SELECT o_orderkey, {_hash('status', 'o_orderkey')} / CAST(1152921504606846976 AS DOUBLE) AS u FROM orders)
+            SELECT o_orderkey, CASE WHEN u < {93.5 / _WEIGHT}::DOUBLE THEN 'RADICADO' WHEN u < {(93.5 + 2.4) / _WEIGHT}::DOUBLE THEN 'ANULADO'
+            WHEN u < {(93.5 + 2.4 + 2.1) / _WEIGHT}::DOUBLE THEN 'SIN-PRERADICAR' WHEN u < {(93.5 + 2.4 + 2.1 + 1.9) / _WEIGHT}::DOUBLE
+            THEN 'RECHAZADO' ELSE 'DEVOLUCIÓN' END AS status FROM u""",
+        "q_duplicate_injection": f"""WITH f AS (SELECT o_orderkey AS id, o_custkey AS person, o_orderpriority AS channel,
+            row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_hash('inject', 'o_orderkey')}, o_orderkey) - 1 AS place,
+            count(*) OVER (PARTITION BY o_orderpriority) AS n, {_hash('inject-donor', 'o_orderkey')} AS draw FROM orders),
+            k AS (SELECT *, CASE WHEN place < floor(n * CAST(0.012 AS DOUBLE)) THEN 'multi'
+              WHEN place < floor(n * CAST(0.012 AS DOUBLE)) + floor(n * CAST(0.06 AS DOUBLE)) THEN 'internal' END AS injected FROM f),
+            s AS (SELECT own.channel AS own, o.channel AS other, o.n,
+              sum(o.n) OVER (PARTITION BY own.channel ORDER BY o.channel) - o.n AS start, sum(o.n) OVER (PARTITION BY own.channel) AS pool
+              FROM (SELECT DISTINCT channel FROM f) own JOIN (SELECT DISTINCT channel, n FROM f) o ON o.channel <> own.channel),
+            d AS (SELECT k.id, s.other AS source, k.draw % s.pool - s.start AS at FROM k JOIN s ON s.own = k.channel
+              AND k.draw % s.pool >= s.start AND k.draw % s.pool < s.start + s.n WHERE k.injected = 'multi'
+              UNION ALL SELECT id, channel, draw % n FROM k WHERE injected = 'internal')
+            SELECT k.id, coalesce(p.person, k.person) AS person, k.channel, k.injected FROM k LEFT JOIN d ON d.id = k.id
+            LEFT JOIN f p ON p.channel = d.source AND p.place = d.at""",
         "q_rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us,
             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
             walk AS (SELECT event_id, user_id, i, 1 AS accepted, [us] AS recent FROM e WHERE i = 1

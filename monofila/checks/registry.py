@@ -8,14 +8,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monofila.functions.columns import blank_to_null, department_label, strip_blank
+from monofila.functions.columns import department_label, lookup, strip_blank
 from monofila.operators import consolidate as C
 from monofila.operators import events as E
 from monofila.operators import profiles as P
+from monofila.operators import sampling as M
 from monofila.operators import universe as U
 from monofila.plans import reports as R
 from monofila.rules import DESK, OFFICIAL, WEB, Rules
+from monofila.schemas import INTEGER, SOURCES
 from monofila.sources import staged as S
+from monofila.sources.delimited import completeness, violations
 from monofila.sources.storage import write_scratch
 
 RULES = Rules()
@@ -118,6 +121,41 @@ def _per_code(b: Bench, only_shared: bool) -> DataFrame:
     )
 
 
+def _blank_to_null(b: Bench) -> DataFrame:
+    """Every text of the web channel, surrounded by mixed blanks, as loaded."""
+    texts = ("doc_type", "doc_num", "filed", "requested", "status", "regime", "dane", "advisor")
+    noisy = [F.concat(F.lit("\t "), F.coalesce(t, F.lit("")), F.lit(" \r\n")).alias(t) for t in texts]
+    return b.web.select("tenant", "id", *noisy).select("tenant", "id", *[strip_blank(F.col(t)).alias(t) for t in texts])
+
+
+def _width_violations(b: Bench) -> DataFrame:
+    rules = {"doc_type": 3, "doc_num": INTEGER, "regime": 12, "advisor": INTEGER}
+    return violations(b.desk, rules, "tenant", "id")
+
+
+def _input_completeness(b: Bench) -> DataFrame:
+    """File names as each tenant's rows announce them, against the six expected."""
+    files = {"5-LOW": "AFILIACIONES.csv", "2-HIGH": "DIGITAL.csv", "1-URGENT": "SAT.csv"}
+    orders = b.table("orders").select(
+        F.expr("CASE WHEN o_orderkey % 8 < 4 THEN 0 ELSE 1 END").alias("tenant"),
+        F.coalesce(lookup(F.col("o_orderpriority"), files), F.concat("o_orderpriority", F.lit(".csv"))).alias("file"),
+    )
+    expected = orders.select("tenant").distinct().select(
+        "tenant", F.explode(F.array(*[F.lit(s.file) for s in SOURCES])).alias("file")
+    )
+    return completeness(orders, expected, "tenant")
+
+
+STATUS_WEIGHTS = (("RADICADO", 93.5), ("ANULADO", 2.4), ("SIN-PRERADICAR", 2.1), ("RECHAZADO", 1.9), ("DEVOLUCIÓN", 0.1))
+COHORTS = (("none", 0.065), ("own", 0.73))
+
+
+def _filings(b: Bench) -> DataFrame:
+    return b.table("orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), F.col("o_orderpriority").alias("channel")
+    )
+
+
 def _universe(b: Bench) -> DataFrame:
     return b.universe.withColumn("filed_at", F.date_format("filed_at", "yyyy-MM-dd HH:mm:ss"))
 
@@ -186,6 +224,17 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         ),
         "q_pivot_period_channel": lambda b: R.pivot_period_channel(b.consolidated),
         "q_report_table": lambda b: R.report_table(b.consolidated),
+        # loading and sampling
+        "q_load_blank_to_null": _blank_to_null,
+        "q_width_violations": _width_violations,
+        "q_input_completeness": _input_completeness,
+        "q_cohort_split": lambda b: M.split_cohorts(
+            b.table("customer").select("c_custkey"), "cohorts", ["c_custkey"], COHORTS, "other"
+        ),
+        "q_weighted_draw": lambda b: b.table("orders").select(
+            "o_orderkey", M.weighted_draw("status", STATUS_WEIGHTS, "o_orderkey").alias("status")
+        ),
+        "q_duplicate_injection": lambda b: M.inject_duplicates(_filings(b), "inject", "id", "person", "channel"),
         # events
         "q_rate_limit": lambda b: E.rate_limit(b.table("events"), window_seconds=86_400),
         "q_lockouts": lambda b: E.lockouts(
