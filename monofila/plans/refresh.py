@@ -32,9 +32,11 @@ class Staging:
 
     @property
     def catalogue(self) -> DataFrame:
-        return self.source(S.CATALOGUE).select(
-            F.col("Tipo_Documento_Afiliado").alias("name"), F.col("CODIGO").alias("code"), F.col("Abreviatura").alias("abbr")
-        ).dropDuplicates(["abbr"])
+        """One row per abbreviation, so that a lookup never multiplies filings."""
+        rows = self.source(S.CATALOGUE).groupBy(F.col("Abreviatura").alias("abbr"))
+        return rows.agg(F.min(F.struct("CODIGO", "Tipo_Documento_Afiliado")).alias("c")).select(
+            F.col("c.Tipo_Documento_Afiliado").alias("name"), F.col("c.CODIGO").alias("code"), "abbr"
+        )
 
     @property
     def history(self) -> DataFrame:
