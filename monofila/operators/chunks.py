@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,31 +35,40 @@ State = list[int]
 # (times, marks, state) -> (outcome per row, new state)
 Fold = Callable[[Any, Any, State], tuple[Any, State]]
 
-_SUMMARY = T.StructType([
-    T.StructField("chunk", T.IntegerType()),
-    T.StructField("first_key", T.LongType()),
-    T.StructField("last_key", T.LongType()),
-    T.StructField("exit", T.ArrayType(T.LongType())),
-])
+_SUMMARY = "chunk int, first_key string, last_key string, exit array<bigint>"
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def plain(rows: DataFrame, name: str) -> Column:
+    """A key or id as bigint when it is a whole number, else as text."""
+    return F.col(name).cast("bigint" if isinstance(rows.schema[name].dataType, _INTEGRAL) else "string")
+
+
+def required(c: Column, what: str) -> Column:
+    return F.when(c.isNull(), F.raise_error(F.lit(f"event without {what}"))).otherwise(c)
 
 
 def ordered_chunks(rows: DataFrame, key: str, time: str, row_id: str, mark: str | None = None, chunks: int | None = None) -> DataFrame:
     """Checkpointed rows in even, sorted partitions numbered by ``chunk``.
 
     Every later pass must see the same borders, and range borders come from a
-    sample; the checkpoint fixes them once and also cuts lineage.
+    sample; the checkpoint fixes them once and also cuts lineage. Rows without a key
+    form one key of their own (``keyless``).
     """
     spark = rows.sparkSession
     shared_folder(spark)
     count = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked = F.lit(False) if mark is None else F.coalesce(F.col(mark), F.lit(False))
+    some_key = plain(rows, key)
     slim = rows.select(
-        F.col(key).cast("bigint").alias("key"),
-        F.unix_micros(F.col(time).cast("timestamp")).alias("at"),
-        F.col(row_id).cast("bigint").alias("row_id"),
+        some_key.isNull().alias("keyless"),
+        F.coalesce(some_key, F.lit("0").cast(rows.select(some_key).schema[0].dataType)).alias("key"),
+        required(F.unix_micros(F.col(time).cast("timestamp")), "time").alias("at"),
+        required(plain(rows, row_id), "id").alias("row_id"),
         marked.alias("mark"),
     )
-    placed = slim.repartitionByRange(count, "key", "at", "row_id").sortWithinPartitions("key", "at", "row_id")
+    order = ("keyless", "key", "at", "row_id")
+    placed = slim.repartitionByRange(count, *order).sortWithinPartitions(*order)
     return placed.withColumn("chunk", F.spark_partition_id()).checkpoint()
 
 
@@ -69,29 +78,33 @@ def _runs(batches: Iterator[pd.DataFrame], entries: dict[int, State], fold: Fold
     for batch in batches:
         if batch.empty:
             continue
-        keys, times, marks = batch["key"].to_numpy(), batch["at"].to_numpy(), batch["mark"].to_numpy()
-        starts = [0, *((keys[1:] != keys[:-1]).nonzero()[0] + 1).tolist(), len(keys)]
+        keyless, keys = batch["keyless"].to_numpy(), batch["key"].to_numpy()
+        times, marks = batch["at"].to_numpy(), batch["mark"].to_numpy()
+        borders = (keys[1:] != keys[:-1]) | (keyless[1:] != keyless[:-1])
+        starts = [0, *(borders.nonzero()[0] + 1).tolist(), len(keys)]
         outcomes = []
         for a, b in zip(starts, starts[1:]):
+            here = f"{keyless[a]}:{keys[a]}"
             if key is None:
                 state = list(entries.get(int(batch["chunk"].iloc[0]), []))
-            elif keys[a] != key:
+            elif here != key:
                 state = []
-            key = keys[a]
+            key = here
             outcome, state = fold(times[a:b], marks[a:b], state)
             outcomes.append(outcome)
-        yield batch, outcomes, key, state
+        first = f"{keyless[0]}:{keys[0]}"
+        yield batch, outcomes, first, key, state
 
 
-def _summaries(chunks: DataFrame, entries: dict[int, State], fold: Fold) -> dict[int, tuple[int, int, State]]:
+def _summaries(chunks: DataFrame, entries: dict[int, State], fold: Fold) -> dict[int, tuple[str, str, State]]:
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk = first = last = None
         exit_state: State = []
-        for batch, _, last, exit_state in _runs(batches, entries, fold):
+        for batch, _, opening, last, exit_state in _runs(batches, entries, fold):
             if chunk is None:
-                chunk, first = int(batch["chunk"].iloc[0]), int(batch["key"].iloc[0])
+                chunk, first = int(batch["chunk"].iloc[0]), opening
         if chunk is not None:
-            yield pd.DataFrame({"chunk": [chunk], "first_key": [first], "last_key": [int(last)], "exit": [exit_state]})
+            yield pd.DataFrame({"chunk": [chunk], "first_key": [first], "last_key": [last], "exit": [exit_state]})
 
     found = chunks.mapInPandas(summarise, _SUMMARY).collect()
     return {r["chunk"]: (r["first_key"], r["last_key"], list(r["exit"])) for r in found}
@@ -116,16 +129,14 @@ def settle(chunks: DataFrame, fold: Fold) -> dict[int, State]:
 
 
 def fold_rows(chunks: DataFrame, fold: Fold, outcome: T.DataType) -> DataFrame:
-    """Rows as (key, at, row_id, outcome), each decided by its key's ordered past."""
+    """Rows as (key, row_id, outcome), each decided by its key's ordered past."""
     entries = settle(chunks, fold)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, outcomes, _, _ in _runs(batches, entries, fold):
+        for batch, outcomes, *_ in _runs(batches, entries, fold):
             flat = [x for part in outcomes for x in part.tolist()]
-            yield batch[["key", "at", "row_id"]].assign(outcome=flat)
+            yield batch[["keyless", "key", "row_id"]].assign(outcome=flat)
 
-    schema = T.StructType([
-        T.StructField("key", T.LongType()), T.StructField("at", T.LongType()),
-        T.StructField("row_id", T.LongType()), T.StructField("outcome", outcome),
-    ])
-    return chunks.mapInPandas(emit, schema)
+    kept = [chunks.schema[c] for c in ("keyless", "key", "row_id")]
+    done = chunks.mapInPandas(emit, T.StructType([*kept, T.StructField("outcome", outcome)]))
+    return done.select(F.when(~F.col("keyless"), F.col("key")).alias("key"), "row_id", "outcome")

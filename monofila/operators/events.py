@@ -106,27 +106,28 @@ def failure_streaks(
     the only window per key runs over chunk totals.
     """
     placed = ordered_chunks(attempts.withColumn("_failed", failed), key, time, row_id, "_failed", chunks)
-    inside = Window.partitionBy("key", "chunk").orderBy("at", "row_id")
+    whose = ("keyless", "key")
+    inside = Window.partitionBy(*whose, "chunk").orderBy("at", "row_id")
     local = placed.withColumn("island", F.sum((~F.col("mark")).cast("bigint")).over(inside))
 
     failure = F.when(F.col("mark"), F.struct("at", "row_id"))
-    pieces = local.groupBy("key", "chunk", "island").agg(
+    pieces = local.groupBy(*whose, "chunk", "island").agg(
         F.count(F.when(F.col("mark"), 1)).alias("n"),
         F.count(F.when(~F.col("mark"), 1)).alias("successes"),
         F.min(failure).alias("first"),
         F.max(failure).alias("last"),
     )
 
-    before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = pieces.groupBy("key", "chunk").agg(F.sum("successes").alias("successes"))
-    shifts = totals.select("key", "chunk", F.coalesce(F.sum("successes").over(before), F.lit(0)).alias("shift"))
+    before = Window.partitionBy(*whose).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = pieces.groupBy(*whose, "chunk").agg(F.sum("successes").alias("successes"))
+    shifts = totals.select(*whose, "chunk", F.coalesce(F.sum("successes").over(before), F.lit(0)).alias("shift"))
 
     return (
-        pieces.filter("n > 0").join(shifts, ["key", "chunk"])
-        .groupBy("key", (F.col("island") + F.col("shift")).alias("streak"))
+        pieces.filter("n > 0").join(shifts, [*whose, "chunk"])
+        .groupBy(*whose, (F.col("island") + F.col("shift")).alias("streak"))
         .agg(F.sum("n").alias("n_failures"), F.min("first").alias("first"), F.max("last").alias("last"))
         .select(
-            F.col("key").alias(key),
+            F.when(~F.col("keyless"), F.col("key")).alias(key),
             F.col("streak").alias("n_successes_before"),
             "n_failures",
             F.col("first.row_id").alias("first_id"),

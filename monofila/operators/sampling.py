@@ -47,8 +47,7 @@ def _bucketed(rows: DataFrame, seed: str, keys: Sequence[str]) -> DataFrame:
 
 
 def _offsets(bucketed: DataFrame, *groups: str) -> DataFrame:
-    """Rows before each bucket. At most 2**12 rows per group, hence safe to broadcast
-    as long as the groups are a closed set."""
+    """Rows before each bucket; at most 2**12 rows per group."""
     counts = bucketed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_size"))
     ordered = Window.partitionBy(*groups).orderBy("_bucket")
     before = F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
@@ -57,10 +56,14 @@ def _offsets(bucketed: DataFrame, *groups: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, seed: str, keys: Sequence[str], group: str) -> DataFrame:
-    """Random order 0, 1, 2, ... within each group; ``group`` is a closed set of values."""
+    """Random order 0, 1, 2, ... within each group.
+
+    The offsets join on the keys the rows are partitioned by for ranking, so rows move
+    once, and a group that holds most rows is spread over all buckets.
+    """
     bucketed = _bucketed(rows, seed, keys)
     inside = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_hash", *keys))
-    placed = bucketed.withColumn("_inside", inside).join(F.broadcast(_offsets(bucketed, group)), [group, "_bucket"])
+    placed = bucketed.withColumn("_inside", inside).join(_offsets(bucketed, group), [group, "_bucket"])
     rank = (F.col("_before") + F.col("_inside") - 1).alias("rank")
     return placed.select(*rows.columns, rank, F.col("_total").alias("group_size"))
 
@@ -70,7 +73,8 @@ def split_cohorts(rows: DataFrame, seed: str, keys: Sequence[str], cohorts: Sequ
 
     Each cohort takes the whole part of its share of what is left; ``rest`` takes the
     remainder. Only the buckets that a cut runs through are ranked and shuffled, all
-    other rows are decided where they are.
+    other rows are decided where they are. The broadcast side has one row per bucket,
+    2**12 at most whatever the data.
     """
     bucketed = _bucketed(rows, seed, keys)
     cuts, left = [], F.col("_total")

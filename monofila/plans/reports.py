@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from monofila.functions.columns import (
-    blank_to_null, channel_label, department_label, flag, month_label, pct, pct1, serial_date, traffic_light,
+    channel_label, department_label, flag, month_label, pct, pct1, serial_date, thousands, traffic_light,
 )
 from monofila.functions.measures import pick
 from monofila.operators.profiles import duplicity_profile
@@ -164,9 +164,12 @@ def trend(consolidated: DataFrame, tenant: int | None = None, channel: str | Non
     )
 
 
-def quality_by_source(universe: DataFrame, tenant: int | None = None, rules: Rules = Rules()) -> DataFrame:
+def quality_by_source(
+    universe: DataFrame, tenant: int | None = None, rules: Rules = Rules(), unknown: bool = False
+) -> DataFrame:
     """Quality of what each channel sends, on raw filings: those that lose to a better
-    one still count here. The distinct count is planned in two levels, by person first."""
+    one still count here. The distinct count is planned in two levels, by person first.
+    ``unknown`` adds the number of filings whose type the catalogue does not know."""
     def share(test: Column) -> Column:
         return pct(F.sum(flag(test)), F.count("*"))
 
@@ -181,6 +184,7 @@ def quality_by_source(universe: DataFrame, tenant: int | None = None, rules: Rul
             share(F.col("filed_at").isNotNull()).alias("pct_date"),
             persons.alias("n_persons"),
             (F.count("*") - persons).alias("n_repeats"),
+            *([F.sum(flag(F.col("doc_type") == rules.unknown_type)).alias("n_unknown")] if unknown else []),
         )
         .orderBy(F.desc("n"), "channel")
     )
@@ -356,17 +360,11 @@ def quality_status(universe: DataFrame, tenant: int | None = None, rules: Rules
     return quality_by_source(universe, tenant, rules).select("channel", F.inline(cells))
 
 
-def _funnel_row(universe: DataFrame, consolidated: DataFrame, tenant: int | None, channel: str | None) -> DataFrame:
-    received = scope(universe, tenant, channel).agg(F.count("*")).scalar()
-    return (
-        scope(consolidated, tenant, channel)
-        .agg(
-            F.count("*").alias("total"),
-            F.coalesce(F.sum("is_effective"), F.lit(0)).alias("effective"),
-            F.coalesce(F.sum("m_internal"), F.lit(0)).alias("internal"),
-        )
-        .withColumn("received", received)
-        .withColumn("discarded", F.col("received") - F.col("total"))
+def _totals(consolidated: DataFrame) -> DataFrame:
+    return consolidated.agg(
+        F.count("*").alias("total"),
+        F.coalesce(F.sum("is_effective"), F.lit(0)).alias("effective"),
+        F.coalesce(F.sum("m_internal"), F.lit(0)).alias("internal"),
     )
 
 
@@ -381,7 +379,13 @@ def funnel(
             F.col(column).alias("n"), width.alias("width"),
         )
 
-    return _rows(_funnel_row(universe, consolidated, tenant, channel), [
+    received = scope(universe, tenant, channel).agg(F.count("*")).scalar()
+    row = (
+        _totals(scope(consolidated, tenant, channel))
+        .withColumn("received", received)
+        .withColumn("discarded", F.col("received") - F.col("total"))
+    )
+    return _rows(row, [
         step(1, "received", "received"),
         step(2, "discarded", "discarded"),
         step(3, "consolidated", "total"),
@@ -440,53 +444,58 @@ def findings(
 
     The out-of-catalogue total covers every unknown type, not only a top list.
     """
-    empty = F.lit(None).cast("string")
-
-    def fact(df: DataFrame, position: int, kind: str, subject: Column, value: Column, n: Column, status: Column) -> DataFrame:
-        return df.select(
-            F.lit(position).alias("position"), F.lit(kind).alias("kind"), subject.alias("subject"),
-            value.cast("double").alias("value"), n.cast("bigint").alias("n"), status.alias("status"),
-        )
-
-    row = _funnel_row(universe, consolidated, tenant, channel)
+    sources = quality_by_source(universe, tenant, rules, unknown=True)
+    in_scope = F.lit(True) if channel is None else F.col("channel") == channel
+    summary = sources.agg(
+        F.coalesce(F.sum(F.when(in_scope, F.col("n"))), F.lit(0)).alias("received"),
+        F.coalesce(F.sum("n_unknown"), F.lit(0)).alias("unknown"),
+        F.min_by(F.struct("channel", "pct_territory", "n"), F.struct("pct_territory", "channel")).alias("worst"),
+    )
+    row = (
+        _totals(scope(consolidated, tenant, channel))
+        .withColumn("s", summary.select(F.struct("*")).scalar())
+        .select("total", "effective", "internal", "s.*")
+        .withColumn("discarded", F.col("received") - F.col("total"))
+    )
     effective = pct1(F.col("effective"), F.col("total"))
     discarded = pct1(F.col("discarded"), F.col("received"))
     internal = pct1(F.col("internal"), F.col("total"))
+    territory = F.col("worst.pct_territory")
+    nothing, no_value = F.lit(None).cast("string"), F.lit(None).cast("double")
 
-    def told(position: int, kind: str, value: Column, n: str, status: Column, when: Column) -> Column:
+    def told(
+        position: int, kind: str, value: Column, n: str, status: Column, when: Column, subject: Column = nothing
+    ) -> Column:
         return F.struct(
-            F.lit(position).alias("position"), F.lit(kind).alias("kind"), empty.alias("subject"),
-            value.alias("value"), F.col(n).alias("n"), status.alias("status"), when.alias("told"),
+            F.lit(position).alias("position"), F.lit(kind).alias("kind"), subject.alias("subject"),
+            value.alias("value"), F.col(n).cast("bigint").alias("n"), status.alias("status"), when.alias("told"),
         )
 
     facts = F.array(
         told(1, "effective", _round_tenths(effective), "effective", traffic_light(effective, 90, 80, True), F.lit(True)),
         told(3, "discarded", discarded, "discarded", F.when(discarded > 8, "alerta").otherwise("neutro"), F.col("discarded") > 0),
         told(4, "internal", internal, "internal", F.lit("mal"), internal > 5),
+        told(
+            6, "worst_territory", territory, "worst.n", F.when(territory < 92, "mal").otherwise("alerta"),
+            territory < 97, channel_label(F.col("worst.channel")),
+        ),
+        told(7, "out_of_catalogue", no_value, "unknown", F.lit("alerta"), F.col("unknown") > 0),
     )
-    whole = row.select(F.inline(F.filter(facts, lambda x: x["told"]))).drop("told")
-    parts = [whole]
+    parts = [row.select(F.inline(F.filter(facts, lambda x: x["told"]))).drop("told")]
+
+    def fact(df: DataFrame, position: int, kind: str, subject: Column, value: Column) -> DataFrame:
+        return df.select(
+            F.lit(position).alias("position"), F.lit(kind).alias("kind"), subject.alias("subject"),
+            value.alias("value"), "n", F.lit("neutro").alias("status"),
+        )
 
     if channel is None:
         by_channel = _counts(scope(consolidated, tenant), "channel")
         largest = by_channel.orderBy(F.desc("n"), "channel").limit(1)
         share = pct1(F.col("n"), by_channel.agg(F.sum("n")).scalar())
-        parts.append(fact(largest, 2, "top_channel", channel_label(F.col("channel")), share, F.col("n"), F.lit("neutro")))
-
+        parts.append(fact(largest, 2, "top_channel", channel_label(F.col("channel")), share))
     peak = peak_month(consolidated, tenant, channel).filter("n_months > 1")
-    parts.append(fact(peak, 5, "peak_month", F.col("label"), F.col("excess_pct"), F.col("n"), F.lit("neutro")))
-
-    worst = quality_by_source(universe, tenant, rules).orderBy("pct_territory", "channel").limit(1)
-    grade = F.when(F.col("pct_territory") < 92, "mal").otherwise("alerta")
-    parts.append(fact(
-        worst.filter("pct_territory < 97"), 6, "worst_territory",
-        channel_label(F.col("channel")), F.col("pct_territory"), F.col("n"), grade,
-    ))
-
-    unknown = scope(universe, tenant).filter(F.col("doc_type") == rules.unknown_type).agg(F.count("*").alias("n"))
-    parts.append(fact(
-        unknown.filter("n > 0"), 7, "out_of_catalogue", empty, F.lit(None), F.col("n"), F.lit("alerta"),
-    ))
+    parts.append(fact(peak, 5, "peak_month", F.col("label"), F.col("excess_pct")))
     return reduce(DataFrame.unionByName, parts).orderBy("position")
 
 
@@ -515,8 +524,12 @@ def pivot_period_channel(
 
 
 def report_table(consolidated: DataFrame, tenant: int | None = None) -> DataFrame:
-    """Fifteen columns with the headings and labels the workbook expects, by month."""
-    return scope(consolidated, tenant).select(
+    """Fifteen columns with the headings and labels the workbook expects, by month.
+
+    Ordering inside a month lets the range sort split a month that holds most rows.
+    """
+    ordered = scope(consolidated, tenant).orderBy("period", "channel", "filing_id", "tenant")
+    return ordered.select(
         channel_label(F.col("channel")).alias("Canal"),
         F.col("period").alias("Periodo"),
         serial_date(F.col("filed_on")).alias("Fecha radicación"),
@@ -532,7 +545,7 @@ def report_table(consolidated: DataFrame, tenant: int | None = None) -> DataFram
         F.col("m_incomplete_territory").alias("Territorio incompleto"),
         F.col("m_invalid_date").alias("Fecha inválida"),
         F.col("m_critical").alias("Registro crítico"),
-    ).orderBy("Periodo")
+    )
 
 
 def as_json(report: DataFrame, column: str = "payload") -> DataFrame:
@@ -548,6 +561,30 @@ def has_data(consolidated: DataFrame, tenant: int) -> bool:
     return not scope(consolidated, tenant).isEmpty()
 
 
+def printable(report: DataFrame) -> DataFrame:
+    """Figures as people read them: separators in whole numbers, a dash for nothing."""
+    whole = ("byte", "short", "integer", "long")
+    return report.select([
+        thousands(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in whole
+        else F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit("—")).alias(f.name)
+        for f in report.schema
+    ])
+
+
+def batch_report(
+    consolidated: DataFrame, universe: DataFrame, notices: DataFrame, tenant: int, rules: Rules = Rules()
+) -> dict[str, DataFrame]:
+    """The five tables a batch run ends with, by title."""
+    quality = quality_by_source(universe, tenant, rules)
+    return {
+        "Cifras principales": headline(consolidated, universe, notices, tenant, rules),
+        "Clasificación del trámite": by_classification(consolidated, tenant),
+        "Aporte y depuración por fuente": source_contribution(universe, consolidated, tenant).drop("pct_survives"),
+        "Calidad por fuente (%)": quality.select("channel", "n", "pct_homologated", "pct_territory", "pct_date"),
+        "Tipos de documento fuera de catálogo": out_of_catalogue(universe, tenant, 10, rules),
+    }
+
+
 def dashboard(
     consolidated: DataFrame, universe: DataFrame, sources: dict[str, DataFrame], catalogue: DataFrame, tenant: int,
     rules: Rules = Rules(),

@@ -55,14 +55,16 @@ def replace_tenants(df: DataFrame, path: str, tenants: Iterable[int]) -> dict[in
     """Replace the given tenants' rows, leave all others alone, return rows written.
 
     Dynamic partition overwrite publishes at commit. It keeps the old partition of a
-    tenant that now has no rows, so those are overwritten with an empty one. The
-    rebalance gives evenly sized files and splits a tenant that holds most rows.
+    tenant that now has no rows, so those are overwritten with an empty one. One tenant
+    is written as it comes. Several are first rebalanced, so that not every task writes
+    a small file per tenant; adaptive execution splits a tenant that holds most rows.
     """
     wanted = sorted(set(tenants))
     seen = Observation()
     counts = [F.count(F.when(F.col("tenant") == t, 1)).alias(str(t)) for t in wanted]
     rows = ensure_tenant(df).filter(F.col("tenant").isin(wanted)).observe(seen, *counts)
-    rows.hint("rebalance", "tenant").write.partitionBy("tenant").option(
+    spread = rows if len(wanted) == 1 else rows.hint("rebalance", "tenant")
+    spread.write.partitionBy("tenant").option(
         "partitionOverwriteMode", "dynamic"
     ).mode("overwrite").parquet(path)
     written = {t: seen.get[str(t)] for t in wanted}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from monofila.operators.chunks import Fold
+from monofila.operators.chunks import Fold, plain, required
 from monofila.operators.events import _MICROS, accept, lock_out
 
 
@@ -38,11 +38,13 @@ def _judge(
         yield pd.DataFrame({"key": keys[0], "row_id": pdf["row_id"].to_numpy(), "outcome": outcomes})
 
     slim = rows.withWatermark(time, delay).select(
-        F.col(key).cast("bigint").alias("key"), F.col(time), F.unix_micros(F.col(time).cast("timestamp")).alias("at"),
-        F.col(row_id).cast("bigint").alias("row_id"), F.coalesce(mark, F.lit(False)).alias("mark"),
+        plain(rows, key).alias("key"), F.col(time),
+        required(F.unix_micros(F.col(time).cast("timestamp")), "time").alias("at"),
+        required(plain(rows, row_id), "id").alias("row_id"), F.coalesce(mark, F.lit(False)).alias("mark"),
     )
+    types = {f.name: f.dataType.simpleString() for f in slim.schema}
     judged = slim.groupBy("key").applyInPandasWithState(
-        step, f"key bigint, row_id bigint, outcome {outcome}", "carried array<bigint>", "append",
+        step, f"key {types['key']}, row_id {types['row_id']}, outcome {outcome}", "carried array<bigint>", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
     return judged.select(F.col("row_id").alias(row_id), F.col("key").alias(key), "outcome")

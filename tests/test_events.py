@@ -71,6 +71,16 @@ def test_failure_streaks_cross_chunks(spark):
     assert got == wanted
 
 
+def test_text_keys_and_missing_keys(spark):
+    at = "timestamp_seconds(id * 10)"
+    frame = spark.range(40).selectExpr("concat('e', id) AS event_id", "CASE WHEN id % 2 = 0 THEN 'a@b' END AS user_id", f"{at} AS ts")
+    got = E.rate_limit(frame, limit=2, window_seconds=100_000, chunks=5)
+    assert [f.dataType.simpleString() for f in got.schema] == ["string", "string", "int"]
+    assert {r["user_id"]: r["s"] for r in got.groupBy("user_id").agg(F.sum("accepted").alias("s")).collect()} == {"a@b": 2, None: 2}
+    with pytest.raises(Exception, match="event without time"):
+        E.rate_limit(frame.withColumn("ts", F.lit(None).cast("timestamp"))).collect()
+
+
 def test_chunks_are_even_and_split_the_hot_key(spark):
     frame, _ = events(spark, True)
     placed = ordered_chunks(frame, "user_id", "ts", "event_id", chunks=13)

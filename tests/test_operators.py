@@ -198,6 +198,15 @@ def test_scopes_and_literal_default_stays_apart(spark):
     assert set(R.dashboard(table, u, {WEB: u}, spark.createDataFrame(CATALOGUE, "a string, b int, c string"), 1)) >= {"kpis", "trend"}
 
 
+def test_batch_report_prints(spark):
+    u = filings(spark, *[(1, WEB, str(i), "CC", str(i), None) for i in range(1200)])
+    notices = spark.createDataFrame([(1, None)], "tenant int, log string")
+    tables = R.batch_report(as_table(consolidate(u, no_history(spark))), u, notices, 1)
+    lines = {r["indicator"]: (r["value"], r["percentage"]) for r in R.printable(tables["Cifras principales"]).collect()}
+    assert lines["Producción consolidada"] == ("1,200", "—") and lines["Registros críticos"] == ("1,200", "100.0")
+    assert lines["Inconsistencia operativa IRL"] == ("—", "—") and len(tables) == 5
+
+
 def test_upper_median_and_last_month(spark):
     rows = [("2025-01", 10), ("2025-02", 20), ("2025-03", 30), ("2025-04", 7)]
     months = spark.createDataFrame([(1, WEB, p) for p, n in rows for _ in range(n)], "tenant int, channel string, period string")
