@@ -14,23 +14,31 @@ batches. What crosses a chunk border is only the state of one key, so:
 3. the final pass emits rows with the settled entries.
 
 The result equals the sequential one: the first chunk of a key has the right entry
-from the start and each round settles at least one more. Usually the state forgets
-its past within a chunk and one extra round is enough. The driver sees one row per
-chunk.
+from the start and each round settles at least one more. A key that forgets its past
+within a chunk settles in a round or two. A key so dense that it never does is
+followed chunk by chunk: no task ever holds it and each of its chunks is read one
+more time, but the rounds take their turn. The driver sees one row per chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 from typing import Any
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import monofila
 from monofila.sources.storage import shared_folder
 
+# Executors need not have the package: folds travel with the tasks.
+cloudpickle.register_pickle_by_value(monofila)
+
 State = list[int]
 # (times, marks, state) -> (outcome per row, new state)
 Fold = Callable[[Any, Any, State], tuple[Any, State]]
@@ -57,7 +65,7 @@ def ordered_chunks(rows: DataFrame, key: str, time: str, row_id: str, mark: str
     """
     spark = rows.sparkSession
     shared_folder(spark)
-    count = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked = F.lit(False) if mark is None else F.coalesce(F.col(mark), F.lit(False))
     some_key = plain(rows, key)
     slim = rows.select(
@@ -68,7 +76,7 @@ def ordered_chunks(rows: DataFrame, key: str, time: str, row_id: str, mark: str
         marked.alias("mark"),
     )
     order = ("keyless", "key", "at", "row_id")
-    placed = slim.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    placed = slim.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return placed.withColumn("chunk", F.spark_partition_id()).checkpoint()
 
 
@@ -96,7 +104,9 @@ def _runs(batches: Iterator[pd.DataFrame], entries: dict[int, State], fold: Fold
         yield batch, outcomes, first, key, state
 
 
-def _summaries(chunks: DataFrame, entries: dict[int, State], fold: Fold) -> dict[int, tuple[str, str, State]]:
+def _summaries(
+    chunks: DataFrame, entries: dict[int, State], fold: Fold, only: list[int] | None = None
+) -> dict[int, tuple[str, str, State]]:
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk = first = last = None
         exit_state: State = []
@@ -106,26 +116,33 @@ def _summaries(chunks: DataFrame, entries: dict[int, State], fold: Fold) -> dict
         if chunk is not None:
             yield pd.DataFrame({"chunk": [chunk], "first_key": [first], "last_key": [last], "exit": [exit_state]})
 
-    found = chunks.mapInPandas(summarise, _SUMMARY).collect()
+    # A chunk is a partition of the checkpoint, so a job over some chunks reads only those.
+    summaries = chunks.mapInPandas(summarise, _SUMMARY).rdd
+    found = chunks.sparkSession.sparkContext.runJob(summaries, list, partitions=only)
     return {r["chunk"]: (r["first_key"], r["last_key"], list(r["exit"])) for r in found}
 
 
-def settle(chunks: DataFrame, fold: Fold) -> dict[int, State]:
-    """Entry state of every chunk whose first key began in an earlier one."""
+def settle(chunks: DataFrame, fold: Fold, parallel_rounds: int = 2) -> dict[int, State]:
+    """Entry state of every chunk whose first key began in an earlier one.
+
+    The first rounds fold all open chunks at once, which settles keys that soon forget
+    their past. What is open after that follows a key too dense to forget; from then on
+    only the chunks with a settled predecessor fold, so each is read once more.
+    """
     known = _summaries(chunks, {}, fold)
-    entries: dict[int, State] = {}
-    while True:
-        order = sorted(known)
+    order = sorted(known)
+    before = dict(zip(order[1:], order))
+    used: dict[int, State] = {}
+    for turn in count():
         wanted = {
-            here: known[before][2]
-            for before, here in zip(order, order[1:])
-            if known[before][1] == known[here][0] and known[before][2]
+            c: known[p][2] for c, p in before.items() if known[p][1] == known[c][0] and known[p][2]
         }
-        stale = [c for c in order if wanted.get(c) != entries.get(c) and known[c][0] == known[c][1]]
-        entries = wanted
-        if not stale:
-            return entries
-        known.update(_summaries(chunks.filter(F.col("chunk").isin(stale)), entries, fold))
+        open_ = {c for c in order if known[c][0] == known[c][1] and wanted.get(c, []) != used.get(c, [])}
+        if not open_:
+            return wanted
+        now = sorted(c for c in open_ if turn < parallel_rounds or before[c] not in open_)
+        used.update({c: wanted.get(c, []) for c in now})
+        known.update(_summaries(chunks, wanted, fold, now))
 
 
 def fold_rows(chunks: DataFrame, fold: Fold, outcome: T.DataType) -> DataFrame:
@@ -134,8 +151,7 @@ def fold_rows(chunks: DataFrame, fold: Fold, outcome: T.DataType) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, outcomes, *_ in _runs(batches, entries, fold):
-            flat = [x for part in outcomes for x in part.tolist()]
-            yield batch[["keyless", "key", "row_id"]].assign(outcome=flat)
+            yield batch[["keyless", "key", "row_id"]].assign(outcome=np.concatenate(outcomes))
 
     kept = [chunks.schema[c] for c in ("keyless", "key", "row_id")]
     done = chunks.mapInPandas(emit, T.StructType([*kept, T.StructField("outcome", outcome)]))

@@ -19,18 +19,26 @@ def accept(times: np.ndarray, marks: np.ndarray, state: State, limit: int, windo
     ``window``. The state holds the accepted times that still count; refused events
     leave none.
 
-    Jumps from one accepted event to the next, so a long refused stretch costs one
-    binary search.
+    An event at least ``window`` after the one ``limit`` places before it is accepted
+    whatever happened earlier. Only the others are walked, and a refused stretch is
+    jumped with one binary search.
     """
-    taken, recent, i = np.zeros(len(times), dtype=np.int32), list(state), 0
-    while i < len(times):
-        if len(recent) >= limit:
-            i = max(i, int(np.searchsorted(times, recent[-limit] + window, side="left")))
-            if i == len(times):
-                break
-        taken[i] = 1
-        recent = [*recent, int(times[i])][-limit:]
-        i += 1
+    size, recent, done = len(times), list(state), 0
+    taken = np.ones(size, dtype=np.int32)
+    crowded = np.flatnonzero(times[limit:] - times[:-limit] < window) + limit
+    doubtful = np.concatenate([np.arange(min(limit, size)), crowded])
+    d = 0
+    while d < len(doubtful):
+        i = int(doubtful[d])
+        if i > done:
+            recent = [*recent, *times[max(done, i - limit):i].tolist()][-limit:]
+        if len(recent) >= limit and times[i] - recent[-limit] < window:
+            done = int(np.searchsorted(times, recent[-limit] + window, side="left"))
+            taken[i:done] = 0
+            d = int(np.searchsorted(doubtful, done))
+        else:
+            recent, done, d = [*recent, int(times[i])][-limit:], i + 1, d + 1
+    recent = [*recent, *times[max(done, size - limit):].tolist()][-limit:]
     return taken, [t for t in recent if int(times[-1]) - t < window]
 
 
@@ -110,20 +118,17 @@ def failure_streaks(
     inside = Window.partitionBy(*whose, "chunk").orderBy("at", "row_id")
     local = placed.withColumn("island", F.sum((~F.col("mark")).cast("bigint")).over(inside))
 
-    failure = F.when(F.col("mark"), F.struct("at", "row_id"))
-    pieces = local.groupBy(*whose, "chunk", "island").agg(
-        F.count(F.when(F.col("mark"), 1)).alias("n"),
-        F.count(F.when(~F.col("mark"), 1)).alias("successes"),
-        F.min(failure).alias("first"),
-        F.max(failure).alias("last"),
+    failure = F.struct("at", "row_id")
+    pieces = local.filter("mark").groupBy(*whose, "chunk", "island").agg(
+        F.count("*").alias("n"), F.min(failure).alias("first"), F.max(failure).alias("last")
     )
 
     before = Window.partitionBy(*whose).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = pieces.groupBy(*whose, "chunk").agg(F.sum("successes").alias("successes"))
+    totals = placed.groupBy(*whose, "chunk").agg(F.count(F.when(~F.col("mark"), 1)).alias("successes"))
     shifts = totals.select(*whose, "chunk", F.coalesce(F.sum("successes").over(before), F.lit(0)).alias("shift"))
 
     return (
-        pieces.filter("n > 0").join(shifts, [*whose, "chunk"])
+        pieces.join(shifts, [*whose, "chunk"])
         .groupBy(*whose, (F.col("island") + F.col("shift")).alias("streak"))
         .agg(F.sum("n").alias("n_failures"), F.min("first").alias("first"), F.max("last").alias("last"))
         .select(
