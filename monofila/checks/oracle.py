@@ -36,63 +36,54 @@ s_labour AS (SELECT CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END tenant, CASE eve
   WHEN 'click' THEN 'CARGUE_EXITOSO ' WHEN 'signup' THEN NULL ELSE upper(event_type) END log FROM events)
 """
 
+# One long table of raw filings, one lookup table for both ways of naming a type, and a
+# single projection that cleans everything.
 UNIVERSE = """
 by_code AS (SELECT code, min(abbr) abbr, count(*) n_abbreviations FROM catalog WHERE code IS NOT NULL GROUP BY code),
-universe AS (
-SELECT a.tenant, 'AFILIACIONES' AS channel, CAST(a.id AS VARCHAR) AS filing_id, coalesce(h.abbr, 'NO_HOMOLOGADO') AS doc_type,
-  trim(a.doc_num) AS doc_number, coalesce(h.abbr, 'NO_HOMOLOGADO') || '-' || trim(a.doc_num) AS person_key,
-  a.doc_type AS doc_type_received, try_strptime(nullif(trim(a.filed), ''), '%d/%m/%y') AS filed_at, upper(trim(a.regime)) AS regime,
-  nullif(trim(a.dept), '') AS dept, nullif(trim(a.muni), '') AS municipality, nullif(trim(a.advisor), '') AS advisor,
-  CAST(NULL AS VARCHAR) AS provider, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS member_type,
-  CAST(NULL AS VARCHAR) AS request_type
-FROM s_desk a LEFT JOIN catalog h ON trim(a.doc_type) = h.abbr
-UNION ALL
-SELECT d.tenant, 'DIGITAL', CAST(d.id AS VARCHAR), coalesce(h.abbr, 'NO_HOMOLOGADO'), trim(d.doc_num),
-  coalesce(h.abbr, 'NO_HOMOLOGADO') || '-' || trim(d.doc_num), d.doc_type,
-  coalesce(try_strptime(nullif(trim(d.filed), ''), '%Y-%m-%d %H:%M:%S'), try_strptime(nullif(trim(d.requested), ''), '%Y-%m-%d %H:%M:%S')),
-  upper(trim(d.regime)), nullif(left(trim(d.dane), 2), ''), nullif(trim(d.dane), ''), nullif(trim(d.advisor), ''), NULL,
-  upper(trim(d.status)), NULL, NULL
-FROM s_web d LEFT JOIN catalog h ON trim(d.doc_type) = h.abbr
-UNION ALL
-SELECT s.tenant, 'SAT', CAST(s.id AS VARCHAR), coalesce(h.abbr, 'NO_HOMOLOGADO'), trim(s.doc_num),
-  coalesce(h.abbr, 'NO_HOMOLOGADO') || '-' || trim(s.doc_num), s.doc_type, try_strptime(nullif(trim(s.filed), ''), '%d/%m/%y'),
-  upper(trim(s.regime)), nullif(trim(s.dept), ''), nullif(trim(s.muni), ''), nullif(trim(s.advisor), ''), NULL, NULL, NULL, NULL
-FROM s_official s LEFT JOIN by_code h ON nullif(trim(s.doc_type), '') = CAST(h.code AS VARCHAR))
+lookup AS (SELECT 'abbr' AS by_what, abbr AS received, abbr FROM catalog
+  UNION ALL SELECT 'code', CAST(code AS VARCHAR), abbr FROM by_code),
+raw AS (
+  SELECT 'AFILIACIONES' AS channel, 'abbr' AS by_what, try_strptime(trim(filed), '%d/%m/%y') AS filed_at, * EXCLUDE (filed) FROM s_desk
+  UNION ALL BY NAME
+  SELECT 'SAT' AS channel, 'code' AS by_what, try_strptime(trim(filed), '%d/%m/%y') AS filed_at, * EXCLUDE (filed) FROM s_official
+  UNION ALL BY NAME
+  SELECT 'DIGITAL' AS channel, 'abbr' AS by_what,
+    ifnull(try_strptime(trim(filed), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(requested), '%Y-%m-%d %H:%M:%S')) AS filed_at,
+    substr(trim(dane), 1, 2) AS dept, trim(dane) AS muni, * EXCLUDE (filed, requested, dane) FROM s_web),
+named AS (SELECT r.*, ifnull(l.abbr, 'NO_HOMOLOGADO') AS known FROM raw r
+  LEFT JOIN lookup l ON l.by_what = r.by_what AND l.received = trim(r.doc_type)),
+universe AS (SELECT tenant, channel, id::VARCHAR AS filing_id, known AS doc_type, trim(doc_num) AS doc_number,
+  known || '-' || trim(doc_num) AS person_key, doc_type AS doc_type_received, filed_at, upper(trim(regime)) AS regime,
+  nullif(trim(dept), '') AS dept, nullif(trim(muni), '') AS municipality, nullif(trim(advisor), '') AS advisor,
+  NULL::VARCHAR AS provider, upper(trim(status)) AS status, NULL::VARCHAR AS member_type, NULL::VARCHAR AS request_type FROM named)
 """
 
 CONSOLIDATED = """
-history_profile AS (SELECT tenant, trim(doc_type) AS doc_type, trim(doc_num) AS doc_number,
-  max(CASE WHEN upper(entity) LIKE 'NUEVA EPS%' THEN 1 ELSE 0 END) AS own_insurer,
-  max(CASE WHEN upper(entity) NOT LIKE 'NUEVA EPS%' AND nullif(trim(entity), '') IS NOT NULL THEN 1 ELSE 0 END) AS other_insurer,
-  count(*) AS n_history
-  FROM s_history WHERE nullif(trim(doc_num), '') IS NOT NULL GROUP BY ALL),
-duplicity AS (SELECT tenant, person_key, count(DISTINCT channel) AS n_channels, count(*) AS n_filings,
-  count(*) - count(DISTINCT channel) AS n_repeats, max(CASE WHEN channel = 'SAT' THEN 1 ELSE 0 END) AS in_sat,
-  max(CASE WHEN channel = 'DIGITAL' THEN 1 ELSE 0 END) AS in_digital,
-  max(CASE WHEN channel = 'AFILIACIONES' THEN 1 ELSE 0 END) AS in_afiliaciones
-  FROM universe WHERE doc_type <> 'NO_HOMOLOGADO' AND nullif(doc_number, '') IS NOT NULL GROUP BY tenant, person_key),
-ranked AS (SELECT u.*, row_number() OVER (PARTITION BY tenant, person_key ORDER BY
-  CASE channel WHEN 'SAT' THEN 1 WHEN 'DIGITAL' THEN 2 WHEN 'AFILIACIONES' THEN 3 ELSE 9 END,
-  filed_at ASC NULLS FIRST, filing_id ASC) AS place FROM universe u),
-consolidated AS (SELECT p.tenant, p.person_key, p.channel, p.filing_id, p.doc_type, p.doc_type_received, p.doc_number,
-  CAST(p.filed_at AS DATE) AS filed_on, strftime(p.filed_at, '%Y-%m') AS period, p.advisor, p.dept, p.municipality, p.provider,
-  p.member_type, p.status,
-  CASE WHEN p.regime LIKE '%CONTRIBUTIVO%' THEN 'CONTRIBUTIVO' WHEN p.regime LIKE '%SUBSIDIADO%' THEN 'SUBSIDIADO'
-    WHEN nullif(p.regime, '') IS NULL THEN 'SIN DATO' ELSE 'OTRO' END AS regime,
-  CASE WHEN x.own_insurer = 1 THEN 'Reinscripción' WHEN x.other_insurer = 1 THEN 'Traslado' ELSE 'Afiliación Nueva' END AS classification,
-  CASE WHEN p.doc_type = 'NO_HOMOLOGADO' THEN 1 ELSE 0 END AS m_not_in_catalogue,
-  CASE WHEN nullif(p.doc_number, '') IS NULL THEN 1 ELSE 0 END AS m_empty_document,
-  CASE WHEN p.dept IS NULL OR p.municipality IS NULL THEN 1 ELSE 0 END AS m_incomplete_territory,
-  CASE WHEN p.filed_at IS NULL THEN 1 ELSE 0 END AS m_invalid_date,
-  CASE WHEN coalesce(d.n_channels, 1) > 1 THEN 1 ELSE 0 END AS m_multi_channel,
-  CASE WHEN coalesce(d.n_repeats, 0) > 0 THEN 1 ELSE 0 END AS m_internal,
-  CASE WHEN p.doc_type = 'NO_HOMOLOGADO' OR nullif(p.doc_number, '') IS NULL OR p.filed_at IS NULL THEN 1 ELSE 0 END AS m_critical,
-  CASE WHEN p.channel <> 'DIGITAL' THEN 1 WHEN p.status = 'RADICADO' THEN 1 ELSE 0 END AS is_effective,
-  CAST(coalesce(d.n_channels, 1) AS INTEGER) AS n_channels, CAST(coalesce(d.n_filings, 1) AS INTEGER) AS n_filings
-  FROM ranked p
-  LEFT JOIN history_profile x ON p.tenant = x.tenant AND p.doc_type = x.doc_type AND p.doc_number = x.doc_number
-  LEFT JOIN duplicity d ON p.tenant = d.tenant AND p.person_key = d.person_key
-  WHERE p.place = 1)
+insurers AS (SELECT tenant, trim(doc_type) AS doc_type, trim(doc_num) AS doc_number, starts_with(upper(entity), 'NUEVA EPS') AS own,
+  trim(entity) <> '' AS named FROM s_history WHERE trim(doc_num) <> ''),
+history_profile AS (SELECT tenant, doc_type, doc_number, ifnull(bool_or(own), false)::INTEGER AS own_insurer,
+  ifnull(bool_or(named AND NOT own), false)::INTEGER AS other_insurer, count(*) AS n_history FROM insurers GROUP BY ALL),
+presence AS (SELECT tenant, person_key, channel, count(*) AS n FROM universe
+  WHERE doc_type <> 'NO_HOMOLOGADO' AND doc_number <> '' GROUP BY ALL),
+duplicity AS (SELECT tenant, person_key, count(*) AS n_channels, sum(n)::BIGINT AS n_filings, (sum(n) - count(*))::BIGINT AS n_repeats,
+  bool_or(channel = 'SAT')::INTEGER AS in_sat, bool_or(channel = 'DIGITAL')::INTEGER AS in_digital,
+  bool_or(channel = 'AFILIACIONES')::INTEGER AS in_afiliaciones FROM presence GROUP BY ALL),
+kept AS (SELECT DISTINCT ON (tenant, person_key) * FROM universe
+  ORDER BY tenant, person_key, list_position(['SAT', 'DIGITAL', 'AFILIACIONES'], channel), filed_at NULLS FIRST, filing_id),
+checked AS (SELECT *, doc_type = 'NO_HOMOLOGADO' AS unknown, ifnull(doc_number, '') = '' AS nameless, filed_at IS NULL AS undated FROM kept),
+consolidated AS (SELECT k.tenant, k.person_key, k.channel, k.filing_id, k.doc_type, k.doc_type_received, k.doc_number,
+  k.filed_at::DATE AS filed_on, strftime(k.filed_at, '%Y-%m') AS period, k.advisor, k.dept, k.municipality, k.provider,
+  k.member_type, k.status,
+  CASE WHEN contains(k.regime, 'CONTRIBUTIVO') THEN 'CONTRIBUTIVO' WHEN contains(k.regime, 'SUBSIDIADO') THEN 'SUBSIDIADO'
+    WHEN ifnull(k.regime, '') = '' THEN 'SIN DATO' ELSE 'OTRO' END AS regime,
+  ifnull(['Afiliación Nueva', 'Traslado', 'Reinscripción'][1 + greatest(2 * h.own_insurer, h.other_insurer)], 'Afiliación Nueva') AS classification,
+  unknown::INTEGER AS m_not_in_catalogue, nameless::INTEGER AS m_empty_document,
+  (k.dept IS NULL OR k.municipality IS NULL)::INTEGER AS m_incomplete_territory, undated::INTEGER AS m_invalid_date,
+  (ifnull(d.n_channels, 1) > 1)::INTEGER AS m_multi_channel, (ifnull(d.n_repeats, 0) > 0)::INTEGER AS m_internal,
+  (unknown OR nameless OR undated)::INTEGER AS m_critical,
+  (k.channel <> 'DIGITAL' OR ifnull(k.status, '') = 'RADICADO')::INTEGER AS is_effective,
+  ifnull(d.n_channels, 1)::INTEGER AS n_channels, ifnull(d.n_filings, 1)::INTEGER AS n_filings
+  FROM checked k LEFT JOIN history_profile h USING (tenant, doc_type, doc_number) LEFT JOIN duplicity d USING (tenant, person_key))
 """
 
 

@@ -118,4 +118,8 @@ def universe(
     channels: Iterable[tuple[Channel, DataFrame]], catalogue: DataFrame, rules: Rules = Rules()
 ) -> DataFrame:
     """All filings of all channels. Labour notices are not filings and stay out."""
+    channels = list(channels)
+    unranked = [c.name for c, _ in channels if c.name not in rules.priority]
+    if unranked:
+        raise ValueError(f"channels without a priority: {', '.join(unranked)}")
     return reduce(DataFrame.unionByName, [align(rows, c, catalogue, rules) for c, rows in channels])

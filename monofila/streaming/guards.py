@@ -1,7 +1,8 @@
 """Streaming rate limit and lockout: the batch folds with keyed state.
 
 Attempts are judged in the order they arrive; inside a micro-batch that is time, then
-id. The state is a few integers per key. It is dropped once the watermark passes the
+id. A task holds one key's share of one micro-batch, which the source's per-trigger
+limit bounds. The state is a few integers per key. It is dropped once the watermark passes the
 moment it stops mattering, so idle keys cost nothing.
 """
 
