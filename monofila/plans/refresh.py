@@ -12,23 +12,20 @@ from monofila.operators.consolidate import as_table, consolidate
 from monofila.operators.universe import universe
 from monofila.rules import DESK, OFFICIAL, WEB, Rules
 from monofila.sources.delimited import DEFAULT_ENCODING, load_all, staged
-from monofila.sources.storage import replace_tenants, write_csv
+from monofila.sources.storage import read_tenants, replace_tenants, write_csv
 
 
 @dataclass(frozen=True)
 class Staging:
-    """Staging tables in the names the operators use, optionally of one tenant.
-
-    The tenant filter is a partition filter: other tenants' files are not listed.
-    """
+    """Staging tables in the names the operators use, optionally of one tenant; then
+    other tenants' folders are not even listed."""
 
     spark: SparkSession
     warehouse: str
     tenant: int | None = None
 
     def source(self, source: S.Source) -> DataFrame:
-        rows = staged(self.spark, self.warehouse, source)
-        return rows if source.shared or self.tenant is None else rows.filter(F.col("tenant") == self.tenant)
+        return staged(self.spark, self.warehouse, source, self.tenant)
 
     @property
     def catalogue(self) -> DataFrame:
@@ -69,14 +66,19 @@ class Staging:
 
 
 def materialise(spark: SparkSession, warehouse: str, tenant: int, rules: Rules = Rules()) -> int:
-    """Recompute one tenant's consolidated rows; returns how many."""
+    """Recompute one tenant's consolidated rows; returns how many.
+
+    Sorted inside each file by what reports filter and group on, so that channel and
+    month filters skip row groups.
+    """
     staging = Staging(spark, warehouse, tenant)
     table = as_table(consolidate(staging.universe(rules), staging.history, rules))
-    return replace_tenants(table, f"{warehouse}/consolidated", [tenant])[tenant]
+    placed = table.sortWithinPartitions("tenant", "channel", "period")
+    return replace_tenants(placed, f"{warehouse}/consolidated", [tenant])[tenant]
 
 
-def consolidated(spark: SparkSession, warehouse: str) -> DataFrame:
-    return spark.read.parquet(f"{warehouse}/consolidated").select(*S.CONSOLIDATED_HEADINGS)
+def consolidated(spark: SparkSession, warehouse: str, tenant: int | None = None) -> DataFrame:
+    return read_tenants(spark, f"{warehouse}/consolidated", S.CONSOLIDATED, tenant)
 
 
 def refresh(
@@ -94,6 +96,6 @@ def refresh(
 
 def export_csv(spark: SparkSession, warehouse: str, tenant: int, path: str, single_file: bool = False) -> None:
     """One tenant's consolidated table for spreadsheets, with the headings they know."""
-    rows = consolidated(spark, warehouse).filter(F.col("tenant") == tenant)
+    rows = consolidated(spark, warehouse, tenant)
     headed = rows.select([F.col(c).alias(h) for c, h in S.CONSOLIDATED_HEADINGS.items()])
     write_csv(headed, path, single_file=single_file)

@@ -110,3 +110,13 @@ CONSOLIDATED_HEADINGS = {
     "m_internal": "marca_duplicado_interno", "m_critical": "marca_registro_critico",
     "is_effective": "es_produccion_efectiva", "n_channels": "canales_en_que_aparece", "n_filings": "veces_radicado",
 }
+
+
+def _consolidated_type(name: str) -> T.DataType:
+    if name == "filed_on":
+        return T.DateType()
+    whole = name in ("tenant", "is_effective", "n_channels", "n_filings") or name.startswith("m_")
+    return T.IntegerType() if whole else T.StringType()
+
+
+CONSOLIDATED = T.StructType([T.StructField(c, _consolidated_type(c)) for c in CONSOLIDATED_HEADINGS])

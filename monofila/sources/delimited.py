@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from monofila.functions.columns import strip_blank
 from monofila.schemas import INTEGER, SOURCES, Source
-from monofila.sources.storage import ensure_tenant, replace_shared, replace_tenants
+from monofila.sources.storage import read_tenants, replace_shared, replace_tenants
 
 DEFAULT_ENCODING = "ISO-8859-1"
 _MARKS = ("﻿", "ï»¿")
@@ -254,15 +254,14 @@ def load_all(
     return spark.createDataFrame(report, REPORT_SCHEMA)
 
 
-def staged(spark: SparkSession, warehouse: str, source: Source) -> DataFrame:
-    """Staging table of a source; no rows when it was never loaded."""
+def staged(spark: SparkSession, warehouse: str, source: Source, tenant: int | None = None) -> DataFrame:
+    """Staging table of a source, of one tenant or of all; empty when never loaded."""
+    path = f"{warehouse}/{source.name}"
+    if not source.shared:
+        return read_tenants(spark, path, source.schema(), tenant)
     try:
-        return ensure_tenant_unless_shared(spark.read.parquet(f"{warehouse}/{source.name}"), source)
+        return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], source.schema())
-
-
-def ensure_tenant_unless_shared(df: DataFrame, source: Source) -> DataFrame:
-    return df if source.shared else ensure_tenant(df)

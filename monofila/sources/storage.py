@@ -6,8 +6,10 @@ import tempfile
 from collections.abc import Iterable
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -74,6 +76,19 @@ def replace_tenants(df: DataFrame, path: str, tenants: Iterable[int]) -> dict[in
     return written
 
 
+def read_tenants(spark: SparkSession, path: str, schema: T.StructType, tenant: int | None = None) -> DataFrame:
+    """A tenant-partitioned table; for one tenant only its folder is listed. No rows when
+    there is no such table or tenant yet."""
+    target = path if tenant is None else f"{path}/tenant={tenant}"
+    try:
+        found = spark.read.option("basePath", path).parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return ensure_tenant(found).select(*schema.names)
+
+
 def replace_shared(df: DataFrame, path: str) -> None:
     """Full replace of a table all tenants share.
 

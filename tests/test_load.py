@@ -107,6 +107,14 @@ def test_tenants_do_not_touch_each_other(spark, folders, loaded):
     assert R.consolidated(spark, folders[1]).filter("tenant = 8").count() == before
 
 
+def test_one_tenant_lists_only_its_folder(spark, folders, loaded):
+    mine = R.consolidated(spark, folders[1], 7)
+    assert mine.schema == S.CONSOLIDATED and mine.select("tenant").distinct().collect()[0][0] == 7
+    assert all("tenant=7" in f for f in mine.inputFiles())
+    assert R.consolidated(spark, folders[1], 99).isEmpty() and R.Staging(spark, folders[1], 99).history.isEmpty()
+    assert R.materialise(spark, folders[1], 99) == 0
+
+
 def test_csv_export_has_mark_headings_and_one_tenant(spark, folders, loaded):
     out = tempfile.mkdtemp(prefix="monofila-out-")
     R.export_csv(spark, folders[1], 7, out, single_file=True)
