@@ -8,7 +8,7 @@ moment it stops mattering, so idle keys cost nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from monofila.operators.chunks import Fold, plain, required
+from monofila.operators.chunks import Fold, State, plain, required
 from monofila.operators.events import _MICROS, accept, lock_out
 
 
 def _judge(
-    rows: DataFrame, mark: Column, key: str, time: str, row_id: str, delay: str, fold: Fold, horizon: int, outcome: str
+    rows: DataFrame, mark: Column, key: str, time: str, row_id: str, delay: str, fold: Fold,
+    expires: Callable[[State, int], int], outcome: str,
 ) -> DataFrame:
+    """``expires`` gives the moment a state stops mattering, from it and its last event."""
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -32,7 +34,7 @@ def _judge(
         outcomes, carried = fold(pdf["at"].to_numpy(), pdf["mark"].to_numpy(), carried)
         if carried:
             state.update((carried,))
-            expiry = (int(pdf["at"].max()) + horizon) // 1000 + 1
+            expiry = expires(carried, int(pdf["at"].max())) // 1000 + 1
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
@@ -57,7 +59,7 @@ def rate_limit_stream(
 ) -> DataFrame:
     window = window_seconds * _MICROS
     fold = partial(accept, limit=limit, window=window)
-    judged = _judge(events, F.lit(False), key, time, row_id, delay, fold, window, "int")
+    judged = _judge(events, F.lit(False), key, time, row_id, delay, fold, lambda _, last: last + window, "int")
     return judged.withColumnRenamed("outcome", "accepted")
 
 
@@ -67,7 +69,12 @@ def lockout_stream(
 ) -> DataFrame:
     """``keep_seconds`` bounds how long an unfinished failure streak is remembered;
     without it, a streak lives until a success."""
-    duration = lock_seconds * _MICROS
-    horizon = 100 * 365 * 86_400 * _MICROS if keep_seconds is None else max(keep_seconds * _MICROS, duration)
-    fold = partial(lock_out, failures=failures, duration=duration)
-    return _judge(attempts, failed, key, time, row_id, delay, fold, horizon, "string")
+    century = 100 * 365 * 86_400
+    keep = (century if keep_seconds is None else keep_seconds) * _MICROS
+
+    def expires(state: State, last: int) -> int:
+        streak, locked_until = state
+        return max(locked_until, last + keep if streak else 0)
+
+    fold = partial(lock_out, failures=failures, duration=lock_seconds * _MICROS)
+    return _judge(attempts, failed, key, time, row_id, delay, fold, expires, "string")

@@ -138,6 +138,12 @@ def test_injected_duplicates_are_what_the_detectors_see(spark):
     assert placed.filter("injected IS NULL AND person <> id").isEmpty()
 
 
+def test_one_channel_gets_only_internal_duplicates(spark):
+    rows = spark.range(200).select("id", F.col("id").alias("person"), F.lit("D").alias("channel"))
+    got = M.inject_duplicates(rows, "s", "id", "person", "channel", 0.1, 0.1)
+    assert {r["injected"]: r["count"] for r in got.groupBy("injected").count().collect()} == {"internal": 20, None: 180}
+
+
 def run_stream(spark, build, name):
     """Feed the same events as four files, in time order."""
     frame, by_user = events(spark, False)
@@ -166,3 +172,20 @@ def test_lockout_stream(spark):
     got, by_user = run_stream(spark, lambda s: lockout_stream(s, F.col("bad"), failures=4, lock_seconds=700), "locked")
     for rows in by_user.values():
         assert [got[e] for e, _, _ in rows] == slow_lock([t for _, t, _ in rows], [b for _, _, b in rows], 4, 700)
+
+
+def test_stream_state_is_dropped_when_it_stops_mattering(spark):
+    folder, state = tempfile.mkdtemp(prefix="monofila-stream-"), tempfile.mkdtemp(prefix="monofila-state-")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    kept = []
+    for i in range(4):
+        batch = spark.createDataFrame([(i, i, True)], "event_id bigint, user_id bigint, bad boolean")
+        at = F.timestamp_seconds(F.lit(1_700_000_000 + i * 5000)).alias("ts")
+        batch.select("event_id", "user_id", at, "bad").coalesce(1).write.mode("append").parquet(folder)
+        query = (
+            rate_limit_stream(stream, window_seconds=1000).writeStream.outputMode("append").format("noop")
+            .option("checkpointLocation", state).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(120)
+        kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    assert 1 <= max(kept) <= 2, "users whose window is over leave no state"

@@ -188,3 +188,13 @@ def test_tables_without_tenant_get_tenant_zero(spark):
     df = spark.createDataFrame([(1,)], "a int")
     once = storage.ensure_tenant(df)
     assert once.first()["tenant"] == 0 and storage.ensure_tenant(once) is once
+
+
+def test_several_tenants_are_replaced_in_one_write(spark):
+    path = tempfile.mkdtemp(prefix="monofila-t-") + "/t"
+    rows = spark.range(90).selectExpr("CAST(id % 3 AS int) AS tenant", "id")
+    assert storage.replace_tenants(rows, path, [0, 1, 2]) == {0: 30, 1: 30, 2: 30}
+    fewer = rows.filter("tenant <> 1 AND id < 30")
+    assert storage.replace_tenants(fewer, path, [0, 1]) == {0: 10, 1: 0}
+    left = {r["tenant"]: r["count"] for r in spark.read.parquet(path).groupBy("tenant").count().collect()}
+    assert left == {0: 10, 2: 30}
