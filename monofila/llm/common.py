@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -35,6 +37,15 @@ def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def shipped(spark: SparkSession, model: object):
+    """Broadcast of a small model, with its class, for executors without the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def unpacked(shared) -> object:
+    return pickle.loads(shared.value)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit scrambling (splitmix finaliser)."""
     x = x ^ (x >> np.uint64(30))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from monofila.llm.bpe import round_trip
 from monofila.llm.common import table
 from monofila.llm.exact_dedup import exact_dedup
+from monofila.llm.quality_classifier import quality_classifier
+from monofila.llm.quality_rules import quality_rules
 from monofila.llm.sharding import byte_shards
 from monofila.llm.token_counts import token_counts
 
@@ -27,11 +29,16 @@ def queries() -> dict[str, Query]:
     def on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, folder: operator(table(spark, folder, "documents"))
 
+    def with_labels(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+        return lambda spark, folder: operator(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
     return {
         "op1_token_counts": on_documents(lambda docs: token_counts(docs, vocabulary())),
         "op3_byte_shards": on_documents(byte_shards),
         "op5_bpe_round_trip": on_documents(lambda docs: round_trip(docs, vocabulary())),
         "op7_exact_dedup": on_documents(exact_dedup),
+        "op8_quality_rules": with_labels(quality_rules),
+        "op10_quality_classifier": with_labels(quality_classifier),
     }
 
 
