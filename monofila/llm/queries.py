@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from monofila.llm.bpe import round_trip
 from monofila.llm.common import table
 from monofila.llm.exact_dedup import exact_dedup
+from monofila.llm.near_dedup import near_components
 from monofila.llm.quality_classifier import quality_classifier
 from monofila.llm.quality_rules import quality_rules
 from monofila.llm.sharding import byte_shards
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": on_documents(lambda docs: token_counts(docs, vocabulary())),
         "op3_byte_shards": on_documents(byte_shards),
+        "op4_minhash_hamming": on_documents(near_components),
         "op5_bpe_round_trip": on_documents(lambda docs: round_trip(docs, vocabulary())),
         "op7_exact_dedup": on_documents(exact_dedup),
         "op8_quality_rules": with_labels(quality_rules),
