@@ -14,6 +14,7 @@ from monofila.llm.near_dedup import near_components
 from monofila.llm.quality_classifier import quality_classifier
 from monofila.llm.quality_rules import quality_rules
 from monofila.llm.sharding import byte_shards
+from monofila.llm.substring_dedup import substring_dedup
 from monofila.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
 
     return {
         "op1_token_counts": on_documents(lambda docs: token_counts(docs, vocabulary())),
+        "op2_substring_dedup": on_documents(substring_dedup),
         "op3_byte_shards": on_documents(byte_shards),
         "op4_minhash_hamming": on_documents(near_components),
         "op5_bpe_round_trip": on_documents(lambda docs: round_trip(docs, vocabulary())),
