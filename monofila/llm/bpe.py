@@ -221,10 +221,11 @@ def decode(encoded: DataFrame, definition: bytes, id_type: str = "bigint") -> Da
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, text string")
 
 
-def round_trip(docs: DataFrame, definition: bytes) -> DataFrame:
-    """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def round_trip(docs: DataFrame, definition: bytes, with_ids: bool = False) -> DataFrame:
+    """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids
+    where asked for.
 
-    Nothing is shuffled, and ids never leave the task. Null and empty texts have no tokens
+    Nothing is shuffled. Null and empty texts have no tokens
     and the hashes of the empty string; a null doc_id stays null; repeated rows give repeated
     rows; an empty table gives none; other columns are ignored. ``definition`` is the
     vocabulary file, of fixed size, and is broadcast.
@@ -237,14 +238,18 @@ def round_trip(docs: DataFrame, definition: bytes) -> DataFrame:
         digits = [str(i) for i in range(codec.size)].__getitem__
         sha = hashlib.sha256
         for b in batches:
-            out, values = [], b.column("text").to_pylist()
+            out, lists, values = [], [], b.column("text").to_pylist()
             for i in range(0, len(values), 256):
                 for ids in codec.encode_batch(values[i : i + 256]):
+                    if with_ids:
+                        lists.append(np.array(ids, dtype=np.int32))
                     out.append((len(ids), sha(",".join(map(digits, ids)).encode()).hexdigest(), sha(codec.decode(ids).encode()).hexdigest()))
             n, ids, decoded = zip(*out) if out else ((), (), ())
+            more = {"ids": pa.array(lists, pa.list_(pa.int32()))} if with_ids else {}
             yield carried(
-                b, "doc_id", n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids, pa.string()),
+                b, "doc_id", **more, n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids, pa.string()),
                 decoded_sha256=pa.array(decoded, pa.string()),
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    ids = "ids array<int>, " if with_ids else ""
+    return rows.mapInArrow(run, f"doc_id bigint, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -1,11 +1,12 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document's signature has 64 symbols of 12 bits, one per hash function, cut into 13 chunks
-of 5 symbols. Two signatures that differ in at most ``MOST`` = 24 symbols have, by the
-pigeonhole rule, a chunk with at most one difference. So every chunk is indexed once per
-symbol left out: sharing one of these 64 keys is certain for all pairs under the threshold
-(a pair at similarity 0.85 exceeds it about once in a million). 63 further symbols of 8 bits
-narrow the candidates; every link is then confirmed on the full shingle sets.
+of 5 symbols. Two signatures that differ in 25 symbols at most have, by the pigeonhole rule, a
+chunk with at most one difference. So every chunk is indexed once per symbol left out:
+sharing one of these 64 keys is certain for all pairs under that distance (at similarity 0.8
+all chunks have two differences about three times in a hundred million). 63 further symbols
+of 8 bits narrow the candidates to those within five standard deviations of the similarity;
+every link is then confirmed on the full shingle sets.
 
 Components need far fewer links than there are similar pairs, so no group is expanded:
 
@@ -20,6 +21,8 @@ Keys that a third of all documents share are joined, never grouped into one task
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,11 +33,8 @@ from monofila.llm.components import components
 
 SYMBOLS, BITS, CHUNK, CHUNKS = 64, 12, 5, 13
 FURTHER, FURTHER_BITS = 63, 8
-#: Most differing symbols: in the indexed part, and in both parts together.
-MOST, MOST_ALL = 24, 40
-#: Linked when 100 * intersection >= PERCENT * union.
-PERCENT = 85
-SHINGLE = 3
+#: Linked when 100 * intersection >= PERCENT * union of sets of SHINGLE words.
+SHINGLE, PERCENT = 3, 85
 STAR_ROUNDS = 2
 
 _C = [f"c{i}" for i in range(CHUNKS)]
@@ -136,12 +136,19 @@ def differing(a: Column, b: Column, bits: int) -> Column:
     return F.bit_count((x.bitwiseAND(F.lit(rest)) + F.lit(rest)).bitwiseOR(x).bitwiseAND(F.lit(top)))
 
 
-def close(a: str = "a", b: str = "b") -> Column:
+def farthest(percent: int) -> int:
+    """Differing symbols of a pair just similar enough: the mean and five deviations."""
+    apart = 1 - percent / 100
+    n = SYMBOLS + FURTHER
+    return math.ceil(n * apart + 5 * math.sqrt(n * apart * (1 - apart)))
+
+
+def close(percent: int, a: str = "a", b: str = "b") -> Column:
     """Sizes and signatures allow a link."""
-    sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= PERCENT * F.greatest(f"{a}.n", f"{b}.n")
+    sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
     first = sum((differing(F.col(f"{a}.{c}"), F.col(f"{b}.{c}"), BITS) for c in _C), F.lit(0))
     more = sum((differing(F.col(f"{a}.{c}"), F.col(f"{b}.{c}"), FURTHER_BITS) for c in _S), F.lit(0))
-    return sizes & (first <= MOST) & (first + more <= MOST_ALL)
+    return sizes & (first + more <= farthest(percent))
 
 
 def first_shared() -> Column:
@@ -154,7 +161,7 @@ def first_shared() -> Column:
     return (F.col("a.chunk") == first) & ((F.col("a.dropped") == 0) | (here == 1))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the similarity."""
 
     def run(batches):
@@ -165,7 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 keep = []
                 for x, y in zip(*sets):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield carried(b.slice(i, j - i), "a", "b", link=pa.array(keep))
 
     texts_of = docs.select("doc_id", "text")
@@ -176,7 +183,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint, link boolean").filter("link").select("a", "b")
 
 
-def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Null and empty texts have no shingles and are linked with nothing. Of rows with one
@@ -210,19 +217,19 @@ def near_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             pairs = (
                 pairs.join(signed.select(F.col("id").alias("a"), F.struct("n", *_C, *_S).alias("x")), "a")
                 .join(signed.select(F.col("id").alias("b"), F.struct("n", *_C, *_S).alias("y")), "b")
-                .filter(close("x", "y")).select("a", "b")
+                .filter(close(percent, "x", "y")).select("a", "b")
             )
         else:
             mixed_keys = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
             open_rows = scratch(here.join(mixed_keys.select("key"), "key").join(signed, "id"), "open-keys")
             x, y = open_rows.alias("a"), open_rows.alias("b")
             on = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-            pairs = x.join(y, on & first_shared() & close()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+            pairs = x.join(y, on & first_shared() & close(percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = scratch(confirmed(pairs, candidates, k), "confirmed")
+        found = scratch(confirmed(pairs, candidates, k, percent), "confirmed")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     return whole(sketches, classes, labels)

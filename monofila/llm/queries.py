@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from monofila.llm.bpe import round_trip
 from monofila.llm.common import table
 from monofila.llm.exact_dedup import exact_dedup
+from monofila.llm.line_dedup import line_dedup
+from monofila.llm.mixing import mix
 from monofila.llm.near_dedup import near_components
 from monofila.llm.quality_classifier import quality_classifier
 from monofila.llm.quality_rules import quality_rules
@@ -34,14 +36,22 @@ def queries() -> dict[str, Query]:
     def with_labels(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
         return lambda spark, folder: operator(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
+    def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+        import corpus_pipeline
+
+        return corpus_pipeline.run(spark, folder)
+
     return {
+        "pipeline": pipeline,
         "op1_token_counts": on_documents(lambda docs: token_counts(docs, vocabulary())),
         "op2_substring_dedup": on_documents(substring_dedup),
         "op3_byte_shards": on_documents(byte_shards),
         "op4_minhash_hamming": on_documents(near_components),
         "op5_bpe_round_trip": on_documents(lambda docs: round_trip(docs, vocabulary())),
+        "op6_pfair_mix": on_documents(mix),
         "op7_exact_dedup": on_documents(exact_dedup),
         "op8_quality_rules": with_labels(quality_rules),
+        "op9_line_dedup": on_documents(line_dedup),
         "op10_quality_classifier": with_labels(quality_classifier),
     }
 
