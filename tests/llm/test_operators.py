@@ -1,0 +1,335 @@
+"""Each operator against its plain version, and its defined results at the edges."""
+
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from monofila.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, repeats, sharding, substring_dedup, token_counts
+
+
+def tuples(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+# 1 token counts
+
+@pytest.mark.parametrize("chunk, overlap", [(65_536, 1_024), (200, 16), (40, 8)])
+def test_token_counts_equal_the_library(docs, rows, definition, library, chunk, overlap):
+    got = token_counts.token_counts(docs, definition, chunk, overlap, limit=30)
+    count = {i: len(library.encode(t or "", add_special_tokens=False)) for i, t in rows}
+    want = [(i, len((t or "").encode()), count[i], count[i] > 30) for i, t in rows]
+    assert tuples(got, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)
+
+
+def test_token_counts_at_the_edges(odd, nothing, definition, library):
+    got = token_counts.token_counts(odd, definition, chunk=50, overlap=8)
+    want = sorted((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False))) for r in odd.fillna(-1, "doc_id").collect())
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got.collect()) == want
+    assert token_counts.token_counts(nothing, definition).collect() == []
+
+
+def test_chunk_borders_near_a_special_string(spark, definition, library):
+    texts = ["x" * k + " y <|endoftext|>  it's 'rest 'll <|endoftext|>z" * 6 for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = token_counts.token_counts(df, definition, chunk=37, overlap=32)
+    assert tuples(got, "doc_id", "n_tokens") == sorted(((i, len(library.encode(t, add_special_tokens=False))) for i, t in enumerate(texts)), key=repr)
+
+
+# 2 substring dedup
+
+@pytest.mark.parametrize("crowded", [1_000, 1])
+def test_substring_dedup(docs, rows, monkeypatch, crowded):
+    monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    got = substring_dedup.substring_dedup(docs)
+    assert tuples(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substring_dedup(rows), key=repr)
+
+
+def test_substring_dedup_at_the_edges(odd, nothing):
+    got = substring_dedup.substring_dedup(odd)
+    want = brute.substring_dedup([(r.doc_id, r.text) for r in odd.collect()])
+    assert tuples(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+    assert substring_dedup.substring_dedup(nothing).collect() == []
+
+
+# 3 sharding
+
+@pytest.mark.parametrize("shards", [1, 5, 24])
+def test_byte_shards(docs, rows, shards):
+    got = sharding.byte_shards(docs, shards).collect()
+    texts = dict(rows)
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    by = defaultdict(list)
+    for r in got:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 8, zlib.crc32(data), "bytes", None)
+        by[r.shard].append(r)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    assert set(by) <= set(range(shards))
+
+
+def test_byte_shards_are_even_though_one_text_fills_most(spark):
+    rows = [(i, "the same text again" if i % 3 else f"text {i} " * (1 + i % 5)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    size = Counter()
+    for r in sharding.byte_shards(df, 8).collect():
+        size[r.shard] += r["size"]
+    even = sum(size.values()) / 8
+    assert len(size) == 8 and all(abs(x - even) < 200 + 0.01 * even for x in size.values())
+
+
+def test_byte_shards_at_the_edges(odd, nothing, monkeypatch):
+    monkeypatch.setattr(sharding, "NUMBERED", 2)
+    got = sharding.byte_shards(odd, 3).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == odd.count() and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sharding.byte_shards(nothing).collect() == []
+
+
+# 4 near dedup
+
+@pytest.mark.parametrize("k, percent, crowded", [(3, 85, 50), (3, 85, 1), (5, 80, 50)])
+def test_near_components(docs, rows, monkeypatch, k, percent, crowded):
+    monkeypatch.setattr(near_dedup, "CROWDED", crowded)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(docs, k, percent).collect()}
+    assert got == brute.near_components(rows, k, percent)
+
+
+def test_near_components_at_the_edges(odd, nothing):
+    got = near_dedup.near_components(odd)
+    assert got.count() == odd.count()
+    assert {r.component_id for r in got.collect() if r.n_shingles == 58} == {5}
+    assert near_dedup.near_components(nothing).collect() == []
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(near_dedup, "CROWDED", 8)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    copies = []
+    for i in range(250):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        copies.append((i, " ".join(copy)))
+    rng.shuffle(copies)
+    got = near_dedup.near_components(spark.createDataFrame(copies, "doc_id bigint, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute.near_components(copies)
+
+
+def test_chains_of_links_are_followed(spark):
+    words = [f"w{i}" for i in range(400)]
+    chain = [(i, " ".join(words[3 * i : 3 * i + 100])) for i in range(60)]
+    df = spark.createDataFrame(chain, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(df).collect()}
+    assert got == brute.near_components(chain) and {v[1] for v in got.values()} == {0}
+
+
+# 5 BPE
+
+def test_bpe_round_trip(docs, rows, definition, library):
+    got = bpe.round_trip(docs, definition)
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), brute.sha(",".join(map(str, ids))), brute.sha(library.decode(ids, skip_special_tokens=False))))
+    assert tuples(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+
+
+def test_bpe_encode_and_decode(docs, odd, nothing, rows, definition, library):
+    encoded = bpe.encode(docs, definition)
+    assert {r.doc_id: r.text for r in bpe.decode(encoded, definition).collect()} == {i: t or "" for i, t in rows}
+    assert bpe.round_trip(odd, definition).count() == odd.count()
+    assert bpe.round_trip(nothing, definition).collect() == []
+    codec = bpe.Codec(definition)
+    for ids in ([], [50256], [0, 255, 128, 240], list(range(180, 260))):
+        assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_scanning_and_heap_agree(definition, library):
+    codec = bpe.Codec(definition)
+    for word in ("a" * 300, "abc" * 40, "ééà" * 30, " hello", "x", "ing" * 22):
+        ids = tuple(library.encode(word, add_special_tokens=False).ids)
+        assert codec.heap(word.encode()) == codec.scan([word.encode()])[0] == ids
+
+
+# 6 mixing
+
+def test_pfair_deviation_is_below_one_block():
+    for weights, period in (([1], 8), ([5, 1, 1], 64), ([0.5, 0.3, 0.15, 0.05], 100), ([1 / 3] * 3 + [1e-6], 1_024), (list(range(1, 30)), 128)):
+        shares = mixing.units(weights, period)
+        slots = mixing.period_slots(shares)
+        assert sorted(sum(slots, [])) == list(range(sum(shares)))
+        for share, own in zip(shares, slots):
+            for t in range(period):
+                assert abs(sum(s <= t for s in own) - share * (t + 1) / period) < 1
+
+
+def test_mix_lays_out_every_document(docs, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 5)
+    got = mixing.placed(docs, block=500, period=64).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    taken = defaultdict(set)
+    for r in got:
+        assert r.release <= r.slot < r.deadline
+        taken[r.slot].add(r.source)
+    assert all(len(v) == 1 for v in taken.values())
+    end = min((r.slot for r in got if not r.in_mix), default=None)
+    assert end is None or all(r.slot < end for r in got if r.in_mix)
+    assert any(r.in_mix for r in got)
+
+
+def test_mix_follows_given_weights(spark):
+    rows = [(i, "x" * 100, "abc"[min(i % 6, 2)]) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [r for r in mixing.placed(df, {"a": 1, "b": 3}, block=1_000).collect() if r.in_mix]
+    n = Counter(r.source for r in got)
+    assert set(n) == {"a", "b"} and abs(n["b"] / n["a"] - 3) < 0.1
+    assert mixing.mixed_documents(df).columns == df.columns
+
+
+def test_mix_at_the_edges(odd, nothing, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    assert mixing.mix(odd).count() == odd.count()
+    wide = odd.withColumn("source", F.col("doc_id").cast("string"))
+    assert mixing.mix(wide).count() == odd.count()
+    assert mixing.mix(nothing).collect() == [] and mixing.mixed_documents(nothing).collect() == []
+
+
+# 7 exact dedup
+
+@pytest.mark.parametrize("cells", [1 << 18, 1 << 30])
+def test_exact_dedup(docs, rows, cells):
+    got = exact_dedup.exact_dedup(docs, cells)
+    assert tuples(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute.exact_dedup(rows), key=repr)
+
+
+def test_a_full_filter_only_costs_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENT", 1)
+    rows = [(i, f"text {i % 700}") for i in range(1_000)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), most_cells=8)
+    assert tuples(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute.exact_dedup(rows), key=repr)
+
+
+def test_exact_dedup_at_the_edges(odd, nothing):
+    got = exact_dedup.exact_dedup(odd)
+    long = [r for r in got.collect() if r.group_size == 5]
+    assert len(long) == 5 and {r.keep_id for r in long} == {5} and sum(r.kept for r in long) == 1
+    assert got.count() == odd.count() and exact_dedup.exact_dedup(nothing).collect() == []
+
+
+# 8 quality rules
+
+def test_rule_counts(docs, rows, labels):
+    got = quality_rules.quality_rules(docs, labels)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    want = []
+    for i, t in rows:
+        c = brute.rule_counts(t)
+        want.append((i, *c, c[0] < 50 or 100 * c[4] > 50 * c[0]))
+    assert tuples(got, "doc_id", *names, "base_failed") == sorted(want, key=repr)
+    assert got.filter("base_failed AND kept").count() == 0
+
+
+def test_forest_isolates_what_is_unlike():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    usual, strange = rng.normal(0, 1, (2_000, 4)), rng.normal(0, 1, (20, 4)) + 9
+    forest = quality_rules.Forest.fit(np.vstack([usual, strange]))
+    forest.calibrate(forest.score(usual), forest.score(strange))
+    assert (forest.score(strange) > forest.threshold).all() and (forest.score(usual) > forest.threshold).mean() <= 0.005
+
+
+def test_quality_rules_at_the_edges(odd, nothing, labels):
+    assert quality_rules.quality_rules(odd, labels).count() == odd.count()
+    assert quality_rules.quality_rules(nothing, labels).collect() == []
+    alone = quality_rules.quality_rules(odd, labels.limit(0))
+    assert alone.filter("kept = base_failed").count() == 0
+
+
+# 9 line dedup
+
+def test_edit_distance():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(3_000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 10))) for _ in range(2))
+        for most in range(4):
+            assert line_dedup.edit_distance_within(a, b, most) == (brute.edit_distance(a, b) <= most)
+
+
+def test_line_dedup(docs, rows):
+    got = {r.doc_id: (r.n_lines, r.n_removed, sorted(r.removed)) for r in line_dedup.line_dedup(docs).collect()}
+    want = brute.line_dedup(rows, line_dedup.allowed, line_dedup.SHORTEST)
+    assert got == {i: ((t or "").count("\n") + 1, len(want[i]), want[i]) for i, t in rows}
+
+
+def test_line_dedup_cuts_lines(docs, rows):
+    want = brute.line_dedup(rows, line_dedup.allowed, line_dedup.SHORTEST)
+    out = {}
+    for i, t in rows:
+        if want[i]:
+            t = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i])
+            if not brute.words(t):
+                continue
+        out[i] = t
+    got = line_dedup.without_repeated_lines(docs)
+    assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == out
+
+
+def test_line_dedup_at_the_edges(odd, nothing):
+    got = line_dedup.line_dedup(odd)
+    assert got.count() == odd.count()
+    assert [r.n_removed for r in got.collect() if r.doc_id == 2**60] == [1]
+    assert line_dedup.line_dedup(nothing).collect() == []
+
+
+# 10 quality classifier
+
+def test_weak_labels_find_accuracies():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    good = rng.random(5_000) < 0.8
+    accuracy = np.array([0.95, 0.9, 0.85, 0.8])
+    right = rng.random((5_000, 4)) < accuracy
+    said = np.where(right, good[:, None], ~good[:, None]).astype(np.int64)
+    patterns, at, counts = np.unique(said, axis=0, return_inverse=True, return_counts=True)
+    model = quality_classifier.WeakLabels.fit(patterns, counts.astype(float))
+    belief = model.posterior(patterns)[at.ravel()] > 0.5
+    assert (belief == good).mean() > 0.8
+    assert model.accuracy().shape == (2, 4)
+
+
+def test_quality_classifier_on_held_out_documents(spark):
+    """Trained on weak labels only; the labels of the fixture are never seen."""
+    import random
+
+    rng = random.Random(5)
+    common = ["the", "of", "and", "river", "stone", "walked", "house", "under", "evening", "light", "slowly", "table"]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(common) + rng.choice(["", "s", ",", "."]) for _ in range(rng.randint(60, 120))]
+        if i % 4 == 0:
+            words = [[w + "###" for w in words], [w.upper() + "!!" for w in words], [words[0]] * 80][i // 4 % 3]
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = quality_classifier.quality_classifier(df, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), trained=200)
+    right = sum(r.kept == (r.doc_id % 4 != 0) for r in got.collect())
+    assert right >= 590
+
+
+def test_quality_classifier_at_the_edges(odd, nothing, docs, labels):
+    got = quality_classifier.quality_classifier(odd, labels)
+    assert got.count() == odd.count() and not [r for r in got.filter("doc_id = 7").collect() if r.kept]
+    assert quality_classifier.quality_classifier(nothing, labels).collect() == []
+    assert quality_classifier.quality_classifier(docs, labels.limit(0)).count() == docs.count()
