@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
-from monofila.rules import DEPARTMENT_LABELS, MONTHS
-from monofila.sources.staged import CATALOGUE
+# Fixed values, written out once more: a wrong one in the library must not pass.
+DEPARTMENT_LABELS = {
+    "05": "Antioquia", "08": "Atlántico", "11": "Bogotá D.C.", "13": "Bolívar",
+    "15": "Boyacá", "17": "Caldas", "18": "Caquetá", "19": "Cauca",
+    "20": "Cesar", "23": "Córdoba", "25": "Cundinamarca", "27": "Chocó",
+    "41": "Huila", "44": "La Guajira", "47": "Magdalena", "50": "Meta",
+    "52": "Nariño", "54": "Norte de Santander", "63": "Quindío", "66": "Risaralda",
+    "68": "Santander", "70": "Sucre", "73": "Tolima", "76": "Valle del Cauca",
+    "81": "Arauca", "85": "Casanare", "86": "Putumayo", "88": "San Andrés",
+    "91": "Amazonas", "94": "Guainía", "95": "Guaviare", "97": "Vaupés",
+    "99": "Vichada",
+}
+MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
+CATALOGUE = [
+    ("Cédula de Ciudadanía", 3, "CC"),
+    ("Cédula de Extranjería", 2, "CE"),
+    ("Tarjeta de Identidad", 15, "TI"),
+    ("Registro Civil", 1, "RC"),
+    ("Pasaporte", 5, "PA"),
+    ("Permiso Especial", 12, "PE"),
+    ("NIT", 4, "NI"),
+    ("NIT", 4, "NT"),
+    ("Carné Diplomático", 6, "CD"),
+    ("Adulto sin Identificación", 9, "AS"),
+    ("Menor sin Identificación", 10, "MS"),
+]
 
 _CATALOGUE = ", ".join(f"('{n}', {c}, '{a}')" for n, c, a in CATALOGUE)
 
@@ -360,6 +384,9 @@ def oracle_queries() -> dict[str, str]:
             FROM consolidated WHERE tenant = 0 GROUP BY ALL"""
         ),
         "q_territory_labels": _on_consolidated(
+            f"""SELECT {_department("dept", "'Sin dato'")} AS department, count(*) AS n FROM consolidated GROUP BY ALL"""
+        ),
+        "q_territory_labels_of_channel": _on_consolidated(
             f"""SELECT {_department("dept", "'Sin dato'")} AS department, count(*) AS n FROM consolidated
             WHERE channel = 'DIGITAL' GROUP BY ALL"""
         ),
@@ -379,6 +406,9 @@ def oracle_queries() -> dict[str, str]:
         ),
         "q_measures_by_channel": _on_consolidated(f"SELECT channel, {_measures()} FROM consolidated GROUP BY channel"),
         "q_measures_by_classification": _on_consolidated(
+            f"SELECT classification, {_measures('filings', 'effective_share')} FROM consolidated GROUP BY classification"
+        ),
+        "q_measures_sliced": _on_consolidated(
             f"SELECT classification, {_measures('filings', 'effective_share')} FROM consolidated WHERE regime = 'SUBSIDIADO' GROUP BY classification"
         ),
         "q_measures_by_department": _on_consolidated(
@@ -397,22 +427,21 @@ def oracle_queries() -> dict[str, str]:
             m_not_in_catalogue AS "No homologado", m_incomplete_territory AS "Territorio incompleto",
             m_invalid_date AS "Fecha inválida", m_critical AS "Registro crítico" FROM consolidated"""
         ),
-        "q_load_blank_to_null": _staged(
-            "SELECT tenant, id, " + ", ".join(
-                f"nullif(trim({c}), '') AS {c}"
-                for c in ("doc_type", "doc_num", "filed", "requested", "status", "regime", "dane", "advisor")
-            ) + " FROM s_web"
-        ),
-        "q_width_violations": _staged(" UNION ALL ".join(
-            f"SELECT tenant, id, '{c}' AS \"column\", '{problem}' AS problem, CAST(length({c}) AS INTEGER) AS length, left({c}, 60) AS value "
-            f"FROM s_desk WHERE {test}"
-            for c, problem, test in (
-                ("doc_type", "too_long", "length(doc_type) > 3"),
-                ("doc_num", "not_integer", "doc_num IS NOT NULL AND try_cast(doc_num AS INTEGER) IS NULL"),
-                ("regime", "too_long", "length(regime) > 12"),
-                ("advisor", "not_integer", "advisor IS NOT NULL AND try_cast(advisor AS INTEGER) IS NULL"),
+        "q_load_blank_to_null": _staged(" UNION ALL BY NAME ".join(
+            f"SELECT '{channel}' AS channel, tenant, id, " + ", ".join(f"nullif(trim({c}), '') AS {c}" for c in columns) + f" FROM {table}"
+            for channel, table, columns in (
+                ("AFILIACIONES", "s_desk", ("doc_type", "doc_num", "filed", "regime", "dept", "muni", "advisor")),
+                ("DIGITAL", "s_web", ("doc_type", "doc_num", "filed", "requested", "status", "regime", "dane", "advisor")),
+                ("SAT", "s_official", ("doc_type", "doc_num", "filed", "regime", "dept", "muni", "advisor")),
             )
         )),
+        "q_width_violations": _staged(" UNION ALL ".join(
+            f"SELECT tenant, '{channel}' AS channel, id AS filing, '{c}' AS \"column\", 'too_long' AS problem, "
+            f"CAST(length(repeat({c}, 1 + id % 4)) AS INTEGER) AS length, left(repeat({c}, 1 + id % 4), 60) AS value "
+            f"FROM {table} WHERE length(repeat({c}, 1 + id % 4)) > {width}"
+            for channel, table in (("AFILIACIONES", "s_desk"), ("DIGITAL", "s_web"), ("SAT", "s_official"))
+            for c, width in (("doc_type", 5), ("doc_num", 20), ("filed", 30), ("regime", 50), ("advisor", 20))
+        )),
         "q_input_completeness": """WITH received AS (SELECT DISTINCT CASE WHEN o_orderkey % 8 < 4 THEN 0 ELSE 1 END AS tenant,
             CASE o_orderpriority WHEN '5-LOW' THEN 'AFILIACIONES.csv' WHEN '2-HIGH' THEN 'DIGITAL.csv' WHEN '1-URGENT' THEN 'SAT.csv'
             ELSE o_orderpriority || '.csv' END AS file FROM orders),

@@ -16,12 +16,14 @@ from monofila.operators import sampling as M
 from monofila.operators import universe as U
 from monofila.plans import reports as R
 from monofila.rules import DESK, OFFICIAL, WEB, Rules
-from monofila.schemas import INTEGER, SOURCES
+from monofila.schemas import CONSOLIDATED, DESK_CHANNEL, DESK_SOURCE, OFFICIAL_CHANNEL, OFFICIAL_SOURCE, SOURCES, WEB_CHANNEL, WEB_SOURCE
 from monofila.sources import staged as S
 from monofila.sources.delimited import completeness, violations
-from monofila.sources.storage import write_scratch
+from monofila.sources.storage import read_tenants, replace_tenants, scratch_path
 
 RULES = Rules()
+#: Tenants of the derived tables.
+TENANTS = (0, 1)
 
 
 class Bench:
@@ -81,7 +83,18 @@ class Bench:
 
     @cached_property
     def consolidated(self) -> DataFrame:
-        return write_scratch(self.computed, "consolidated")
+        """The table a refresh writes: partitioned by tenant, sorted by channel and month."""
+        path = scratch_path(self.spark, "consolidated")
+        replace_tenants(self.computed, path, TENANTS, ("channel", "period"))
+        return read_tenants(self.spark, path, CONSOLIDATED)
+
+    @property
+    def received(self) -> DataFrame:
+        """Tenant and channel of every filing. A lookup never multiplies filings, so counting
+        them needs none."""
+        parts = ((DESK, self.desk), (WEB, self.web), (OFFICIAL, self.official))
+        rows = [df.select("tenant", F.lit(name).alias("channel")) for name, df in parts]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
     @property
     def sources(self) -> dict[str, DataFrame]:
@@ -121,16 +134,39 @@ def _per_code(b: Bench, only_shared: bool) -> DataFrame:
     )
 
 
+TEXTS = {
+    DESK: ("doc_type", "doc_num", "filed", "regime", "dept", "muni", "advisor"),
+    WEB: ("doc_type", "doc_num", "filed", "requested", "status", "regime", "dane", "advisor"),
+    OFFICIAL: ("doc_type", "doc_num", "filed", "regime", "dept", "muni", "advisor"),
+}
+
+
 def _blank_to_null(b: Bench) -> DataFrame:
-    """Every text of the web channel, surrounded by mixed blanks, as loaded."""
-    texts = ("doc_type", "doc_num", "filed", "requested", "status", "regime", "dane", "advisor")
-    noisy = [F.concat(F.lit("\t "), F.coalesce(t, F.lit("")), F.lit(" \r\n")).alias(t) for t in texts]
-    return b.web.select("tenant", "id", *noisy).select("tenant", "id", *[strip_blank(F.col(t)).alias(t) for t in texts])
+    """Every text of every channel, surrounded by mixed blanks, as loaded."""
+    parts = []
+    for name, texts in TEXTS.items():
+        noisy = [F.concat(F.lit("\t "), F.coalesce(t, F.lit("")), F.lit(" \r\n")).alias(t) for t in texts]
+        clean = [strip_blank(F.col(t)).alias(t) for t in texts]
+        parts.append(b.sources[name].select("tenant", "id", *noisy).select(F.lit(name).alias("channel"), "tenant", "id", *clean))
+    return parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
 
 
 def _width_violations(b: Bench) -> DataFrame:
-    rules = {"doc_type": 3, "doc_num": INTEGER, "regime": 12, "advisor": INTEGER}
-    return violations(b.desk, rules, "tenant", "id")
+    """Every channel against the widths its file may have. Staged names are shorter than the
+    file's, so widths go through the channel mapping."""
+    parts = []
+    for channel, source, df in (
+        (DESK_CHANNEL, DESK_SOURCE, b.desk), (WEB_CHANNEL, WEB_SOURCE, b.web), (OFFICIAL_CHANNEL, OFFICIAL_SOURCE, b.official),
+    ):
+        names = {
+            "id": channel.filing_id, "doc_type": channel.doc_type, "doc_num": channel.doc_number, "filed": channel.filed[0],
+            "regime": channel.regime, "advisor": channel.advisor,
+        }
+        # Texts as an unpadded sender would repeat them: some outgrow their column.
+        grown = df.withColumns({n: F.repeat(F.col(n), F.pmod("id", F.lit(4)).cast("int") + 1) for n in names if n != "id"})
+        rules = {n: source.columns[column] for n, column in names.items()}
+        parts.append(violations(grown, rules, "tenant", F.lit(channel.name).alias("channel"), F.col("id").alias("filing")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _input_completeness(b: Bench) -> DataFrame:
@@ -182,11 +218,11 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         ),
         "q_effective": lambda b: b.consolidated.select("tenant", "person_key", "channel", "status", "is_effective"),
         # batch report
-        "q_headline": lambda b: R.headline(b.consolidated, b.universe, b.notices),
-        "q_headline_tenant": lambda b: R.headline(b.consolidated, b.universe, b.notices, tenant=1),
+        "q_headline": lambda b: R.headline(b.consolidated, b.received, b.notices),
+        "q_headline_tenant": lambda b: R.headline(b.consolidated, b.received, b.notices, tenant=1),
         "q_tenant_totals": lambda b: R.tenant_totals(b.consolidated, 1),
         "q_by_classification": lambda b: R.by_classification(b.consolidated),
-        "q_source_contribution": lambda b: R.source_contribution(b.universe, b.consolidated),
+        "q_source_contribution": lambda b: R.source_contribution(b.received, b.consolidated),
         "q_by_regime": lambda b: R.by_regime(b.consolidated),
         "q_advisor_pareto": lambda b: R.advisor_pareto(b.consolidated),
         "q_by_territory": lambda b: R.by_territory(b.consolidated),
@@ -205,17 +241,21 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         "q_by_classification_by_channel": lambda b: R.by_classification_by_channel(b.consolidated, tenant=0),
         "q_by_regime_by_channel": lambda b: R.by_regime_by_channel(b.consolidated, tenant=0),
         "q_by_territory_by_channel": lambda b: R.by_territory_by_channel(b.consolidated, tenant=0),
-        "q_territory_labels": lambda b: R.territory_labels(b.consolidated, channel=WEB),
+        "q_territory_labels": lambda b: R.territory_labels(b.consolidated),
+        "q_territory_labels_of_channel": lambda b: R.territory_labels(b.consolidated, channel=WEB),
         "q_top_territories": lambda b: R.top_territories(b.consolidated),
         "q_kpi_status": lambda b: R.kpi_status(b.consolidated),
         "q_quality_status": lambda b: R.quality_status(b.universe),
-        "q_funnel": lambda b: R.funnel(b.universe, b.consolidated),
+        "q_funnel": lambda b: R.funnel(b.received, b.consolidated),
         "q_findings": lambda b: R.findings(b.universe, b.consolidated),
         "q_peak_month": lambda b: R.peak_month(b.consolidated),
         "q_incomplete_last_month": lambda b: R.incomplete_last_month(b.consolidated),
         # workbook
         "q_measures_by_channel": lambda b: R.measures_by(b.consolidated, "channel"),
         "q_measures_by_classification": lambda b: R.measures_by(
+            b.consolidated, "classification", names=["filings", "effective_share"]
+        ),
+        "q_measures_sliced": lambda b: R.measures_by(
             b.consolidated, "classification", names=["filings", "effective_share"], regime="SUBSIDIADO"
         ),
         "q_measures_by_department": lambda b: R.measures_by(

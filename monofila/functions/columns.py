@@ -71,9 +71,11 @@ def pct1(part: Column, total: Column) -> Column:
 
 
 def _half_up(part: Column, total: Column, scale: int) -> Column:
-    """Rounded in integers, so that exact halves never depend on binary fractions."""
+    """Rounded in integers, so that exact halves never depend on binary fractions. Halves
+    go up for negative parts too: the division takes the floor."""
     p, t = part.cast("bigint"), F.nullif(total.cast("bigint"), F.lit(0).cast("bigint"))
-    return F.call_function("div", F.lit(200 * scale) * p + t, F.lit(2) * t).cast("double") / F.lit(float(scale))
+    above, below = F.lit(200 * scale) * p + t, F.lit(2) * t
+    return F.call_function("div", above - F.pmod(above, below), below).cast("double") / F.lit(float(scale))
 
 
 def lookup(c: Column, names: Mapping[str, str]) -> Column:

@@ -71,9 +71,8 @@ def consolidate(universe: DataFrame, history: DataFrame, rules: Rules = Rules())
     """Consolidated view: 27 columns, ``filed_at`` still a timestamp."""
     people = survivors(universe, rules).join(history_by_key(history, rules), ["tenant", "person_key"], "left")
 
-    same_type = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length("doc_type"))
-    own = F.col("own_mask").bitwiseAND(same_type) != 0
-    other = F.col("other_mask").bitwiseAND(same_type) != 0
+    own = F.array_contains("own_lengths", F.length("doc_type"))
+    other = F.array_contains("other_lengths", F.length("doc_type"))
 
     unknown = F.col("doc_type") == rules.unknown_type
     empty = F.nullif(F.col("doc_number"), F.lit("")).isNull()

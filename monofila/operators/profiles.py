@@ -36,20 +36,19 @@ def history_by_key(history: DataFrame, rules: Rules = Rules()) -> DataFrame:
     are already partitioned by (tenant, person_key) and neither moves again.
 
     ``type-number`` alone could confuse ('A-B', '1') with ('A', 'B-1'). Given equal
-    keys, types are equal exactly when their lengths are, so each flag is a bit mask
-    indexed by type length. Types longer than 62 never equal a catalogue type.
+    keys, types are equal exactly when their lengths are, so each flag is the set of
+    type lengths seen, at most one per dash in the key.
     """
     own, other = _insurer_flags(rules)
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length("type"))
 
-    def mask(test: Column) -> Column:
-        return F.bit_or(F.when(test, bit).otherwise(F.lit(0).cast("bigint")))
+    def lengths(test: Column) -> Column:
+        return F.collect_set(F.when(test, F.length("type")))
 
     return (
         history.select("tenant", "entity", F.trim("doc_type").alias("type"), F.trim("doc_num").alias("number"))
-        .filter(blank_to_null(F.col("number")).isNotNull() & (F.length("type") <= 62))
+        .filter(blank_to_null(F.col("number")).isNotNull())
         .groupBy("tenant", F.concat("type", F.lit("-"), "number").alias("person_key"))
-        .agg(mask(own).alias("own_mask"), mask(other).alias("other_mask"))
+        .agg(lengths(own).alias("own_lengths"), lengths(other).alias("other_lengths"))
     )
 
 

@@ -131,7 +131,7 @@ def scan(
     common = [c for c in source.columns if c in header]
     ignored = [c for c in header if c not in source.columns]
     if not common:
-        raise ValueError(f"{source.file}: no column of the header is known: {', '.join(header[:6])}")
+        raise ValueError(f"none of these headings belongs to {source.file}: {', '.join(header)}")
 
     spans, empty, blank = _text_probe(spark, path, source.separator)
     if multi_line is None:
@@ -201,7 +201,7 @@ def typed(rows: DataFrame, source: Source, strict: bool = False) -> DataFrame:
         value = F.col(name).try_cast("int") if width == INTEGER else F.col(name)
         if strict:
             shown = F.left(F.col(name), F.lit(60))
-            told = F.concat(F.lit(f"{source.file}: no fit in {name} ("), F.length(name), F.lit(" characters): "), shown)
+            told = F.concat(F.lit(f"column {name} of {source.file} holds "), F.length(name), F.lit(" characters it cannot take, from: "), shown)
             value = F.when(_unfit(name, width), F.raise_error(told)).otherwise(value)
         columns.append(value.alias(name))
     return rows.select(*columns)

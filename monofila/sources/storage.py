@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 from uuid import uuid4
 
@@ -13,10 +12,9 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor sees, from ``spark.checkpoint.dir``.
+    """Folder every executor sees: ``spark.checkpoint.dir``, else one beside the warehouse.
 
-    Only a local session may go without: it gets a temporary folder. The folder is
-    also made the checkpoint directory when none is set yet.
+    It is also made the checkpoint directory when none is set yet.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -24,17 +22,27 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         folder = current
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="monofila-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if current is None:
         context.setCheckpointDir(folder)
     return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New path under the shared folder; never reused."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex[:12]}"
+    """New path in this application's part of the shared folder; never reused."""
+    return f"{_scratch_root(spark)}/{name}-{uuid4().hex[:12]}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove everything this application wrote aside. Results that are not computed yet read
+    such tables, so call it when they have been written."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(context._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
@@ -49,23 +57,20 @@ def ensure_tenant(df: DataFrame) -> DataFrame:
     return df if "tenant" in df.columns else df.withColumn("tenant", F.lit(0))
 
 
-def stamp_tenant(df: DataFrame, tenant: int) -> DataFrame:
-    return df.withColumn("tenant", F.lit(tenant))
-
-
-def replace_tenants(df: DataFrame, path: str, tenants: Iterable[int]) -> dict[int, int]:
+def replace_tenants(df: DataFrame, path: str, tenants: Iterable[int], sort: Iterable[str] = ()) -> dict[int, int]:
     """Replace the given tenants' rows, leave all others alone, return rows written.
 
     Dynamic partition overwrite publishes at commit. It keeps the old partition of a
     tenant that now has no rows, so those are overwritten with an empty one. One tenant
     is written as it comes. Several are first rebalanced, so that not every task writes
-    a small file per tenant; adaptive execution splits a tenant that holds most rows.
+    a small file per tenant; adaptive execution splits a tenant that holds most rows. They
+    are then sorted inside files by ``sort``.
     """
     wanted = sorted(set(tenants))
     seen = Observation()
     counts = [F.count(F.when(F.col("tenant") == t, 1)).alias(str(t)) for t in wanted]
     rows = ensure_tenant(df).filter(F.col("tenant").isin(wanted)).observe(seen, *counts)
-    spread = rows if len(wanted) == 1 else rows.hint("rebalance", "tenant")
+    spread = rows if len(wanted) == 1 else rows.hint("rebalance", "tenant").sortWithinPartitions("tenant", *sort)
     spread.write.partitionBy("tenant").option(
         "partitionOverwriteMode", "dynamic"
     ).mode("overwrite").parquet(path)

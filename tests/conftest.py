@@ -11,6 +11,8 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 @pytest.fixture(scope="session")
 def spark():
+    from monofila.sources.storage import drop_scratch
+
     session = (
         SparkSession.builder.master("local[8]")
         .appName("monofila-tests")
@@ -27,4 +29,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()

@@ -78,6 +78,12 @@ def test_percentages_round_half_up_and_survive_zero(spark):
     assert one(spark, C.pct(F.lit(0), F.lit(0))) is None
     assert one(spark, C.pct1(F.lit(1), F.lit(2000))) == 0.1
     assert one(spark, C.pct1(F.lit(5), F.lit(0))) == 0.0
+    # Below zero the nearest tenth as well, halves up.
+    assert one(spark, C.pct1(F.lit(-10), F.lit(10))) == -100.0
+    assert one(spark, C.pct1(F.lit(-1), F.lit(3))) == -33.3
+    assert one(spark, C.pct1(F.lit(-1), F.lit(2000))) == 0.0
+    assert one(spark, C.pct1(F.lit(-3), F.lit(2000))) == -0.1
+    assert one(spark, C.pct(F.lit(-7), F.lit(3))) == -233.33
 
 
 def test_labels(spark):
@@ -169,6 +175,24 @@ def test_history_decides_the_class_and_types_do_not_mix(spark):
         "1": "Reinscripción", "2": "Traslado", "3": "Afiliación Nueva", "4": "Afiliación Nueva", "5": "Afiliación Nueva",
         "6-7": "Afiliación Nueva", "8-9": "Reinscripción", None: "Afiliación Nueva",
     }
+
+
+@pytest.mark.parametrize("length", [2, 62, 63, 64, 66, 200])
+def test_history_matches_types_of_any_length(spark, length):
+    kind = "T" * length
+    shorter = "T" * (length - 2)
+    history = spark.createDataFrame([
+        (1, kind, "1", "NUEVA EPS"), (1, f"{kind}-2", "3", "NUEVA EPS"), (1, f"{shorter}-4", "5", "OTRA"),
+    ], HISTORY)
+    u = filings(spark, (1, DESK, "a", kind, "1", None), (1, DESK, "b", kind, "2-3", None), (1, DESK, "c", shorter, "4-5", None))
+    got = {r["filing_id"]: r["classification"] for r in consolidate(u, history).collect()}
+    assert got == {"a": "Reinscripción", "b": "Afiliación Nueva", "c": "Afiliación Nueva"}
+
+
+def test_history_profile_flags(spark):
+    history = spark.createDataFrame([
+        (1, "CC ", " 1", "Nueva EPS S.A. -CM"), (1, "CC", "1", "OTRA EPS"), (1, "CC", "3", None),
+    ], HISTORY)
     profile = {(r["doc_type"], r["doc_number"]): r for r in history_profile(history).filter("tenant = 1").collect()}
     assert (profile[("CC", "1")]["own_insurer"], profile[("CC", "1")]["other_insurer"], profile[("CC", "1")]["n_history"]) == (1, 1, 2)
     assert (profile[("CC", "3")]["own_insurer"], profile[("CC", "3")]["other_insurer"]) == (0, 0)

@@ -72,6 +72,19 @@ def test_pareto_window_sees_only_the_top(spark):
     assert "TakeOrderedAndProject" in text[window:]
 
 
+def test_tenant_reports_read_one_partition(spark):
+    b = Bench(spark, FOLDER)
+    text = plan(R.headline(b.consolidated, b.received, b.notices, tenant=1))
+    assert re.search(r"PartitionFilters: \[[^\]]*tenant", text)
+
+
+def test_raw_counts_need_no_lookup(spark):
+    b = Bench(spark, FOLDER)
+    for df in (R.funnel(b.received, b.consolidated), R.headline(b.consolidated, b.received, b.notices)):
+        # The derived official filings themselves join the catalogue once; the report adds none.
+        assert len(re.findall(r"\w+Join ", plan(df))) <= 1
+
+
 def test_staging_filters_reach_the_scan(spark):
     text = plan(Bench(spark, FOLDER).desk)
     assert "EqualTo(o_orderpriority,5-LOW)" in text
