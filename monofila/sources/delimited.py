@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,47 +96,66 @@ def _field(separator: str) -> str:
     return rf'(^|{sep})"(?:[^"]|"")*"(?={sep}|$)'
 
 
-def _text_probe(spark: SparkSession, path: str, separator: str) -> tuple[bool, int, int]:
-    """Whether any quoted field spans lines, empty lines, and lines of blanks only.
+def _text_probe(spark: SparkSession, path: str, separator: str) -> list[Row]:
+    """Per file: its first line, whether any quoted field spans lines, empty lines, and lines
+    of blanks only. One pass, one row per file.
 
     A line that still starts a field with a quote once its complete quoted fields are
-    gone leaves that field open.
+    gone leaves that field open. Lines are taken as bytes, which suits every encoding that
+    keeps ASCII.
     """
     sep = f"\\x{ord(separator):02x}"
     rest = F.regexp_replace("value", _field(separator), "$1")
-    row = spark.read.text(path).agg(
+    # The task that reads a file's first block sees its lines in order.
+    head = F.first(F.when(F.col("_metadata.file_block_start") == 0, F.col("value")), ignorenulls=True)
+    return spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        head.alias("head"),
         F.max(rest.rlike(rf'(^|{sep})"')).alias("spans"),
         F.count(F.when(F.col("value") == "", 1)).alias("empty"),
         F.count(F.when((F.col("value") != "") & (F.trim("value") == ""), 1)).alias("blank"),
-    ).first()
-    return bool(row["spans"]), row["empty"], row["blank"]
+    ).orderBy("file").collect()
 
 
 def scan(
     spark: SparkSession, path: str, source: Source, encoding: str = DEFAULT_ENCODING,
     multi_line: bool | None = None, repair_utf8: bool = False,
 ) -> Scan | None:
-    """Read one source bound by header name; None for an empty file.
+    """Read one source, a file or a folder of files; None when there is no line in it.
+
+    Each file is bound by its own header: files with the same first line are read together.
+    Quoted fields may contain line breaks, but reading for them gives a whole file to one
+    task. Unless told, the text pass that finds the headers also finds the files in which
+    any field does; all others stay splittable.
+    """
+    alike: dict[tuple[str, bool], list[Row]] = {}
+    for row in _text_probe(spark, path, source.separator):
+        alike.setdefault((row["head"], row["spans"] if multi_line is None else multi_line), []).append(row)
+    scans = [
+        _scan_alike(spark, [unquote(r["file"]) for r in rows], source, encoding, spans, repair_utf8, sum(r["empty"] for r in rows), sum(r["blank"] for r in rows))
+        for (_, spans), rows in alike.items()
+    ]
+    if not scans:
+        return None
+    ignored = list(dict.fromkeys(c for s in scans for c in s.ignored))
+    return Scan(reduce(DataFrame.unionByName, [s.rows for s in scans]), ignored, sum(s.blank_lines for s in scans))
 
-    Quoted fields may contain line breaks, but reading for them gives a whole file to
-    one task. Unless told, a cheap text pass finds out whether any field does; without
-    one the files stay splittable.
+
+def _scan_alike(
+    spark: SparkSession, files: list[str], source: Source, encoding: str, multi_line: bool, repair_utf8: bool,
+    empty: int, blank: int,
+) -> Scan:
+    """Files with one header.
 
     Spark marks short and long rows alike. Only short ones are discarded, found by
     counting separators outside quotes in the marked rows alone. Column pruning is off
     for the scan because the parser would otherwise judge a pruned row.
     """
-    header = read_header(spark, path, source, encoding)
-    if header is None:
-        return None
+    header = read_header(spark, files[0], source, encoding) or [""]
     common = [c for c in source.columns if c in header]
     ignored = [c for c in header if c not in source.columns]
     if not common:
         raise ValueError(f"none of these headings belongs to {source.file}: {', '.join(header)}")
 
-    spans, empty, blank = _text_probe(spark, path, source.separator)
-    if multi_line is None:
-        multi_line = spans
     positions = [f"_{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(p, T.StringType()) for p in [*positions, _RAW]])
     raw = (
@@ -143,7 +163,7 @@ def scan(
         .option("sep", source.separator).option("header", True).option("quote", '"').option("escape", '"')
         .option("multiLine", multi_line).option("encoding", encoding).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False)
-        .csv(path)
+        .csv(files)
     )
     unquoted = F.regexp_replace(_RAW, _field(source.separator), "$1")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(source.separator), F.lit(""))) + 1
@@ -245,15 +265,35 @@ def load_source(
 
 
 def load_all(
-    spark: SparkSession, folder: str, warehouse: str, tenant: int, sources: Iterable[Source] = SOURCES, **options
+    spark: SparkSession, folder: str, warehouse: str, tenant: int, sources: Iterable[Source] = SOURCES,
+    limit_bytes: int | None = None, **options,
 ) -> DataFrame:
-    """Load every source of a folder and report what happened to each."""
+    """Load every source of a folder and report what happened to each.
+
+    Files above ``limit_bytes`` are not read, and files that belong to no source are named.
+    """
+    sources = list(sources)
     if not any(f.endswith(".csv") for f in spark.read.format("binaryFile").load(folder).inputFiles()):
         raise FileNotFoundError(f"no CSV files in {folder}")
-    report = [load_source(spark, folder, warehouse, s, tenant, **options) for s in sources]
+    present = listing(spark, folder)
+    large = set() if limit_bytes is None else {r["file"] for r in oversized(present, limit_bytes).collect()}
+    report = [
+        (s.file, "oversized", 0, 0, [], None) if s.file in large else load_source(spark, folder, warehouse, s, tenant, **options)
+        for s in sources
+    ]
+    surplus = completeness(present, expected_files(spark, sources)).filter("problem = 'unexpected'").orderBy("file").collect()
+    report += [(r["file"], "unexpected", 0, 0, [], None) for r in surplus]
     return spark.createDataFrame(report, REPORT_SCHEMA)
 
 
+def load_total(report: DataFrame) -> DataFrame:
+    """Sources loaded, rows written and rows discarded, over a whole load."""
+    return report.agg(
+        F.count(F.when(F.col("state") == "loaded", 1)).alias("sources"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("discarded"), F.lit(0)).alias("discarded"),
+    )
+
+
 def staged(spark: SparkSession, warehouse: str, source: Source, tenant: int | None = None) -> DataFrame:
     """Staging table of a source, of one tenant or of all; empty when never loaded."""
     path = f"{warehouse}/{source.name}"

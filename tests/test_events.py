@@ -1,6 +1,7 @@
 """Chunked folds with a hot key, sampling, and the streaming variants."""
 
 import tempfile
+import time
 
 import numpy as np
 import pytest
@@ -174,6 +175,23 @@ def test_lockout_stream(spark):
         assert [got[e] for e, _, _ in rows] == slow_lock([t for _, t, _ in rows], [b for _, _, b in rows], 4, 700)
 
 
+def test_a_late_attempt_gets_a_verdict(spark):
+    """Event 3 arrives an hour of event time after the ones that follow it."""
+    folder = tempfile.mkdtemp(prefix="monofila-stream-")
+    arrivals = [(1, 10_000), (2, 10_010), (4, 20_000), (3, 16_000), (5, 20_005)]
+    for event, second in arrivals:
+        row = spark.createDataFrame([(event, 7, False)], "event_id bigint, user_id bigint, bad boolean")
+        row.select("event_id", "user_id", F.timestamp_seconds(F.lit(second)).alias("ts"), "bad").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = (
+        rate_limit_stream(stream, window_seconds=60).writeStream.outputMode("append").format("memory").queryName("late")
+        .option("checkpointLocation", tempfile.mkdtemp(prefix="monofila-state-")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(240)
+    assert query.exception() is None
+    assert {r["event_id"] for r in spark.table("late").collect()} == {1, 2, 3, 4, 5}
+
+
 def test_stream_state_is_dropped_when_it_stops_mattering(spark):
     folder, state = tempfile.mkdtemp(prefix="monofila-stream-"), tempfile.mkdtemp(prefix="monofila-state-")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -183,9 +201,10 @@ def test_stream_state_is_dropped_when_it_stops_mattering(spark):
         at = F.timestamp_seconds(F.lit(1_700_000_000 + i * 5000)).alias("ts")
         batch.select("event_id", "user_id", at, "bad").coalesce(1).write.mode("append").parquet(folder)
         query = (
-            rate_limit_stream(stream, window_seconds=1000).writeStream.outputMode("append").format("noop")
+            rate_limit_stream(stream, window_seconds=1, idle_seconds=0).writeStream.outputMode("append").format("noop")
             .option("checkpointLocation", state).trigger(availableNow=True).start()
         )
         query.awaitTermination(120)
+        time.sleep(1.5)
         kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
     assert 1 <= max(kept) <= 2, "users whose window is over leave no state"

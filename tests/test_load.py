@@ -1,6 +1,7 @@
 """Files on disk: binding, quirks, tenant isolation, sinks."""
 
 import glob
+import os
 import tempfile
 
 import pytest
@@ -142,7 +143,7 @@ def test_values_that_do_not_fit_fail_the_load_and_keep_the_old_rows(spark):
         return D.load_source(spark, folder, warehouse, S.OFFICIAL_SOURCE, 1, **options)
 
     load("ID|TIPODOCUMENTO\n1|3\n")
-    with pytest.raises(Exception, match="SAT.csv: no fit in TIPODOCUMENTO .7 characters.: 1234567"):
+    with pytest.raises(Exception, match="column TIPODOCUMENTO of SAT.csv holds 7 characters it cannot take, from: 1234567"):
         load("ID|TIPODOCUMENTO\n2|1234567\n")
     assert [r["ID"] for r in D.staged(spark, warehouse, S.OFFICIAL_SOURCE).collect()] == [1]
     assert load("ID|TIPODOCUMENTO\nx|3\n2|1234567\n", strict=False)[1:4] == ("loaded", 2, 0)
@@ -156,10 +157,51 @@ def test_unknown_header_is_an_error(spark):
     folder = tempfile.mkdtemp()
     with open(f"{folder}/SAT.csv", "w") as f:
         f.write("A|B\n1|2\n")
-    with pytest.raises(ValueError, match="no column"):
+    with pytest.raises(ValueError, match="none of these headings"):
         D.scan(spark, f"{folder}/SAT.csv", S.OFFICIAL_SOURCE)
 
 
+def test_every_file_of_a_source_is_bound_by_its_own_header(spark):
+    folder, warehouse = tempfile.mkdtemp(prefix="monofila in ñ "), tempfile.mkdtemp()
+    os.mkdir(f"{folder}/SAT.csv")
+    parts = ["ID|TIPODOCUMENTO|NOMBREIPS\n1|3|Uno\n\n2|4|dos\n", "NOMBREIPS|OTHER|ID\n\"tres\nlíneas\"|x|3\n4\n", "ID|TIPODOCUMENTO|NOMBREIPS\n5|3|\"a\" b\n"]
+    for i, text in enumerate(parts):
+        with open(f"{folder}/SAT.csv/part {i}.csv", "w", encoding="latin-1", newline="") as f:
+            f.write(text)
+    report = D.load_source(spark, folder, warehouse, S.OFFICIAL_SOURCE, 1)
+    assert report[1:5] == ("loaded", 4, 2, ["OTHER"])
+    got = {r["ID"]: (r["TIPODOCUMENTO"], r["NOMBREIPS"]) for r in D.staged(spark, warehouse, S.OFFICIAL_SOURCE).collect()}
+    # Text behind a closing quote is no quoted field; it stays as it was written.
+    assert got == {1: ("3", "Uno"), 2: ("4", "dos"), 3: (None, "tres\nlíneas"), 5: ("3", '"a" b')}
+
+
+def test_one_line_break_does_not_keep_other_files_in_one_piece(spark):
+    folder = tempfile.mkdtemp()
+    os.mkdir(f"{folder}/SAT.csv")
+    with open(f"{folder}/SAT.csv/a.csv", "w") as f:
+        f.write('ID|NOMBREIPS\n1|"x\ny"\n')
+    with open(f"{folder}/SAT.csv/b.csv", "w") as f:
+        f.write("ID|NOMBREIPS\n" + "".join(f"{i}|name {i}\n" for i in range(2, 20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = D.scan(spark, f"{folder}/SAT.csv", S.OFFICIAL_SOURCE).rows
+        assert rows.rdd.getNumPartitions() > 3 and rows.count() == 19_999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_load_refuses_oversized_files_and_reports_unexpected_ones(spark):
+    folder, warehouse = tempfile.mkdtemp(), tempfile.mkdtemp()
+    for name, text in (("SAT.csv", "ID|TIPODOCUMENTO\n1|3\n2|3\n"), ("XML.csv", "x" * 500), ("OTHER.csv", "x")):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(text)
+    report = D.load_all(spark, folder, warehouse, 1, limit_bytes=100)
+    states = {r["file"]: r["state"] for r in report.collect()}
+    assert (states["SAT.csv"], states["XML.csv"], states["OTHER.csv"], states["DIGITAL.csv"]) == ("loaded", "oversized", "unexpected", "absent")
+    assert tuple(D.load_total(report).first()) == (1, 2, 0)
+
+
 def test_utf8_file_is_read_or_repaired(spark):
     folder = tempfile.mkdtemp()
     with open(f"{folder}/SAT.csv", "w", encoding="utf-8-sig") as f:
