@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import monofila
-from monofila.sources.storage import write_scratch
+from monofila.sources.storage import scratch_path
 
 # Executors need not have the package: task functions travel with the job.
 cloudpickle.register_pickle_by_value(monofila)
 
-scratch = write_scratch
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the folder all executors share and read back: cuts lineage and survives
+    lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

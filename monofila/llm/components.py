@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from monofila.llm.common import scratch
@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("next"))
         moved = lower.join(jump, "new").select("node", "old", F.least("new", "next").alias("component"))
-        moved = scratch(moved, "labels")
-        labels = moved.select("node", "component")
-        if moved.filter("component <> old").isEmpty():
+        changes = Observation()
+        labels = scratch(moved.observe(changes, F.count(F.when(F.col("component") != F.col("old"), 1)).alias("n")), "labels").select("node", "component")
+        if not changes.get["n"]:
             return labels

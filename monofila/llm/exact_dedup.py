@@ -10,20 +10,12 @@ shuffle, never a wrong row.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monofila.llm.common import carried, scratch, texts
-
-#: Cells per row, and the largest filter in cells (one bit each when broadcast: 128 MB).
-CELLS_PER_ROW, MOST_CELLS = 16, 1 << 30
-#: Bytes of the filter that are merged as one group, and groups of partial filters.
-SEGMENT, FAN_IN = 1 << 15, 32
-
-_PART = "segment int, part int, once binary, again binary"
-
+from monofila.llm.repeats import MOST_CELLS, filter_cells, is_on, repeat_filter
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
@@ -35,67 +27,6 @@ def cells(digests: list[bytes], size: int) -> np.ndarray:
     return (words & np.uint64(size - 1)).astype(np.int64)
 
 
-def switch_on(bits: np.ndarray, at: np.ndarray) -> None:
-    """Set sorted, distinct bit numbers in a packed array."""
-    if len(at):
-        byte = at >> 3
-        first = np.flatnonzero(np.concatenate(([True], byte[1:] != byte[:-1])))
-        bits[byte[first]] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first)
-
-
-def is_on(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def merge(once: list[bytes], again: list[bytes]) -> tuple[bytes, bytes]:
-    one, two = np.zeros(len(once[0]), np.uint8), np.zeros(len(once[0]), np.uint8)
-    for a, b in zip(once, again):
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-        two |= b | (one & a)
-        one |= a
-    return one.tobytes(), two.tobytes()
-
-
-def repeat_filter(hashed: DataFrame, size: int) -> bytes:
-    """Packed cells that at least two rows hit. ``size`` is a power of two, 2**18 at least."""
-
-    def build(batches):
-        once, again = np.zeros(size >> 3, np.uint8), np.zeros(size >> 3, np.uint8)
-        some = False
-        for b in batches:
-            if b.num_rows:
-                some = True
-                hit, n = np.unique(cells(b.column("digest").to_pylist(), size), return_counts=True)
-                switch_on(again, hit[(n > 1) | is_on(once, hit)])
-                switch_on(once, hit)
-        if some:
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId() % FAN_IN
-            for i in range(0, len(once), SEGMENT):
-                if once[i : i + SEGMENT].any():
-                    yield pa.RecordBatch.from_pydict({
-                        "segment": pa.array([i // SEGMENT], pa.int32()), "part": pa.array([part], pa.int32()),
-                        "once": pa.array([once[i : i + SEGMENT].tobytes()]), "again": pa.array([again[i : i + SEGMENT].tobytes()]),
-                    })
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        one, two = merge(group["once"].tolist(), group["again"].tolist())
-        return pd.DataFrame({"segment": group["segment"].iloc[:1], "part": [0], "once": [one], "again": [two]})
-
-    parts = hashed.select("digest").mapInArrow(build, _PART)
-    merged = parts.groupBy("segment", "part").applyInPandas(join, _PART).groupBy("segment").applyInPandas(join, _PART)
-    # Bounded: the filter has a fixed largest size.
-    out = np.zeros(size >> 3, np.uint8)
-    for r in merged.select("segment", "again").toLocalIterator():
-        out[r[0] * SEGMENT : (r[0] + 1) * SEGMENT] = np.frombuffer(r[1], np.uint8)
-    return out.tobytes()
-
-
-def filter_cells(rows: int) -> int:
-    return min(MOST_CELLS, max(SEGMENT * 8, 1 << (CELLS_PER_ROW * max(rows, 1) - 1).bit_length()))
-
-
 def exact_dedup(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -107,8 +38,9 @@ def exact_dedup(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
         texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2(normalised(), 256)).alias("digest")),
         "digests",
     )
-    size = min(most_cells, filter_cells(hashed.count()))
-    shared = hashed.sparkSession.sparkContext.broadcast(repeat_filter(hashed, size))
+    size = filter_cells(hashed.count(), most_cells)
+    found = repeat_filter(hashed.select("digest"), size, lambda b: cells(b.column("digest").to_pylist(), size))
+    shared = hashed.sparkSession.sparkContext.broadcast(found)
 
     def probe(batches):
         bits = np.frombuffer(shared.value, np.uint8)
@@ -124,8 +56,9 @@ def exact_dedup(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     # Equal (text, doc_id) rows travel as one with a count; a hot text is combined on the map side.
     rows = probed.filter("maybe").groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
     groups = probed.filter("maybe").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written first: a join with an aggregate on its own key cannot be split where a text is hot.
     grouped = (
-        rows.join(groups, "digest")
+        rows.join(scratch(groups, "text-groups"), "digest")
         .select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
         .select(
             "doc_id", "keep_id", "group_size",

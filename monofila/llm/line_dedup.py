@@ -13,20 +13,19 @@ flips two bits at most, so most chance meetings end in the join itself. What is
 verified with a banded bit-parallel edit distance.
 
 Equal lines are combined before anything is compared, on the map side first, so a line with a
-third of all rows is one row. Distinct lines are written bucketed by id: verifying pairs
-fetches their texts without moving the table again.
+third of all rows is one row. Few lines are in any pair; a bounded filter of their ids picks
+these where they lie, so verifying pairs does not move the whole table again.
 """
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from monofila.llm.common import carried, mixed, scratch, texts
+from monofila.llm.common import mixed, scratch, texts
+from monofila.llm.repeats import filter_cells, is_on, repeat_filter
 
 EDITS, SHORTEST, CHARS_PER_EDIT = 2, 20, 20
 _LAST = 2**63 - 1
@@ -186,8 +185,24 @@ def later_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "id bigint").distinct()
 
 
-def buckets(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def cells(ids: pa.Array, size: int) -> np.ndarray:
+    value = mixed(ids.to_numpy().astype(np.uint64))
+    return np.stack([value & np.uint64(size - 1), (value >> np.uint64(32)) & np.uint64(size - 1)]).astype(np.int64)
+
+
+def lines_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines that occur in ``pairs`` and perhaps some others."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    size = filter_cells(ids.count())
+    present = repeat_filter(ids, size, lambda b: cells(b.column("id"), size).ravel(), twice=False)
+    shared = lines.sparkSession.sparkContext.broadcast(present)
+
+    def run(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(is_on(bits, cells(b.column("id"), size)).all(axis=0)))
+
+    return lines.mapInArrow(run, lines.schema)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -202,23 +217,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, the named columns, d, key, n_lines and the removed line numbers."""
-    spark = docs.sparkSession
     rows = texts(docs, *keep).withColumns({
         "d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "key": F.xxhash64("text"),
     })
-    name = f"monofila_lines_{uuid4().hex[:12]}"
-    (
-        distinct_lines(rows).withColumn("id", F.monotonically_increasing_id())
-        .write.bucketBy(buckets(spark), "id").option("compression", "zstd").saveAsTable(name)
-    )
-    lines = spark.table(name)
-    gone = later_lines(scratch(near_pairs(lines), "line-pairs"), lines)
-    kept = scratch(
+    lines = scratch(distinct_lines(rows).withColumn("id", F.monotonically_increasing_id()), "lines")
+    pairs = scratch(near_pairs(lines), "line-pairs")
+    gone = later_lines(pairs, scratch(lines_of(pairs, lines), "paired-lines"))
+    kept = (
         lines.select("id", "first").join(gone, "id", "left_anti").groupBy("first.d", "first.key")
-        .agg(F.collect_list("first.n").alias("kept")),
-        "kept-lines",
+        .agg(F.collect_list("first.n").alias("kept"))
     )
-    spark.sql(f"DROP TABLE {name}")
     long_lines = F.expr(f"filter(transform(split(text, '\n', -1), (x, i) -> IF(length(x) >= {SHORTEST}, i, -1)), i -> i >= 0)")
     counted = rows.select("doc_id", *keep, "d", "key", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), long_lines.alias("long"))
     return counted.join(kept, ["d", "key"], "left").withColumn(
