@@ -2,10 +2,10 @@
 
 Attempts are judged in the order they arrive; inside a micro-batch that is time, then
 id. A task holds one key's share of one micro-batch, which the source's per-trigger
-limit bounds. There is no watermark, so a late attempt is judged like any other: a watermark
-would drop it unseen. The state is a few integers per key. A key that sends nothing for as long
-as its state matters, and ``idle_seconds`` more, loses it, so idle keys cost nothing; the clock
-for that is processing time.
+limit bounds. A watermark on the attempts' own time would drop late ones unseen, so it is set
+on their arrival: every attempt is judged, however late. The state is a few integers per key. A
+key that sends nothing for as long as its state matters, and ``idle_seconds`` more, loses it, so
+idle keys cost nothing; ``slack`` is how far the driver's clock may step back between batches.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from monofila.operators.events import _MICROS, accept, lock_out
 
 
 def _judge(
-    rows: DataFrame, mark: Column, key: str, time: str, row_id: str, idle_seconds: int, fold: Fold,
+    rows: DataFrame, mark: Column, key: str, time: str, row_id: str, idle_seconds: int, slack: str, fold: Fold,
     expires: Callable[[State, int], int], outcome: str,
 ) -> DataFrame:
     """``expires`` gives the moment a state stops mattering, from it and its last event."""
@@ -37,12 +37,14 @@ def _judge(
         if carried:
             state.update((carried,))
             last = int(pdf["at"].max())
-            state.setTimeoutDuration(max(0, expires(carried, last) - last) // 1000 + idle_seconds * 1000 + 1)
+            span = max(0, expires(carried, last) - last) // 1000 + idle_seconds * 1000
+            state.setTimeoutTimestamp(max(int(pdf["arrived"].iloc[0]) + span, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"key": keys[0], "row_id": pdf["row_id"].to_numpy(), "outcome": outcomes})
 
-    slim = rows.select(
+    slim = rows.withColumn("_arrival", F.current_timestamp()).withWatermark("_arrival", slack).select(
+        "_arrival", F.unix_millis("_arrival").alias("arrived"),
         plain(rows, key).alias("key"),
         required(F.unix_micros(F.col(time).cast("timestamp")), "time").alias("at"),
         required(plain(rows, row_id), "id").alias("row_id"), F.coalesce(mark, F.lit(False)).alias("mark"),
@@ -50,24 +52,24 @@ def _judge(
     types = {f.name: f.dataType.simpleString() for f in slim.schema}
     judged = slim.groupBy("key").applyInPandasWithState(
         step, f"key {types['key']}, row_id {types['row_id']}, outcome {outcome}", "carried array<bigint>", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
     return judged.select(F.col("row_id").alias(row_id), F.col("key").alias(key), "outcome")
 
 
 def rate_limit_stream(
     events: DataFrame, key: str = "user_id", time: str = "ts", row_id: str = "event_id",
-    limit: int = 3, window_seconds: int = 900, idle_seconds: int = 3_600,
+    limit: int = 3, window_seconds: int = 900, idle_seconds: int = 3_600, slack: str = "1 minute",
 ) -> DataFrame:
     window = window_seconds * _MICROS
     fold = partial(accept, limit=limit, window=window)
-    judged = _judge(events, F.lit(False), key, time, row_id, idle_seconds, fold, lambda _, last: last + window, "int")
+    judged = _judge(events, F.lit(False), key, time, row_id, idle_seconds, slack, fold, lambda _, last: last + window, "int")
     return judged.withColumnRenamed("outcome", "accepted")
 
 
 def lockout_stream(
     attempts: DataFrame, failed: Column, key: str = "user_id", time: str = "ts", row_id: str = "event_id",
-    failures: int = 5, lock_seconds: int = 900, keep_seconds: int | None = None, idle_seconds: int = 3_600,
+    failures: int = 5, lock_seconds: int = 900, keep_seconds: int | None = None, idle_seconds: int = 3_600, slack: str = "1 minute",
 ) -> DataFrame:
     """``keep_seconds`` bounds how long an unfinished failure streak is remembered;
     without it, a streak lives until a success."""
@@ -79,4 +81,4 @@ def lockout_stream(
         return max(locked_until, last + keep if streak else 0)
 
     fold = partial(lock_out, failures=failures, duration=lock_seconds * _MICROS)
-    return _judge(attempts, failed, key, time, row_id, idle_seconds, fold, expires, "string")
+    return _judge(attempts, failed, key, time, row_id, idle_seconds, slack, fold, expires, "string")

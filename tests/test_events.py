@@ -201,7 +201,7 @@ def test_stream_state_is_dropped_when_it_stops_mattering(spark):
         at = F.timestamp_seconds(F.lit(1_700_000_000 + i * 5000)).alias("ts")
         batch.select("event_id", "user_id", at, "bad").coalesce(1).write.mode("append").parquet(folder)
         query = (
-            rate_limit_stream(stream, window_seconds=1, idle_seconds=0).writeStream.outputMode("append").format("noop")
+            rate_limit_stream(stream, window_seconds=1, idle_seconds=0, slack="0 seconds").writeStream.outputMode("append").format("noop")
             .option("checkpointLocation", state).trigger(availableNow=True).start()
         )
         query.awaitTermination(120)
