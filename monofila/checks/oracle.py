@@ -30,6 +30,13 @@ CATALOGUE = [
 ]
 
 _CATALOGUE = ", ".join(f"('{n}', {c}, '{a}')" for n, c, a in CATALOGUE)
+EXPORTED = (
+    "tenant", "person_key", "channel", "filing_id", "doc_type", "doc_type_received", "doc_number", "filed_on", "period", "advisor",
+    "dept", "municipality", "provider", "member_type", "status", "regime", "classification", "m_not_in_catalogue",
+    "m_empty_document", "m_incomplete_territory", "m_invalid_date", "m_multi_channel", "m_internal", "m_critical", "is_effective",
+    "n_channels", "n_filings",
+)
+
 
 STAGING = f"""
 catalog AS (SELECT * FROM (VALUES {_CATALOGUE}) AS c(name, code, abbr)),
@@ -442,6 +449,23 @@ def oracle_queries() -> dict[str, str]:
             for channel, table in (("AFILIACIONES", "s_desk"), ("DIGITAL", "s_web"), ("SAT", "s_official"))
             for c, width in (("doc_type", 5), ("doc_num", 20), ("filed", 30), ("regime", 50), ("advisor", 20))
         )),
+        "q_load_rows": _staged(" UNION ALL BY NAME ".join(
+            f"SELECT tenant, '{channel}' AS channel, CAST(id AS VARCHAR) AS id, "
+            + ", ".join(f"nullif(trim({c}), '') AS {c}" for c in columns) + f" FROM {table} WHERE id % 3 <> 0 OR id % 37 <> 0"
+            for channel, table, columns in (
+                ("AFILIACIONES", "s_desk", ("doc_type", "doc_num", "filed", "regime", "advisor", "dept", "muni")),
+                ("DIGITAL", "s_web", ("doc_type", "doc_num", "filed", "regime", "advisor", "requested", "status", "dane")),
+                ("SAT", "s_official", ("doc_type", "doc_num", "filed", "regime", "advisor", "dept", "muni")),
+            )
+        )),
+        "q_load_report": _staged(" UNION ALL ".join(
+            f"SELECT tenant, '{file}' AS file, 'loaded' AS state, count(*) FILTER (id % 3 <> 0 OR id % 37 <> 0) AS \"rows\", "
+            f"count(*) FILTER (id % 3 = 0 AND id % 37 = 0) AS discarded, 'EXTRA' AS ignored FROM {table} GROUP BY tenant"
+            for file, table in (("AFILIACIONES.csv", "s_desk"), ("DIGITAL.csv", "s_web"), ("SAT.csv", "s_official"))
+        )),
+        "q_export_round_trip": _on_consolidated(
+            "SELECT " + ", ".join(f"nullif(CAST({c} AS VARCHAR), '') AS {c}" for c in EXPORTED) + " FROM consolidated"
+        ),
         "q_input_completeness": """WITH received AS (SELECT DISTINCT CASE WHEN o_orderkey % 8 < 4 THEN 0 ELSE 1 END AS tenant,
             CASE o_orderpriority WHEN '5-LOW' THEN 'AFILIACIONES.csv' WHEN '2-HIGH' THEN 'DIGITAL.csv' WHEN '1-URGENT' THEN 'SAT.csv'
             ELSE o_orderpriority || '.csv' END AS file FROM orders),

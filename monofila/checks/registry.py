@@ -16,16 +16,41 @@ from monofila.operators import sampling as M
 from monofila.operators import universe as U
 from monofila.plans import reports as R
 from monofila.rules import DESK, OFFICIAL, WEB, Rules
-from monofila.schemas import CONSOLIDATED, DESK_CHANNEL, DESK_SOURCE, OFFICIAL_CHANNEL, OFFICIAL_SOURCE, SOURCES, WEB_CHANNEL, WEB_SOURCE
+from monofila.schemas import CONSOLIDATED, CONSOLIDATED_HEADINGS, DESK_CHANNEL, DESK_SOURCE, OFFICIAL_CHANNEL, OFFICIAL_SOURCE, SOURCES, WEB_CHANNEL, WEB_SOURCE
 from monofila.sources import staged as S
-from monofila.sources.delimited import completeness, violations
-from monofila.sources.storage import read_tenants, replace_tenants, scratch_path
+from monofila.operators.universe import Channel
+from monofila.sources.delimited import completeness, load_source, staged, violations
+from monofila.sources.storage import read_tenants, replace_tenants, scratch_path, write_csv
 
 RULES = Rules()
 #: Tenants of the derived tables.
 TENANTS = (0, 1)
 
 
+LANDED = ((DESK_CHANNEL, DESK_SOURCE, "desk"), (WEB_CHANNEL, WEB_SOURCE, "web"), (OFFICIAL_CHANNEL, OFFICIAL_SOURCE, "official"))
+
+
+def _file_names(channel: Channel) -> dict[str, str]:
+    """Staged name of each column of a channel and its name in the file."""
+    names = {
+        "id": channel.filing_id, "doc_type": channel.doc_type, "doc_num": channel.doc_number, "filed": channel.filed[0],
+        "regime": channel.regime, "advisor": channel.advisor,
+    }
+    if channel.name == WEB:
+        return names | {"requested": channel.filed[1], "status": channel.status, "dane": channel.residence}
+    return names | {"dept": channel.dept, "muni": channel.municipality}
+
+
+def _as_file(df: DataFrame, channel: Channel) -> DataFrame:
+    return df.select(*[F.col(c).alias(name) for c, name in _file_names(channel).items()])
+
+
+def _delimited(df: DataFrame, separator: str, path: str) -> None:
+    df.write.mode("append").option("header", True).option("sep", separator).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
+
+
 class Bench:
     """Staging and derived tables of one folder.
 
@@ -96,6 +121,29 @@ class Bench:
         rows = [df.select("tenant", F.lit(name).alias("channel")) for name, df in parts]
         return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
+    @cached_property
+    def landed(self) -> tuple[DataFrame, str]:
+        """The channels written as delimited files, loaded again tenant by tenant: the load
+        reports and the warehouse. Files of a source differ in header order and columns, and
+        every thirty-seventh filing of some is a short row."""
+        folder, warehouse, reports = scratch_path(self.spark, "landing"), scratch_path(self.spark, "warehouse"), []
+        for tenant in TENANTS:
+            for channel, source, df in LANDED:
+                rows = _as_file(getattr(self, df).filter(F.col("tenant") == tenant), channel)
+                some = F.col(channel.filing_id) % 3 == 0
+                short = some & (F.col(channel.filing_id) % 37 == 0)
+                target = f"{folder}/{tenant}/{source.file}"
+                _delimited(rows.filter(~some), source.separator, target)
+                turned = rows.filter(some & ~short).withColumn("EXTRA", F.lit("not wanted"))
+                _delimited(turned.select(*reversed(turned.columns)), source.separator, target)
+                header = source.separator.join(rows.columns)
+                lines = rows.filter(short).select(F.col(channel.filing_id).cast("string").alias(header))
+                lines.write.mode("append").option("header", True).option("sep", "\x01").option("quote", "\x00").csv(target)
+                report = load_source(self.spark, f"{folder}/{tenant}", warehouse, source, tenant, encoding="UTF-8")
+                reports.append((tenant, *report))
+        schema = "tenant int, file string, state string, rows bigint, discarded bigint, ignored array<string>, encoding string"
+        return self.spark.createDataFrame(reports, schema), warehouse
+
     @property
     def sources(self) -> dict[str, DataFrame]:
         return {
@@ -155,20 +203,41 @@ def _width_violations(b: Bench) -> DataFrame:
     """Every channel against the widths its file may have. Staged names are shorter than the
     file's, so widths go through the channel mapping."""
     parts = []
-    for channel, source, df in (
-        (DESK_CHANNEL, DESK_SOURCE, b.desk), (WEB_CHANNEL, WEB_SOURCE, b.web), (OFFICIAL_CHANNEL, OFFICIAL_SOURCE, b.official),
-    ):
-        names = {
-            "id": channel.filing_id, "doc_type": channel.doc_type, "doc_num": channel.doc_number, "filed": channel.filed[0],
-            "regime": channel.regime, "advisor": channel.advisor,
-        }
+    for channel, source, df in LANDED:
+        names = {c: n for c, n in _file_names(channel).items() if c in ("id", "doc_type", "doc_num", "filed", "regime", "advisor")}
         # Texts as an unpadded sender would repeat them: some outgrow their column.
-        grown = df.withColumns({n: F.repeat(F.col(n), F.pmod("id", F.lit(4)).cast("int") + 1) for n in names if n != "id"})
+        grown = getattr(b, df).withColumns({n: F.repeat(F.col(n), F.pmod("id", F.lit(4)).cast("int") + 1) for n in names if n != "id"})
         rules = {n: source.columns[column] for n, column in names.items()}
         parts.append(violations(grown, rules, "tenant", F.lit(channel.name).alias("channel"), F.col("id").alias("filing")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _loaded(b: Bench) -> DataFrame:
+    """Rows of the staging tables after a load, in staged names."""
+    parts = []
+    for channel, source, _ in LANDED:
+        rows = staged(b.spark, b.landed[1], source)
+        parts.append(rows.select("tenant", F.lit(channel.name).alias("channel"), *[
+            F.col(name).cast("string").alias(c) for c, name in _file_names(channel).items()
+        ]))
+    return parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+
+
+def _load_report(b: Bench) -> DataFrame:
+    return b.landed[0].select("tenant", "file", "state", "rows", "discarded", F.array_join("ignored", ",").alias("ignored"))
+
+
+def _export_round_trip(b: Bench) -> DataFrame:
+    """The consolidated table as a spreadsheet file, read back."""
+    path = scratch_path(b.spark, "export")
+    headed = b.consolidated.select([F.col(c).alias(h) for c, h in CONSOLIDATED_HEADINGS.items()])
+    write_csv(headed, path)
+    back = b.spark.read.option("sep", ";").option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    # The byte-order mark stands before the first heading.
+    back = back.withColumnRenamed(back.columns[0], back.columns[0].lstrip("\ufeff"))
+    return back.select([F.col(h).alias(c) for c, h in CONSOLIDATED_HEADINGS.items()])
+
+
 def _input_completeness(b: Bench) -> DataFrame:
     """File names as each tenant's rows announce them, against the six expected."""
     files = {"5-LOW": "AFILIACIONES.csv", "2-HIGH": "DIGITAL.csv", "1-URGENT": "SAT.csv"}
@@ -267,6 +336,9 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         # loading and sampling
         "q_load_blank_to_null": _blank_to_null,
         "q_width_violations": _width_violations,
+        "q_load_rows": _loaded,
+        "q_load_report": _load_report,
+        "q_export_round_trip": _export_round_trip,
         "q_input_completeness": _input_completeness,
         "q_cohort_split": lambda b: M.split_cohorts(
             b.table("customer").select("c_custkey"), "cohorts", ["c_custkey"], COHORTS, "other"

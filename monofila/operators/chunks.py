@@ -43,6 +43,9 @@ State = list[int]
 # (times, marks, state) -> (outcome per row, new state)
 Fold = Callable[[Any, Any, State], tuple[Any, State]]
 
+#: Rows of a chunk, about, where the session's partitions would make larger ones.
+CHUNK_ROWS = 2_000_000
+
 _SUMMARY = "chunk int, first_key string, last_key string, exit array<bigint>"
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -65,7 +68,7 @@ def ordered_chunks(rows: DataFrame, key: str, time: str, row_id: str, mark: str
     """
     spark = rows.sparkSession
     shared_folder(spark)
-    parts = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // CHUNK_ROWS))
     marked = F.lit(False) if mark is None else F.coalesce(F.col(mark), F.lit(False))
     some_key = plain(rows, key)
     slim = rows.select(

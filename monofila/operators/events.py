@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,28 +105,67 @@ def lockouts(
     return done.select(F.col("row_id").alias(row_id), F.col("key").alias(key), "outcome")
 
 
+def _streak_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per batch of a chunk: runs of failures, named by the successes of their key before them in
+    the chunk, and the successes of each key. A run that goes on in the next batch keeps its name."""
+    last, carried = None, 0
+    for b in batches:
+        if b.empty:
+            continue
+        keyless, key, good = b["keyless"].to_numpy(), b["key"].to_numpy(), ~b["mark"].to_numpy(dtype=bool)
+        opens = np.concatenate(([True], (keyless[1:] != keyless[:-1]) | (key[1:] != key[:-1])))
+        starts = np.flatnonzero(opens)
+        passed = np.cumsum(good)
+        base = passed[starts] - good[starts]
+        if last == (keyless[0], key[0]):
+            base[0] -= carried
+        island = passed - np.repeat(base, np.diff(np.append(starts, len(b))))
+        ends = np.append(starts[1:], len(b)) - 1
+        last, carried = (keyless[-1], key[-1]), int(island[-1])
+        failed = np.flatnonzero(~good)
+        # Between failures of one run there is neither a success nor another key.
+        breaks = np.diff(island[failed]) != 0
+        breaks |= np.diff(np.cumsum(opens)[failed]) != 0
+        first = failed[np.concatenate(([True], breaks))] if len(failed) else failed
+        final = failed[np.concatenate((breaks, [True]))] if len(failed) else failed
+        at, row = b["at"].to_numpy(), b["row_id"].to_numpy()
+        chunk = int(b["chunk"].iloc[0])
+        yield pd.DataFrame({
+            "keyless": keyless[first], "key": key[first], "chunk": chunk, "island": island[first],
+            "n": np.searchsorted(failed, final) - np.searchsorted(failed, first) + 1, "successes": 0,
+            "first_at": at[first], "first_id": row[first], "last_at": at[final], "last_id": row[final],
+        })
+        begun = np.add.reduceat(good.astype(np.int64), starts)
+        yield pd.DataFrame({
+            "keyless": keyless[ends], "key": key[ends], "chunk": chunk, "island": 0, "n": 0, "successes": begun,
+            "first_at": at[ends], "first_id": row[ends], "last_at": at[ends], "last_id": row[ends],
+        })
+
+
 def failure_streaks(
     attempts: DataFrame, failed: Column, key: str = "user_id", time: str = "ts", row_id: str = "event_id",
     chunks: int | None = None,
 ) -> DataFrame:
     """Maximal runs of consecutive failures per key.
 
-    A run is named by the number of successes before it. That running count is taken
-    inside even chunks first and then shifted by the successes of earlier chunks, so
-    the only window per key runs over chunk totals.
+    A run is named by the number of successes before it. Chunks are sorted, so each one
+    counts inside itself and gives its pieces of runs and its successes; only these small
+    rows meet again, to shift the counts by the successes of earlier chunks.
     """
     placed = ordered_chunks(attempts.withColumn("_failed", failed), key, time, row_id, "_failed", chunks)
     whose = ("keyless", "key")
-    inside = Window.partitionBy(*whose, "chunk").orderBy("at", "row_id")
-    local = placed.withColumn("island", F.sum((~F.col("mark")).cast("bigint")).over(inside))
-
-    failure = F.struct("at", "row_id")
-    pieces = local.filter("mark").groupBy(*whose, "chunk", "island").agg(
-        F.count("*").alias("n"), F.min(failure).alias("first"), F.max(failure).alias("last")
+    types = {f.name: f.dataType.simpleString() for f in placed.schema}
+    counted = placed.mapInPandas(
+        _streak_pieces,
+        f"keyless boolean, key {types['key']}, chunk int, island bigint, n bigint, successes bigint, "
+        f"first_at bigint, first_id {types['row_id']}, last_at bigint, last_id {types['row_id']}",
+    )
+    pieces = counted.filter("n > 0").select(
+        *whose, "chunk", "island", "n", F.struct(F.col("first_at").alias("at"), F.col("first_id").alias("row_id")).alias("first"),
+        F.struct(F.col("last_at").alias("at"), F.col("last_id").alias("row_id")).alias("last"),
     )
-
     before = Window.partitionBy(*whose).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*whose, "chunk").agg(F.count(F.when(~F.col("mark"), 1)).alias("successes"))
+    totals = counted.groupBy(*whose, "chunk").agg(F.sum("successes").alias("successes"))
     shifts = totals.select(*whose, "chunk", F.coalesce(F.sum("successes").over(before), F.lit(0)).alias("shift"))
 
     return (

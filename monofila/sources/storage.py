@@ -104,7 +104,8 @@ def replace_shared(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, tenant: int | None = None, single_file: bool = False) -> None:
-    """Semicolon-separated text with header and byte-order mark, one file per task.
+    """Semicolon-separated text with header and byte-order mark, one file per task. Blanks at
+    the ends of values are kept.
 
     Spark writes no mark, so it goes in front of the first header name. One single
     file means one task; ask for it only for results that small.
@@ -115,8 +116,4 @@ def write_csv(df: DataFrame, path: str, tenant: int | None = None, single_file:
     marked = rows.withColumnRenamed(rows.columns[0], "﻿" + rows.columns[0])
     marked.write.mode("overwrite").option("sep", ";").option("header", True).option("quoteAll", False).option(
         "escape", '"'
-    ).option("emptyValue", "").option("encoding", "UTF-8").csv(path)
-
-
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("encoding", "UTF-8").csv(path)
