@@ -18,7 +18,10 @@ from monofila.functions.columns import (
 )
 from monofila.functions.measures import pick
 from monofila.operators.profiles import duplicity_profile
-from monofila.rules import CLASS_NEW, CLASS_RETURN, CLASS_TRANSFER, DESK, OFFICIAL, WEB, Rules
+from monofila.rules import (
+    BATCH_TITLES, CLASS_NEW, CLASS_RETURN, CLASS_TRANSFER, COMBINATIONS, HEADLINE, ONE_CHANNEL,
+    WORKBOOK_HEADINGS, Rules,
+)
 
 ALL = "TODOS"
 
@@ -69,18 +72,7 @@ def headline(
         share = pct(F.col(value), F.col(total)) if total else F.lit(None).cast("double")
         return F.struct(F.lit(label).alias("indicator"), F.col(value).alias("value"), share.alias("percentage"))
 
-    return _rows(wide, [
-        line("Producción consolidada", "n"),
-        line("Registros brutos", "n_raw"),
-        line("Producción efectiva (radicada)", "is_effective", "n"),
-        line("Duplicidad multicanal", "m_multi_channel", "n"),
-        line("Duplicidad interna (mismo canal)", "m_internal", "n"),
-        line("Documentos no homologados", "m_not_in_catalogue", "n"),
-        line("Territorio incompleto", "m_incomplete_territory", "n"),
-        line("Registros críticos", "m_critical", "n"),
-        line("Novedades laborales", "n_notices"),
-        line("Inconsistencia operativa IRL", "n_failed", "n_notices"),
-    ])
+    return _rows(wide, [line(*parts) for parts in HEADLINE])
 
 
 def tenant_totals(consolidated: DataFrame, tenant: int) -> DataFrame:
@@ -201,14 +193,11 @@ def out_of_catalogue(
 
 def channel_combinations(universe: DataFrame, tenant: int | None = None, rules: Rules = Rules()) -> DataFrame:
     """Persons by the combination of channels they used."""
-    desk, web, official = (F.col(f"in_{c.lower()}") == 1 for c in (DESK, WEB, OFFICIAL))
-    combination = (
-        F.when(desk & web & official, "Físico + Digital + SAT")
-        .when(web & official, "Digital + SAT")
-        .when(desk & official, "Físico + SAT")
-        .when(desk & web, "Físico + Digital")
-        .otherwise("Un solo canal")
-    )
+    combination = F.when(F.lit(False), ONE_CHANNEL)
+    for channels, label in COMBINATIONS.items():
+        together = reduce(Column.__and__, [F.col(f"in_{c.lower()}") == 1 for c in channels])
+        combination = combination.when(together, label)
+    combination = combination.otherwise(ONE_CHANNEL)
     profile = duplicity_profile(scope(universe, tenant), rules)
     return _counts(profile, combination.alias("combination")).orderBy(F.desc("n"), "combination")
 
@@ -529,23 +518,14 @@ def report_table(consolidated: DataFrame, tenant: int | None = None) -> DataFram
     Ordering inside a month lets the range sort split a month that holds most rows.
     """
     ordered = scope(consolidated, tenant).orderBy("period", "channel", "filing_id", "tenant")
-    return ordered.select(
-        channel_label(F.col("channel")).alias("Canal"),
-        F.col("period").alias("Periodo"),
-        serial_date(F.col("filed_on")).alias("Fecha radicación"),
-        department_label(F.col("dept"), None).alias("Departamento"),
-        F.col("regime").alias("Régimen"),
-        F.col("status").alias("Estado"),
-        F.col("classification").alias("Clasificación"),
-        F.col("doc_type").alias("Tipo de documento"),
-        F.col("is_effective").alias("Efectiva"),
-        F.col("m_multi_channel").alias("Duplicado multicanal"),
-        F.col("m_internal").alias("Duplicado interno"),
-        F.col("m_not_in_catalogue").alias("No homologado"),
-        F.col("m_incomplete_territory").alias("Territorio incompleto"),
-        F.col("m_invalid_date").alias("Fecha inválida"),
-        F.col("m_critical").alias("Registro crítico"),
-    )
+    cells = [
+        channel_label(F.col("channel")), F.col("period"), serial_date(F.col("filed_on")), department_label(F.col("dept"), None),
+        *map(F.col, (
+            "regime", "status", "classification", "doc_type", "is_effective", "m_multi_channel", "m_internal", "m_not_in_catalogue",
+            "m_incomplete_territory", "m_invalid_date", "m_critical",
+        )),
+    ]
+    return ordered.select(*[c.alias(h) for c, h in zip(cells, WORKBOOK_HEADINGS)])
 
 
 def as_json(report: DataFrame, column: str = "payload") -> DataFrame:
@@ -576,13 +556,13 @@ def batch_report(
 ) -> dict[str, DataFrame]:
     """The five tables a batch run ends with, by title."""
     quality = quality_by_source(universe, tenant, rules)
-    return {
-        "Cifras principales": headline(consolidated, universe, notices, tenant, rules),
-        "Clasificación del trámite": by_classification(consolidated, tenant),
-        "Aporte y depuración por fuente": source_contribution(universe, consolidated, tenant).drop("pct_survives"),
-        "Calidad por fuente (%)": quality.select("channel", "n", "pct_homologated", "pct_territory", "pct_date"),
-        "Tipos de documento fuera de catálogo": out_of_catalogue(universe, tenant, 10, rules),
-    }
+    return dict(zip(BATCH_TITLES, (
+        headline(consolidated, universe, notices, tenant, rules),
+        by_classification(consolidated, tenant),
+        source_contribution(universe, consolidated, tenant).drop("pct_survives"),
+        quality.select("channel", "n", "pct_homologated", "pct_territory", "pct_date"),
+        out_of_catalogue(universe, tenant, 10, rules),
+    )))
 
 
 def dashboard(

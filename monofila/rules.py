@@ -31,6 +31,41 @@ DEPARTMENT_LABELS = {
 # Short month names used in trend labels.
 MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
 
+# Lines of the batch report, as (label, figure, total that it is a share of).
+HEADLINE = (
+    ("Producción consolidada", "n", None),
+    ("Registros brutos", "n_raw", None),
+    ("Producción efectiva (radicada)", "is_effective", "n"),
+    ("Duplicidad multicanal", "m_multi_channel", "n"),
+    ("Duplicidad interna (mismo canal)", "m_internal", "n"),
+    ("Documentos no homologados", "m_not_in_catalogue", "n"),
+    ("Territorio incompleto", "m_incomplete_territory", "n"),
+    ("Registros críticos", "m_critical", "n"),
+    ("Novedades laborales", "n_notices", None),
+    ("Inconsistencia operativa IRL", "n_failed", "n_notices"),
+)
+
+# Channels that a person used together.
+COMBINATIONS = {
+    (DESK, WEB, OFFICIAL): "Físico + Digital + SAT",
+    (WEB, OFFICIAL): "Digital + SAT",
+    (DESK, OFFICIAL): "Físico + SAT",
+    (DESK, WEB): "Físico + Digital",
+}
+ONE_CHANNEL = "Un solo canal"
+
+# Headings of the workbook's table, in order.
+WORKBOOK_HEADINGS = (
+    "Canal", "Periodo", "Fecha radicación", "Departamento", "Régimen", "Estado", "Clasificación", "Tipo de documento", "Efectiva",
+    "Duplicado multicanal", "Duplicado interno", "No homologado", "Territorio incompleto", "Fecha inválida", "Registro crítico",
+)
+
+# Titles of the tables that a batch run ends with.
+BATCH_TITLES = (
+    "Cifras principales", "Clasificación del trámite", "Aporte y depuración por fuente", "Calidad por fuente (%)",
+    "Tipos de documento fuera de catálogo",
+)
+
 
 @dataclass(frozen=True)
 class Rules:
