@@ -8,7 +8,9 @@ hash of distinct keys is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from monofila.sources.storage import write_scratch
 
 HASH_BITS = 60
 BUCKET_BITS = 12
+#: Rows of a bucket that one task may rank.
+RANKED = 1_000_000
 
 
 def keyed_hash(seed: str, *keys: Column | str) -> Column:
@@ -72,15 +76,15 @@ def split_cohorts(rows: DataFrame, seed: str, keys: Sequence[str], cohorts: Sequ
     """Disjoint cohorts of exact size in column ``cohort``.
 
     Each cohort takes the whole part of its share of what is left; ``rest`` takes the
-    remainder. Only the buckets that a cut runs through are ranked and shuffled, all
-    other rows are decided where they are. The broadcast side has one row per bucket,
-    2**12 at most whatever the data.
+    remainder. Only the buckets that a cut runs through are looked at again, all other rows
+    are decided where they are. A cut bucket that would still be large is cut finer, by the
+    next bits of the hash, until what must be ranked is small. The broadcast side has at most
+    2**12 rows per cut, whatever the data.
     """
-    bucketed = _bucketed(rows, seed, keys)
-    cuts, left = [], F.col("_total")
-    taken = F.lit(0).cast("bigint")
+    total = rows.count()
+    cuts, taken, left = [], 0, total
     for _, share in cohorts:
-        size = F.floor(left * F.lit(share)).cast("bigint")
+        size = math.floor(left * share)
         taken, left = taken + size, left - size
         cuts.append(taken)
 
@@ -90,19 +94,28 @@ def split_cohorts(rows: DataFrame, seed: str, keys: Sequence[str], cohorts: Sequ
             chosen = (F if chosen is None else chosen).when(place < cut, name)
         return F.lit(rest) if chosen is None else chosen.otherwise(rest)
 
-    first, last = F.col("_before"), F.col("_before") + F.col("_size") - 1
-    bounds = _offsets(bucketed).select("_bucket", "_before", cohort(first).alias("_low"), cohort(last).alias("_high"), *[
-        c.alias(f"_cut{i}") for i, c in enumerate(cuts)
-    ])
-    cuts = [F.col(f"_cut{i}") for i in range(len(cuts))]
-    tagged = bucketed.join(F.broadcast(bounds), "_bucket")
-    whole = tagged.filter("_low = _high").select(*rows.columns, F.col("_low").alias("cohort"))
+    undecided = rows.withColumns({"_hash": keyed_hash(seed, *keys), "_bucket": F.lit(0).cast("bigint"), "_before": F.lit(0).cast("bigint")})
+    decided = []
+    for level in range(1, HASH_BITS // BUCKET_BITS + 1):
+        finer = undecided.withColumnsRenamed({"_bucket": "_parent", "_before": "_from"}).withColumn(
+            "_bucket", F.shiftright("_hash", HASH_BITS - level * BUCKET_BITS)
+        )
+        sizes = finer.groupBy("_parent", "_from", "_bucket").agg(F.count("*").alias("_size"))
+        earlier = Window.partitionBy("_parent").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sizes.withColumn("_before", F.col("_from") + F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+        bounds = placed.select(
+            "_bucket", "_before", cohort(F.col("_before")).alias("_low"), cohort(F.col("_before") + F.col("_size") - 1).alias("_high")
+        )
+        tagged = finer.drop("_parent", "_from").join(F.broadcast(bounds), "_bucket")
+        decided.append(tagged.filter("_low = _high").select(*rows.columns, F.col("_low").alias("cohort")))
+        undecided = tagged.filter("_low <> _high").select(*rows.columns, "_hash", "_bucket", "_before")
+        if total >> level * BUCKET_BITS <= RANKED:
+            break
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *keys))
-    cut_through = (
-        tagged.filter("_low <> _high").withColumn("_inside", inside)
-        .select(*rows.columns, cohort(F.col("_before") + F.col("_inside") - 1).alias("cohort"))
+    ranked = undecided.withColumn("_inside", inside).select(
+        *rows.columns, cohort(F.col("_before") + F.col("_inside") - 1).alias("cohort")
     )
-    return whole.unionByName(cut_through)
+    return reduce(DataFrame.unionByName, [*decided, ranked])
 
 
 def split_counts(rows: DataFrame, seed: str, keys: Sequence[str], counts: Sequence[tuple[str, int]], group: str) -> DataFrame:

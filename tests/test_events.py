@@ -139,6 +139,16 @@ def test_injected_duplicates_are_what_the_detectors_see(spark):
     assert placed.filter("injected IS NULL AND person <> id").isEmpty()
 
 
+def test_cohorts_do_not_depend_on_how_fine_buckets_are_cut(spark, monkeypatch):
+    rows = spark.range(3_000)
+    shares = [("a", 0.31), ("b", 0.5)]
+    coarse = M.split_cohorts(rows, "s", ["id"], shares, "rest").orderBy("id").collect()
+    monkeypatch.setattr(M, "RANKED", 0)
+    assert M.split_cohorts(rows, "s", ["id"], shares, "rest").orderBy("id").collect() == coarse
+    sizes = {n: sum(r["cohort"] == n for r in coarse) for n in ("a", "b", "rest")}
+    assert sizes == {"a": 930, "b": 1_035, "rest": 1_035}
+
+
 def test_one_channel_gets_only_internal_duplicates(spark):
     rows = spark.range(200).select("id", F.col("id").alias("person"), F.lit("D").alias("channel"))
     got = M.inject_duplicates(rows, "s", "id", "person", "channel", 0.1, 0.1)
