@@ -320,7 +320,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     base = scratch(named(rows), "seeds")
     each = base.select("d", "key", F.explode("seeds").alias("s")).select("d", "key", "s.*")
     shared = each.groupBy("seed").agg(F.min("d").alias("low"), F.max("d").alias("high")).filter("low < high").select("seed")
-    hits = each.join(shared, "seed").groupBy("d", "key").agg(F.collect_set(F.struct("seed", "core", "start", "size")).alias("hits"))
+    # Written first: a join with an aggregate on its own key cannot be split where a seed is hot.
+    hits = each.join(scratch(shared, "shared-seeds"), "seed").groupBy("d", "key").agg(F.collect_set(F.struct("seed", "core", "start", "size")).alias("hits"))
     candidates = scratch(rows.select("d", "key", "text").join(hits, ["d", "key"]).dropDuplicates(["d", "key"]), "candidates")
     found = scratch(contexts(candidates), "contexts")
     start = found.withColumn("length", F.lit(SEED)).withColumn("first", F.col("d"))
