@@ -4,9 +4,10 @@ A document's signature has 64 symbols of 12 bits, one per hash function, cut int
 of 5 symbols. Two signatures that differ in 25 symbols at most have, by the pigeonhole rule, a
 chunk with at most one difference. So every chunk is indexed once per symbol left out:
 sharing one of these 64 keys is certain for all pairs under that distance (at similarity 0.8
-all chunks have two differences about three times in a hundred million). 63 further symbols
-of 8 bits narrow the candidates to those within five standard deviations of the similarity;
-every link is then confirmed on the full shingle sets.
+all chunks have two differences about three times in a hundred million). Beside it each set
+has 2,048 parities, one bit flipped per shingle: two sets differ in at least as many shingles
+as their parities in bits, which rules pairs out without error. Every link is then confirmed
+on the full shingle sets.
 
 Components need far fewer links than there are similar pairs, so no group is expanded:
 
@@ -21,7 +22,7 @@ Keys that a third of all documents share are joined, never grouped into one task
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,15 @@ from monofila.llm.common import Words, carried, grams, mixed, scratch, slices, t
 from monofila.llm.components import components
 
 SYMBOLS, BITS, CHUNK, CHUNKS = 64, 12, 5, 13
-FURTHER, FURTHER_BITS = 63, 8
+PARITIES = 2_048
 #: Linked when 100 * intersection >= PERCENT * union of sets of SHINGLE words.
 SHINGLE, PERCENT = 3, 85
 STAR_ROUNDS = 2
 
 _C = [f"c{i}" for i in range(CHUNKS)]
-#: Numbers use 63 bits at most, so that lanes can be added without overflow.
-_S = [f"s{i}" for i in range(FURTHER // (63 // FURTHER_BITS))]
-_LONGS = ", ".join(f"{c} bigint" for c in _C + _S)
-_FACTORS = mixed(np.arange(1, SYMBOLS + FURTHER + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+_P = [f"p{i}" for i in range(PARITIES // 64)]
+_LONGS = ", ".join(f"{c} bigint" for c in _C + _P)
+_FACTORS = mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
 def shingle_sets(batch: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,21 +69,19 @@ def shingle_sets(batch: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(value: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-    """Packed symbols of every text that has shingles (zero for the others)."""
+    """Packed symbols and parities of every text (zero for those without shingles)."""
     n = len(first) - 1
     full = np.flatnonzero(np.diff(first) > 0)
-    out = {c: np.zeros(n, dtype=np.uint64) for c in _C + _S}
-    if not len(full):
-        return out
-    for i, factor in enumerate(_FACTORS):
-        low = mixed(np.minimum.reduceat(value * factor, first[full]))
-        if i < SYMBOLS:
+    parity = np.zeros((n, len(_P)), dtype=np.uint64)
+    out = {c: np.zeros(n, dtype=np.uint64) for c in _C}
+    if len(full):
+        bit = mixed(value + np.uint64(3)) % np.uint64(PARITIES)
+        owner = np.repeat(np.arange(n), np.diff(first))
+        np.bitwise_xor.at(parity, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        for i, factor in enumerate(_FACTORS):
+            low = mixed(np.minimum.reduceat(value * factor, first[full]))
             out[_C[i // CHUNK]][full] |= (low >> np.uint64(64 - BITS)) << np.uint64(BITS * (i % CHUNK))
-        else:
-            j = i - SYMBOLS
-            per = 63 // FURTHER_BITS
-            out[_S[j // per]][full] |= (low >> np.uint64(64 - FURTHER_BITS)) << np.uint64(FURTHER_BITS * (j % per))
-    return out
+    return out | {p: parity[:, i] for i, p in enumerate(_P)}
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -126,39 +124,29 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", *_C).mapInArrow(run, "key bigint, chunk int, dropped int, id bigint")
 
 
-def differing(a: Column, b: Column, bits: int) -> Column:
-    """Symbols in which two packed numbers differ. Adding the low bits of each symbol to
-    themselves carries into its top bit unless all are equal; numbers stay below 2 ** 63."""
-    symbols = min(63 // bits, CHUNK if bits == BITS else 63)
-    top = sum(1 << (bits * i + bits - 1) for i in range(symbols))
-    rest = sum(((1 << (bits - 1)) - 1) << (bits * i) for i in range(symbols))
+def differing(a: Column, b: Column) -> Column:
+    """Symbols in which two chunks differ. Adding the low bits of each symbol to themselves
+    carries into its top bit unless all are equal; chunks stay below 2 ** 63."""
+    top = sum(1 << (BITS * i + BITS - 1) for i in range(CHUNK))
+    rest = sum(((1 << (BITS - 1)) - 1) << (BITS * i) for i in range(CHUNK))
     x = a.bitwiseXOR(b)
     return F.bit_count((x.bitwiseAND(F.lit(rest)) + F.lit(rest)).bitwiseOR(x).bitwiseAND(F.lit(top)))
 
 
-def farthest(percent: int) -> int:
-    """Differing symbols of a pair just similar enough: the mean and five deviations."""
-    apart = 1 - percent / 100
-    n = SYMBOLS + FURTHER
-    return math.ceil(n * apart + 5 * math.sqrt(n * apart * (1 - apart)))
-
-
-def close(percent: int, a: str = "a", b: str = "b") -> Column:
-    """Sizes and signatures allow a link."""
+def possible(percent: int, a: str = "a", b: str = "b") -> Column:
+    """Sizes and parities allow a link: a pair is linked when its sets differ in at most
+    (100 - percent) / (100 + percent) of their sizes together."""
     sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    first = sum((differing(F.col(f"{a}.{c}"), F.col(f"{b}.{c}"), BITS) for c in _C), F.lit(0))
-    more = sum((differing(F.col(f"{a}.{c}"), F.col(f"{b}.{c}"), FURTHER_BITS) for c in _S), F.lit(0))
-    return sizes & (first + more <= farthest(percent))
+    odd = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in _P])
+    return sizes & ((100 + percent) * odd <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")))
 
 
 def first_shared() -> Column:
     """A pair is taken in the first chunk with at most one difference, and there once."""
-    d = [differing(F.col(f"a.{c}"), F.col(f"b.{c}"), BITS) for c in _C]
+    d = [differing(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in _C]
     first = F.least(*[F.when(x <= 1, i).otherwise(CHUNKS) for i, x in enumerate(d)])
-    here = F.lit(None).cast("int")
-    for i, x in enumerate(d):
-        here = F.when(F.col("a.chunk") == i, x).otherwise(here)
-    return (F.col("a.chunk") == first) & ((F.col("a.dropped") == 0) | (here == 1))
+    here = differing(F.col("a.own"), F.col("b.own"))
+    return ((F.col("a.dropped") == 0) | (here == 1)) & (F.col("a.chunk") == first)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,15 +182,16 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     sketches = scratch(sketched(rows, k), "sketches")
     real = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    first = real.groupBy("f0", "f1", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in _C + _S])
+    first = real.groupBy("f0", "f1", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in _C + _P])
     classes = scratch(first, "set-classes")
     keys = index_keys(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("root")).filter("members > 1")
-    met = scratch(keys.join(shared.select("key", "root"), "key"), "shared-keys")
+    # Written first: a join with an aggregate on its own key cannot be split where a key is hot.
+    met = scratch(keys.join(scratch(shared.select("key", "root"), "roots"), "key"), "shared-keys")
     # Texts of every document that meets another one, once; later joins read only these.
     meeting = met.select(F.col("id").alias("doc_id")).distinct()
     candidates = scratch(rows.join(meeting, "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
-    signed = classes.select("id", "n", *_C, *_S)
+    signed = classes.select("id", "n", *_C, *_P)
 
     links, tested, labels = None, None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -215,16 +204,23 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
                 foreign = labelled(stars, labels, "a", "of_a").filter("of_a <> of_b")
                 pairs = foreign.groupBy("b", "of_a").agg(F.min("a").alias("a")).select("a", "b")
             pairs = (
-                pairs.join(signed.select(F.col("id").alias("a"), F.struct("n", *_C, *_S).alias("x")), "a")
-                .join(signed.select(F.col("id").alias("b"), F.struct("n", *_C, *_S).alias("y")), "b")
-                .filter(close(percent, "x", "y")).select("a", "b")
+                pairs.join(signed.select(F.col("id").alias("a"), F.struct("n", *_P).alias("x")), "a")
+                .join(signed.select(F.col("id").alias("b"), F.struct("n", *_P).alias("y")), "b")
+                .filter(possible(percent, "x", "y")).select("a", "b")
             )
         else:
             mixed_keys = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-            open_rows = scratch(here.join(mixed_keys.select("key"), "key").join(signed, "id"), "open-keys")
+            own = F.element_at(F.array(*_C), F.col("chunk") + 1)
+            # Values that cannot be null keep the compiled condition short enough for the JVM to
+            # optimise; it is evaluated for every two members of a key.
+            solid = [F.coalesce(c, F.lit(0)).alias(c) for c in ("id", "component", "chunk", "dropped", "own", "n", *_C, *_P)]
+            open_rows = (
+                scratch(here.join(scratch(mixed_keys.select("key"), "mixed-keys"), "key"), "open-keys")
+                .join(signed, "id").withColumn("own", own).select("key", *solid)
+            )
             x, y = open_rows.alias("a"), open_rows.alias("b")
             on = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-            pairs = x.join(y, on & first_shared() & close(percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+            pairs = x.join(y, on & possible(percent) & first_shared()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch(pairs, "pairs")

@@ -93,9 +93,8 @@ def test_byte_shards_at_the_edges(odd, nothing, monkeypatch):
 
 # 4 near dedup
 
-@pytest.mark.parametrize("k, percent, crowded", [(3, 85, 50), (3, 85, 1), (5, 80, 50)])
-def test_near_components(docs, rows, monkeypatch, k, percent, crowded):
-    monkeypatch.setattr(near_dedup, "CROWDED", crowded)
+@pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
+def test_near_components(docs, rows, k, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(docs, k, percent).collect()}
     assert got == brute.near_components(rows, k, percent)
 
@@ -107,10 +106,9 @@ def test_near_components_at_the_edges(odd, nothing):
     assert near_dedup.near_components(nothing).collect() == []
 
 
-def test_a_large_group_of_near_copies(spark, monkeypatch):
+def test_a_large_group_of_near_copies(spark):
     import random
 
-    monkeypatch.setattr(near_dedup, "CROWDED", 8)
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     copies = []
