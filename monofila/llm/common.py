@@ -43,6 +43,19 @@ def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def hash_below(total: int, most: int) -> int:
+    """Signed 64-bit bound that about ``most`` and seldom fewer of ``total`` hashes lie below."""
+    share = min(1.0, (1.05 * most + 5 * most**0.5) / max(total, 1))
+    return min(2**63 - 1, int(-(2**63) + share * 2**64))
+
+
+def hashed_sample(rows: DataFrame, most: int, key: str) -> DataFrame:
+    """At most ``most`` rows, those with the lowest hashes of ``key``. All but a few more than
+    these are left out before any are sent, so what reaches one place is bounded too."""
+    h = F.xxhash64(key)
+    return rows.filter(h <= hash_below(rows.count(), most)).orderBy(h, key).limit(most)
+
+
 def shipped(spark: SparkSession, model: object):
     """Broadcast of a small model, with its class, for executors without the package."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))
