@@ -79,18 +79,17 @@ def named(docs: DataFrame) -> DataFrame:
                 found = seeds(words, words.hashes())
                 part = b.slice(i, j - i)
                 whole = [hashlib.sha256(b" ".join(v.split())).hexdigest() for v in values[i:j]]
-                flat = pa.StructArray.from_arrays(
-                    [pa.array(np.concatenate([f[0] for f in found]).view(np.int64), pa.int64())]
-                    + [pa.array(np.concatenate([f[n] for f in found]), pa.int32()) for n in (1, 2, 3)],
-                    ["seed", "core", "start", "size"],
-                )
+                seed, core, start, size = (np.concatenate([f[n] for f in found]) for n in range(4))
+                # Start, core (less than a window behind it) and size (no larger) in one number.
+                place = (start << 12) | ((core - start) << 6) | size
+                flat = pa.StructArray.from_arrays([pa.array(seed.view(np.int64)), pa.array(place, pa.int64())], ["seed", "place"])
                 ends = np.concatenate(([0], np.cumsum([len(f[0]) for f in found])))
                 yield carried(
                     part, "doc_id", "d", "key", n_words=pa.array(np.diff(words.first), pa.int64()), whole=pa.array(whole, pa.string()),
                     seeds=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
                 )
 
-    shape = "doc_id bigint, d bigint, key bigint, n_words bigint, whole string, seeds array<struct<seed:bigint,core:int,start:int,size:int>>"
+    shape = "doc_id bigint, d bigint, key bigint, n_words bigint, whole string, seeds array<struct<seed:bigint,place:bigint>>"
     return docs.mapInArrow(run, shape)
 
 
@@ -103,8 +102,8 @@ def contexts(candidates: DataFrame) -> DataFrame:
             for d, key, text, hits in zip(*(b.column(c).to_pylist() for c in ("d", "key")), utf8(b), b.column("hits").to_pylist()):
                 words = text.split()
                 for h in hits:
-                    start, size = h["start"], h["size"]
-                    row = (d, key, start, h["seed"], h["core"] - start, size, b" ".join(words[start : start + size + WINDOW - 1]))
+                    start, core, size = h["place"] >> 12, h["place"] >> 6 & 63, h["place"] & 63
+                    row = (d, key, start, h["seed"], core, size, b" ".join(words[start : start + size + WINDOW - 1]))
                     for column, value in zip(out.values(), row):
                         column.append(value)
                 if len(out["d"]) > 20_000:
@@ -321,7 +320,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     each = base.select("d", "key", F.explode("seeds").alias("s")).select("d", "key", "s.*")
     shared = each.groupBy("seed").agg(F.min("d").alias("low"), F.max("d").alias("high")).filter("low < high").select("seed")
     # Written first: a join with an aggregate on its own key cannot be split where a seed is hot.
-    hits = each.join(scratch(shared, "shared-seeds"), "seed").groupBy("d", "key").agg(F.collect_set(F.struct("seed", "core", "start", "size")).alias("hits"))
+    hits = each.join(scratch(shared, "shared-seeds"), "seed").groupBy("d", "key").agg(F.collect_set(F.struct("seed", "place")).alias("hits"))
     candidates = scratch(rows.select("d", "key", "text").join(hits, ["d", "key"]).dropDuplicates(["d", "key"]), "candidates")
     found = scratch(contexts(candidates), "contexts")
     start = found.withColumn("length", F.lit(SEED)).withColumn("first", F.col("d"))
