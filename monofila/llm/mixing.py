@@ -1,26 +1,33 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling.
 
 Each source's documents form blocks of ``BLOCK`` bytes. Time is a row of slots, one block
-each. With weight w, block j of a source (from 0) is released at slot floor(j / w) and due by
-ceil((j + 1) / w); serving the released block that is due first meets every deadline, because
-the weights add up to one. Every source then stays within one block of its share at all times.
-
-Weights are whole numbers of slots out of a period, and after a period the schedule starts
-over. So the earliest-deadline-first order is worked out once for one period, from the weights
-alone; the slot of any block follows by division, without a pass over the blocks in order.
-
-The mix ends where the first source has no block left to give (``in_mix``): beyond it the
-weights could not hold. A source's documents are laid out in blocks by parts of about
-``PART`` documents, picked by a hash of the id, so a source with a third of all rows is many
-parts, none of which a task must hold in order with the others.
+each. Were blocks divisible, all sources that have blocks left would be served at once, in
+proportion to their weights. A block is released at the slot in which it would then begin and
+due by the end of the slot in which it would end. Serving the released block that is due first
+meets every deadline, because the divisible service fits these windows. Every source then
+stays within one block of its share at all times, and a source that has run dry leaves its
+share to the others, so every block gets a slot.
+
+``in_mix`` marks what lies before the first source runs dry, where the target weights hold.
+
+Weights are whole numbers, ``FINEST`` at least for the smallest, and windows are exact. The
+driver works the order out block by block, from weights and numbers of blocks alone, and
+writes it out in pieces; documents look their block up. A source's documents are laid out in
+blocks by parts of about ``PART`` documents, picked by a hash of the id, so a source with a
+third of all rows is many parts, none of which a task must hold in order with the others.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
-from pyspark.sql import DataFrame
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,41 +36,84 @@ from monofila.llm.common import scratch
 BLOCK, PART = 65_536, 1_000
 #: Sources with a weight of their own; the rest, from the smallest on, share one.
 MOST_SOURCES = 4_096
-#: Slots of a period, at least; more where there are many sources.
-PERIOD = 1_024
+#: Units into which the weights are divided, at least; more where the smallest would get less
+#: than FINEST of them.
+PERIOD, FINEST = 1_024, 1 << 20
+#: Slots of the schedule that are written at once.
+PIECE = 1 << 20
 #: Target weight: bytes of the source to this power.
 TEMPERATURE = 0.7
 
 
 def units(weights: list[float], period: int) -> list[int]:
     """Whole slots per period in proportion to the weights, at least one each."""
-    total = sum(weights)
-    exact = [w / total * (period - len(weights)) for w in weights]
+    total, spare = sum(map(Fraction, weights)), period - len(weights)
+    exact = [Fraction(w) * spare / total for w in weights]
     whole = [int(x) for x in exact]
-    left = period - len(weights) - sum(whole)
+    left = spare - sum(whole)
     by_rest = sorted(range(len(weights)), key=lambda i: (whole[i] - exact[i], i))
     for i in by_rest[:left]:
         whole[i] += 1
     return [x + 1 for x in whole]
 
 
+class Fluid:
+    """Service of all sources at once: by virtual time v a source has been given
+    min(blocks, weight * v), so all of them together are at slot ``at(v)``."""
+
+    def __init__(self, blocks: list[int], weights: list[int]) -> None:
+        ends: dict[Fraction, list[int]] = {}
+        for n, w in zip(blocks, weights):
+            dry = ends.setdefault(Fraction(n, w), [0, 0])
+            dry[0], dry[1] = dry[0] + n, dry[1] + w
+        order = sorted(ends)
+        self.ends = [float(v) for v in order]
+        #: (blocks of the sources that are dry, weight of the others) before, between and after the ends.
+        self.lines = [(0, sum(weights))]
+        for v in order:
+            done, left = self.lines[-1]
+            self.lines.append((done + ends[v][0], left - ends[v][1]))
+        #: Slots before the first source is dry.
+        self.level = -(-self.lines[0][1] * order[0].numerator // order[0].denominator) if order else 0
+
+    def at(self, j: int, weight: int) -> int:
+        """Slot, times ``weight``, by which a source of that weight has been given j blocks. The
+        curve is concave, so it is the least of its lines; only those near v can be that."""
+        v = j / weight
+        low, high = bisect_left(self.ends, v * (1 - 1e-12)), bisect_right(self.ends, v * (1 + 1e-12))
+        return min(done * weight + left * j for done, left in self.lines[low : high + 1])
+
+
+def schedule(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(source, block, release, deadline) of every slot, earliest deadline first."""
+    fluid = Fluid(blocks, weights)
+
+    def due(s: int, j: int) -> int:
+        return -(-fluid.at(j + 1, weights[s]) // weights[s])
+
+    released, given = [0] * len(blocks), [0] * len(blocks)
+    ready = [(due(s, 0), s) for s, n in enumerate(blocks) if n]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int]] = []
+    for t in range(sum(blocks)):
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (due(s, given[s]), s))
+        deadline, s = heapq.heappop(ready)
+        if deadline <= t:
+            raise AssertionError("windows that a divisible service fits meet every deadline")
+        j = given[s]
+        yield s, j, released[s], deadline
+        given[s] = j + 1
+        if j + 1 < blocks[s]:
+            released[s] = fluid.at(j + 1, weights[s]) // weights[s]
+            heapq.heappush(waiting, (released[s], s))
+
+
 def period_slots(shares: list[int]) -> list[list[int]]:
     """Slots of each source's blocks in one period, earliest deadline first."""
-    period = sum(shares)
-    released: list[list[int]] = [[] for _ in range(period)]
-    for s, share in enumerate(shares):
-        for j in range(share):
-            released[j * period // share].append(s)
-    ready: list[tuple[int, int]] = []
     slots: list[list[int]] = [[] for _ in shares]
-    queued = [0] * len(shares)
-    for t in range(period):
-        for s in released[t]:
-            heapq.heappush(ready, (-(-(queued[s] + 1) * period // shares[s]), s))
-            queued[s] += 1
-        due, s = heapq.heappop(ready)
-        if due <= t:
-            raise AssertionError("weights that add up to one meet every deadline")
+    for t, (s, *_) in enumerate(schedule(shares, shares)):
         slots[s].append(t)
     return slots
 
@@ -76,8 +126,8 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def shares(rows: DataFrame, weights: Mapping[str | None, float] | None, temperature: float, period: int) -> DataFrame:
-    """One row per source with a weight of its own, and one (``rest``) for all others:
-    share of the period, slots in it, and parts. At most MOST_SOURCES + 1 rows."""
+    """One row per source with a weight of its own, and one (``rest``) for all others: number,
+    units of weight, and parts. At most MOST_SOURCES + 1 rows."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     named = totals.orderBy(F.desc("bytes"), "source").limit(MOST_SOURCES).collect()
     every = totals.agg(F.sum("bytes"), F.sum("n")).first()
@@ -88,14 +138,36 @@ def shares(rows: DataFrame, weights: Mapping[str | None, float] | None, temperat
     else:
         wanted = [0.0 if is_rest else float(weights.get(s, 0.0)) for s, is_rest, _, _ in known]
     used = [i for i, w in enumerate(wanted) if w > 0]
-    period = max(period, 4 * len(used))
+    if used:
+        smallest = Fraction(min(wanted[i] for i in used))
+        period = max(period, len(used) + -(-FINEST * sum(Fraction(wanted[i]) for i in used) // smallest))
     share = dict(zip(used, units([wanted[i] for i in used], period))) if used else {}
-    slots = dict(zip(used, period_slots([share[i] for i in used]))) if used else {}
-    out = [
-        (s, is_rest, share.get(i, 0), slots.get(i, []), max(1, -(-n // PART)), period)
-        for i, (s, is_rest, _, n) in enumerate(known)
-    ]
-    return rows.sparkSession.createDataFrame(out, "source string, rest boolean, share int, slots array<int>, parts int, period int")
+    out = [(s, is_rest, i, str(share.get(i, 0)), max(1, -(-n // PART))) for i, (s, is_rest, _, n) in enumerate(known)]
+    return rows.sparkSession.createDataFrame(out, "source string, rest boolean, number int, share string, parts int")
+
+
+def timetable(spark: SparkSession, supply: list[tuple[int, int, int]]) -> tuple[DataFrame, int]:
+    """(number, j, slot, release, deadline) of every block of sources (number, blocks, weight),
+    and the slots before the first source is dry. Only ``PIECE`` slots at a time are held."""
+    numbers, blocks, weights = [list(x) for x in zip(*supply)] or [[], [], []]
+    names = ["number", "j", "release", "deadline"]
+    pieces, piece, slot = [], [array("q") for _ in names], 0
+
+    def written() -> DataFrame:
+        columns = {c: pa.array(x, pa.int64()) for c, x in zip(names, piece)}
+        at = pa.array(range(slot - len(piece[0]), slot), pa.int64())
+        return scratch(spark.createDataFrame(pa.table(columns | {"slot": at})), "timetable")
+
+    for s, *rest in schedule(blocks, weights):
+        for column, x in zip(piece, (numbers[s], *rest)):
+            column.append(x)
+        slot += 1
+        if len(piece[0]) == PIECE:
+            pieces.append(written())
+            piece = [array("q") for _ in names]
+    if piece[0] or not pieces:
+        pieces.append(written())
+    return reduce(DataFrame.unionByName, pieces), Fluid(blocks, weights).level
 
 
 def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = TEMPERATURE,
@@ -105,62 +177,45 @@ def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, t
 
     ``weights`` maps sources (None: no source) to targets; by default a source weighs its bytes
     to the power ``temperature``. A source of weight 0, or not in ``weights``, is never in the mix
-    and has no slot. Null text has no bytes, a null doc_id is kept, equal rows lie side by side,
-    an empty table gives none; other columns are ignored.
+    and has no slot. Every other document has one, also behind the end of the mix. Null text has
+    no bytes, a null doc_id is kept, equal rows lie side by side, an empty table gives none;
+    other columns are ignored.
     """
     rows = scratch(sized(docs), "sizes")
     known = scratch(shares(rows, weights, temperature, period), "shares")
-    # At most MOST_SOURCES + 1 rows with PERIOD or 4 slots a source in all.
-    table = F.broadcast(known.filter("NOT rest").drop("rest").withColumnRenamed("source", "_source"))
-    other = F.broadcast(known.filter("rest").select(
-        F.lit(True).alias("_rest"), F.col("share").alias("_share"), F.col("slots").alias("_slots"), F.col("parts").alias("_parts"),
-        F.col("period").alias("_period"),
-    ))
-    labelled = rows.join(table, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_rest", F.col("share").isNull())
+    table = F.broadcast(known.filter("NOT rest").select(F.col("source").alias("_source"), "number", "parts"))
+    other = F.broadcast(known.filter("rest").select(F.lit(True).alias("_rest"), F.col("number").alias("_number"), F.col("parts").alias("_parts")))
+    labelled = rows.join(table, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_rest", F.col("number").isNull())
     labelled = labelled.join(other, "_rest", "left").select(
-        "doc_id", "key", "source", "size", F.when(F.col("_rest"), F.lit(None)).otherwise(F.col("source")).alias("_group"), "_rest",
-        F.coalesce("share", "_share").alias("share"), F.coalesce("slots", "_slots").alias("slots"),
-        F.coalesce("parts", "_parts").alias("parts"), F.coalesce("period", "_period").alias("period"),
+        "doc_id", "key", "source", "size", F.coalesce("number", "_number").alias("number"), F.coalesce("parts", "_parts").alias("parts"),
     )
     dealt = labelled.withColumn("_part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int"))
-    group = ["_group", "_rest"]
-    sums = dealt.groupBy(*group, "_part").agg(F.sum("size").alias("bytes"), F.first("share").alias("share"), F.first("slots").alias("slots"), F.first("period").alias("period"))
+    sums = dealt.groupBy("number", "_part").agg(F.sum("size").alias("bytes"))
     blocks = sums.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("bytes") / block)).cast("bigint"))
-    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("number").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = scratch(blocks.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))), "parts")
-    # The first block that some source cannot give ends the mix; one number.
-    supply = starts.filter("share > 0").groupBy(*group).agg(
-        F.sum("blocks").alias("j"), F.first("share").alias("share"), F.first("slots").alias("slots"), F.first("period").alias("period")
-    )
-    end = supply.agg(F.min(slot_of("j"))).first()[0]
-    inside = W.partitionBy(*group, "_part").orderBy("doc_id", "key").rowsBetween(W.unboundedPreceding, -1)
+    units_of = {r.number: int(r.share) for r in known.collect()}
+    stock = sorted(tuple(r) for r in starts.groupBy("number").agg(F.sum("blocks")).collect())
+    times, end = timetable(rows.sparkSession, [(i, n, units_of[i]) for i, n in stock if units_of[i]])
+    inside = W.partitionBy("number", "_part").orderBy("doc_id", "key").rowsBetween(W.unboundedPreceding, -1)
     laid = dealt.drop("parts").withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    same = [F.col("a._group").eqNullSafe(F.col("b._group")), F.col("a._rest") == F.col("b._rest"), F.col("a._part") == F.col("b._part")]
-    j = laid.alias("a").join(starts.select(*group, "_part", "first").alias("b"), same[0] & same[1] & same[2]).select(
-        "a.*", (F.col("b.first") + F.floor(F.col("a._at") / block)).cast("bigint").alias("j")
+    j = laid.join(starts.select("number", "_part", "first"), ["number", "_part"]).withColumn(
+        "j", (F.col("first") + F.floor(F.col("_at") / block)).cast("bigint")
     )
-    timed = j.withColumn("slot", F.when(F.col("share") > 0, slot_of("j")))
-    weighed = F.col("share") > 0
-    return timed.select(
-        "doc_id", "key", "source", "size", F.col("j").alias("block"),
-        F.when(weighed, F.expr("j * period div share")).alias("release"),
-        F.when(weighed, F.expr("((j + 1) * period + share - 1) div share")).alias("deadline"),
-        "slot", (F.col("_at") % block).alias("start"), F.coalesce(F.col("slot") < F.lit(end), F.lit(False)).alias("in_mix"),
+    return j.join(times, ["number", "j"], "left").select(
+        "doc_id", "key", "source", "size", F.col("j").alias("block"), "release", "deadline", "slot",
+        (F.col("_at") % block).alias("start"), F.coalesce(F.col("slot") < F.lit(end), F.lit(False)).alias("in_mix"),
     )
 
 
-def slot_of(j: str):
-    return F.expr(f"({j} div share) * period + element_at(slots, CAST({j} % share AS int) + 1)")
-
-
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, block, release, deadline, slot, start, in_mix of every document."""
     return placed(docs).drop("key")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix in its order, as rows of ``docs``."""
-    order = placed(docs).filter("in_mix").select(
+    """All rows of ``docs`` in the order of their slots."""
+    order = placed(docs).select(
         F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("slot").alias("__slot"), F.col("start").alias("__start")
     ).groupBy("__id", "__key").agg(F.min("__slot").alias("__slot"), F.min("__start").alias("__start"))
     rows = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -193,6 +193,29 @@ def test_mix_follows_given_weights(spark):
     assert mixing.mixed_documents(df).columns == df.columns
 
 
+def test_a_source_that_runs_dry_ends_nothing(spark):
+    rows = [(i, "x" * 1_000, f"s{i % 3}") for i in range(3_000)] + [(3_000, "tiny", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.placed(df, block=1_000).collect()
+    assert sorted({r.slot for r in got}) == list(range(3_001))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    assert sum(r.in_mix for r in got) > 2_900
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.source].append(r.slot)
+    for s in ("s0", "s1", "s2"):
+        assert all(abs(sum(x <= t for x in slots[s]) - (t + 1) / 3) <= 1.01 for t in range(0, 3_000, 100))
+    assert mixing.mixed_documents(df).count() == len(rows)
+
+
+def test_sources_that_are_left_share_what_a_dry_one_had():
+    blocks, weights = [10, 100, 7, 1], [8, 3, 2, 1]
+    got = list(mixing.schedule(blocks, weights))
+    assert Counter(s for s, *_ in got) == dict(enumerate(blocks))
+    assert all(release <= t < deadline for t, (_, _, release, deadline) in enumerate(got))
+    assert [s for s, *_ in got[-60:]] == [1] * 60
+
+
 def test_mix_at_the_edges(odd, nothing, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
     assert mixing.mix(odd).count() == odd.count()
