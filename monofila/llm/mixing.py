@@ -14,7 +14,8 @@ Weights are whole numbers, ``FINEST`` at least for the smallest, and windows are
 driver works the order out block by block, from weights and numbers of blocks alone, and
 writes it out in pieces; documents look their block up. A source's documents are laid out in
 blocks by parts of about ``PART`` documents, picked by a hash of the id, so a source with a
-third of all rows is many parts, none of which a task must hold in order with the others.
+third of all rows is many parts, none of which a task must hold in order with the others. A
+part begins at the byte where the one before ended, so only a source's last block is not full.
 """
 
 from __future__ import annotations
@@ -125,9 +126,9 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def shares(rows: DataFrame, weights: Mapping[str | None, float] | None, temperature: float, period: int) -> DataFrame:
+def shares(rows: DataFrame, weights: Mapping[str | None, float] | None, temperature: float, period: int, block: int) -> DataFrame:
     """One row per source with a weight of its own, and one (``rest``) for all others: number,
-    units of weight, and parts. At most MOST_SOURCES + 1 rows."""
+    blocks, units of weight, and parts. At most MOST_SOURCES + 1 rows."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     named = totals.orderBy(F.desc("bytes"), "source").limit(MOST_SOURCES).collect()
     every = totals.agg(F.sum("bytes"), F.sum("n")).first()
@@ -142,8 +143,8 @@ def shares(rows: DataFrame, weights: Mapping[str | None, float] | None, temperat
         smallest = Fraction(min(wanted[i] for i in used))
         period = max(period, len(used) + -(-FINEST * sum(Fraction(wanted[i]) for i in used) // smallest))
     share = dict(zip(used, units([wanted[i] for i in used], period))) if used else {}
-    out = [(s, is_rest, i, str(share.get(i, 0)), max(1, -(-n // PART))) for i, (s, is_rest, _, n) in enumerate(known)]
-    return rows.sparkSession.createDataFrame(out, "source string, rest boolean, number int, share string, parts int")
+    out = [(s, is_rest, i, max(1, -(-b // block)), str(share.get(i, 0)), max(1, -(-n // PART))) for i, (s, is_rest, b, n) in enumerate(known)]
+    return rows.sparkSession.createDataFrame(out, "source string, rest boolean, number int, blocks bigint, share string, parts int")
 
 
 def timetable(spark: SparkSession, supply: list[tuple[int, int, int]]) -> tuple[DataFrame, int]:
@@ -182,29 +183,32 @@ def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, t
     other columns are ignored.
     """
     rows = scratch(sized(docs), "sizes")
-    known = scratch(shares(rows, weights, temperature, period), "shares")
-    table = F.broadcast(known.filter("NOT rest").select(F.col("source").alias("_source"), "number", "parts"))
-    other = F.broadcast(known.filter("rest").select(F.lit(True).alias("_rest"), F.col("number").alias("_number"), F.col("parts").alias("_parts")))
+    known = scratch(shares(rows, weights, temperature, period, block), "shares")
+    table = F.broadcast(known.filter("NOT rest").select(F.col("source").alias("_source"), "number", "blocks", "parts"))
+    other = F.broadcast(known.filter("rest").select(
+        F.lit(True).alias("_rest"), F.col("number").alias("_number"), F.col("blocks").alias("_blocks"), F.col("parts").alias("_parts")
+    ))
     labelled = rows.join(table, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_rest", F.col("number").isNull())
     labelled = labelled.join(other, "_rest", "left").select(
-        "doc_id", "key", "source", "size", F.coalesce("number", "_number").alias("number"), F.coalesce("parts", "_parts").alias("parts"),
+        "doc_id", "key", "source", "size", F.coalesce("number", "_number").alias("number"),
+        F.coalesce("blocks", "_blocks").alias("blocks"), F.coalesce("parts", "_parts").alias("parts"),
     )
     dealt = labelled.withColumn("_part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int"))
     sums = dealt.groupBy("number", "_part").agg(F.sum("size").alias("bytes"))
-    blocks = sums.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("bytes") / block)).cast("bigint"))
     before = W.partitionBy("number").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = scratch(blocks.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))), "parts")
-    units_of = {r.number: int(r.share) for r in known.collect()}
-    stock = sorted(tuple(r) for r in starts.groupBy("number").agg(F.sum("blocks")).collect())
-    times, end = timetable(rows.sparkSession, [(i, n, units_of[i]) for i, n in stock if units_of[i]])
+    starts = scratch(sums.withColumn("first", F.coalesce(F.sum("bytes").over(before), F.lit(0))), "parts")
+    supply = [(r.number, r.blocks, int(r.share)) for r in known.orderBy("number").collect() if r.share != "0"]
+    times, end = timetable(rows.sparkSession, supply)
     inside = W.partitionBy("number", "_part").orderBy("doc_id", "key").rowsBetween(W.unboundedPreceding, -1)
     laid = dealt.drop("parts").withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    offset = F.col("first") + F.col("_at")
+    # Texts without bytes behind a full last block count to it.
     j = laid.join(starts.select("number", "_part", "first"), ["number", "_part"]).withColumn(
-        "j", (F.col("first") + F.floor(F.col("_at") / block)).cast("bigint")
+        "j", F.least(F.floor(offset / block), F.col("blocks") - 1).cast("bigint")
     )
     return j.join(times, ["number", "j"], "left").select(
         "doc_id", "key", "source", "size", F.col("j").alias("block"), "release", "deadline", "slot",
-        (F.col("_at") % block).alias("start"), F.coalesce(F.col("slot") < F.lit(end), F.lit(False)).alias("in_mix"),
+        (offset - F.col("j") * block).alias("start"), F.coalesce(F.col("slot") < F.lit(end), F.lit(False)).alias("in_mix"),
     )
 
 

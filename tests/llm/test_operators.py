@@ -216,6 +216,14 @@ def test_sources_that_are_left_share_what_a_dry_one_had():
     assert [s for s, *_ in got[-60:]] == [1] * 60
 
 
+def test_parts_of_a_source_leave_no_gaps(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 10)
+    rows = [(i, "x" * 100, "a") for i in range(1_000)] + [(i, None, "a") for i in range(1_000, 1_050)]
+    got = mixing.placed(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), block=800).collect()
+    assert sorted(r.block * 800 + r.start for r in got if r.size) == list(range(0, 100_000, 100))
+    assert max(r.block for r in got) == 124 and all(0 <= r.start <= 800 and r.slot == r.block for r in got)
+
+
 def test_mix_at_the_edges(odd, nothing, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
     assert mixing.mix(odd).count() == odd.count()
