@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from monofila.llm.common import scratch
 
 BLOCK, PART = 65_536, 1_000
-#: Sources with a weight of their own; the rest, from the smallest on, share one.
+#: Sources whose table is sent to every task; a longer one is joined by shuffle.
 MOST_SOURCES = 4_096
 #: Units into which the weights are divided, at least; more where the smallest would get less
 #: than FINEST of them.
@@ -126,25 +126,24 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def shares(rows: DataFrame, weights: Mapping[str | None, float] | None, temperature: float, period: int, block: int) -> DataFrame:
-    """One row per source with a weight of its own, and one (``rest``) for all others: number,
-    blocks, units of weight, and parts. At most MOST_SOURCES + 1 rows."""
+def shares(rows: DataFrame, weights: Mapping[str | None, float] | None, temperature: float, period: int, block: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """One row per source: number, blocks and parts; and (number, blocks, units of weight) of
+    those with a weight, on the driver."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    named = totals.orderBy(F.desc("bytes"), "source").limit(MOST_SOURCES).collect()
-    every = totals.agg(F.sum("bytes"), F.sum("n")).first()
-    rest = ((every[0] or 0) - sum(r[1] for r in named), (every[1] or 0) - sum(r[2] for r in named))
-    known = [(r[0], False, r[1], r[2]) for r in named] + ([(None, True, *rest)] if rest[1] else [])
+    known = [tuple(r) for r in totals.orderBy(F.desc("bytes"), "source").collect()]
+    blocks = [max(1, -(-b // block)) for _, b, _ in known]
     if weights is None:
-        wanted = [max(b, 1) ** temperature for _, _, b, _ in known]
+        wanted = [max(b, 1) ** temperature for _, b, _ in known]
     else:
-        wanted = [0.0 if is_rest else float(weights.get(s, 0.0)) for s, is_rest, _, _ in known]
+        wanted = [float(weights.get(s, 0.0)) for s, _, _ in known]
     used = [i for i, w in enumerate(wanted) if w > 0]
     if used:
         smallest = Fraction(min(wanted[i] for i in used))
         period = max(period, len(used) + -(-FINEST * sum(Fraction(wanted[i]) for i in used) // smallest))
-    share = dict(zip(used, units([wanted[i] for i in used], period))) if used else {}
-    out = [(s, is_rest, i, max(1, -(-b // block)), str(share.get(i, 0)), max(1, -(-n // PART))) for i, (s, is_rest, b, n) in enumerate(known)]
-    return rows.sparkSession.createDataFrame(out, "source string, rest boolean, number int, blocks bigint, share string, parts int")
+    share = units([wanted[i] for i in used], period) if used else []
+    out = [(s, i, blocks[i], max(1, -(-n // PART))) for i, (s, _, n) in enumerate(known)]
+    sources = rows.sparkSession.createDataFrame(out, "_source string, number bigint, blocks bigint, parts int")
+    return sources, [(i, blocks[i], x) for i, x in zip(used, share)]
 
 
 def timetable(spark: SparkSession, supply: list[tuple[int, int, int]]) -> tuple[DataFrame, int]:
@@ -183,21 +182,14 @@ def placed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, t
     other columns are ignored.
     """
     rows = scratch(sized(docs), "sizes")
-    known = scratch(shares(rows, weights, temperature, period, block), "shares")
-    table = F.broadcast(known.filter("NOT rest").select(F.col("source").alias("_source"), "number", "blocks", "parts"))
-    other = F.broadcast(known.filter("rest").select(
-        F.lit(True).alias("_rest"), F.col("number").alias("_number"), F.col("blocks").alias("_blocks"), F.col("parts").alias("_parts")
-    ))
-    labelled = rows.join(table, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_rest", F.col("number").isNull())
-    labelled = labelled.join(other, "_rest", "left").select(
-        "doc_id", "key", "source", "size", F.coalesce("number", "_number").alias("number"),
-        F.coalesce("blocks", "_blocks").alias("blocks"), F.coalesce("parts", "_parts").alias("parts"),
-    )
+    sources, supply = shares(rows, weights, temperature, period, block)
+    sources = scratch(sources, "sources")
+    few = sources.count() <= MOST_SOURCES
+    labelled = rows.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = labelled.withColumn("_part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int"))
     sums = dealt.groupBy("number", "_part").agg(F.sum("size").alias("bytes"))
     before = W.partitionBy("number").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = scratch(sums.withColumn("first", F.coalesce(F.sum("bytes").over(before), F.lit(0))), "parts")
-    supply = [(r.number, r.blocks, int(r.share)) for r in known.orderBy("number").collect() if r.share != "0"]
     times, end = timetable(rows.sparkSession, supply)
     inside = W.partitionBy("number", "_part").orderBy("doc_id", "key").rowsBetween(W.unboundedPreceding, -1)
     laid = dealt.drop("parts").withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))

@@ -224,6 +224,15 @@ def test_parts_of_a_source_leave_no_gaps(spark, monkeypatch):
     assert max(r.block for r in got) == 124 and all(0 <= r.start <= 800 and r.slot == r.block for r in got)
 
 
+def test_every_source_has_its_own_weight(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    rows = [(i, "x" * 100, f"s{i % 5}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [r for r in mixing.placed(df, {"s0": 1, "s3": 1, "s4": 2}, block=100).collect() if r.in_mix]
+    n = Counter(r.source for r in got)
+    assert set(n) == {"s0", "s3", "s4"} and n["s4"] == 100 and abs(n["s0"] - 50) <= 1 and abs(n["s3"] - 50) <= 1
+
+
 def test_mix_at_the_edges(odd, nothing, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
     assert mixing.mix(odd).count() == odd.count()
