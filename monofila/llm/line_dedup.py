@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-A line of ``SHORTEST`` characters or more goes when a line that occurs earlier (by doc_id, then
-line number) is within its edit distance: no edits below 20 characters per edit, ``EDITS`` at
-most. Shorter lines are left alone.
+A line goes when a line that occurs earlier (by doc_id, then line number) is within its edit
+distance: one edit per ``CHARS_PER_EDIT`` characters, ``EDITS`` at most. Shorter lines go when they
+are equal to an earlier one. Lines without a word are left alone.
 
 Distinct lines are joined like this: every line is cut into EDITS + 1 even segments. Edits can
 touch at most EDITS of them, so a line within the distance contains one segment unchanged. An
@@ -21,13 +21,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monofila.llm.common import mixed, scratch, texts
 from monofila.llm.repeats import filter_cells, is_on, repeat_filter
 
-EDITS, SHORTEST, CHARS_PER_EDIT = 2, 20, 20
+EDITS, SHORTEST, CHARS_PER_EDIT = 2, 1, 20
+#: Lines that are compared have SHORTEST characters or more, one of which is no blank.
+_SOLID = r"[^\x20\x09-\x0D]"
 _LAST = 2**63 - 1
 _BASE = 0xD1342543DE82EF95
 _SAME_LENGTH = 1 << 40
@@ -81,9 +83,13 @@ def allowed(a: str, b: str) -> int:
     return min(EDITS, min(len(a), len(b)) // CHARS_PER_EDIT)
 
 
+def compared(line: Column) -> Column:
+    return (F.length(line) >= SHORTEST) & line.rlike(_SOLID)
+
+
 def distinct_lines(rows: DataFrame) -> DataFrame:
-    """Every line long enough, once, with the place (d, n, key) of its first occurrence."""
-    lines = rows.select("d", "key", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).filter(F.length("line") >= SHORTEST)
+    """Every line with a word, once, with the place (d, n, key) of its first occurrence."""
+    lines = rows.select("d", "key", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).filter(compared(F.col("line")))
     return lines.groupBy("line").agg(F.min(F.struct("d", "n", "key")).alias("first"))
 
 
@@ -221,17 +227,19 @@ def judged(docs: DataFrame, *keep: str) -> DataFrame:
         "d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "key": F.xxhash64("text"),
     })
     lines = scratch(distinct_lines(rows).withColumn("id", F.monotonically_increasing_id()), "lines")
-    pairs = scratch(near_pairs(lines), "line-pairs")
-    gone = later_lines(pairs, scratch(lines_of(pairs, lines), "paired-lines"))
+    # Shorter lines may not differ at all.
+    long = lines.filter(F.length("line") >= CHARS_PER_EDIT)
+    pairs = scratch(near_pairs(long), "line-pairs")
+    gone = later_lines(pairs, scratch(lines_of(pairs, long), "paired-lines"))
     kept = (
         lines.select("id", "first").join(gone, "id", "left_anti").groupBy("first.d", "first.key")
         .agg(F.collect_list("first.n").alias("kept"))
     )
-    long_lines = F.expr(f"filter(transform(split(text, '\n', -1), (x, i) -> IF(length(x) >= {SHORTEST}, i, -1)), i -> i >= 0)")
-    counted = rows.select("doc_id", *keep, "d", "key", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), long_lines.alias("long"))
+    solid = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(compared(x), i).otherwise(-1))
+    counted = rows.select("doc_id", *keep, "d", "key", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"), F.filter(solid, lambda i: i >= 0).alias("solid"))
     return counted.join(kept, ["d", "key"], "left").withColumn(
-        "removed", F.array_except("long", F.coalesce("kept", F.array().cast("array<int>")))
-    ).drop("long", "kept")
+        "removed", F.array_except("solid", F.coalesce("kept", F.array().cast("array<int>")))
+    ).drop("solid", "kept")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -244,7 +252,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     found = rows.join(verdict.dropDuplicates(["__d", "__key"]), ["__d", "__key"])
     cut = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(__removed, i)), '\\n')")
     changed = F.size("__removed") > 0
-    out = found.withColumn("text", F.when(changed, cut).otherwise(F.col("text"))).filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = found.withColumn("text", F.when(changed, cut).otherwise(F.col("text"))).filter(~changed | F.col("text").rlike(_SOLID))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -324,6 +324,15 @@ def test_line_dedup_cuts_lines(docs, rows):
     assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == out
 
 
+def test_short_lines_go_when_equal(spark):
+    rows = [(1, "Les.\n\n \nshort line"), (2, "Les.\n\n \nshort lime\nLes."), (3, None), (4, "Les."), (None, "short line\nx")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: sorted(r.removed) for r in line_dedup.line_dedup(df).collect()}
+    assert got == {1: [], 2: [0, 4], 3: [], 4: [0], None: [0]}
+    kept = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(df).collect()}
+    assert kept == {1: rows[0][1], 2: "\n \nshort lime", 3: None, None: "x"}
+
+
 def test_line_dedup_at_the_edges(odd, nothing):
     got = line_dedup.line_dedup(odd)
     assert got.count() == odd.count()
