@@ -73,3 +73,19 @@ def test_pipeline_stages(spark, tmp_path, library):
         else:
             assert after.columns == columns
         before = after
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join(words[:-1] + ["x"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text), (None, near), (7, near), (7, near), (5, other), (5, text + " y"), (None, " ".join(f"u{i}" for i in range(60)))] + [(None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=str) == sorted([(5, other), (5, text + " y"), rows[6], (None, None), (None, None)], key=str)
+
+    def verdicts(docs, labels, keep=()):
+        return docs.withColumn("kept", docs["text"].startswith("w")).select("doc_id", *keep, "kept")
+
+    monkeypatch.setattr(corpus_pipeline, "quality_classifier", verdicts)
+    got = corpus_pipeline.good_documents(spark, docs, FOLDER).collect()
+    assert len(got) == 5 and all(r.text.startswith("w") for r in got)
