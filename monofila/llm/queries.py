@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from monofila.llm.alignment import aligned
 from monofila.llm.bpe import round_trip
+from monofila.llm.byte_bpe import Vocabulary, coded
 from monofila.llm.common import table
 from monofila.llm.exact_dedup import exact_dedup
 from monofila.llm.line_dedup import line_dedup
@@ -21,14 +22,22 @@ from monofila.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
-def vocabulary() -> bytes:
-    with open(public_tokenizers.path(VOCABULARY), "rb") as f:
+def vocabulary(name: str = VOCABULARY) -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
 
 
+def ranked() -> Vocabulary:
+    import public_tokenizers
+
+    return Vocabulary.of(vocabulary(RANKS), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
     def on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
         return lambda spark, folder: operator(table(spark, folder, "documents"))
@@ -53,6 +62,8 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": with_labels(quality_rules),
         "op9_line_dedup": on_documents(line_dedup),
         "op10_quality_classifier": with_labels(quality_classifier),
+        "op11_byte_bpe": on_documents(lambda docs: coded(docs, ranked())),
+        "op13_alignment": on_documents(lambda docs: aligned(docs, vocabulary(), vocabulary(PIECES))),
     }
 
 

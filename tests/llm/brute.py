@@ -106,3 +106,40 @@ def line_dedup(rows, allowed, shortest):
         d: [n for n, x in enumerate((t or "").split("\n")) if len(x) >= shortest and (x in gone or first[x] != (d is None, d, n))]
         for d, t in rows
     }
+
+
+def alignment(rows, encode_a, bytes_a, encode_b, bytes_b):
+    """[(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)] by walking both lists."""
+    told = []
+    for d, text in rows:
+        whole = (" " + (text or "")).encode()
+        a, b = (encode_a(" " + text), encode_b(text)) if text else ([], [])
+        if b"".join(bytes_a(x) for x in a) != whole or b"".join(bytes_b(x) for x in b) != whole:
+            a, b = [], []
+        spans = []
+        for ids, of in ((a, bytes_a), (b, bytes_b)):
+            at, out = 0, []
+            for x in ids:
+                out.append((at, at + len(of(x))))
+                at = out[-1][1]
+            spans.append(out)
+        pairs = [(x, y) for x, (s, e) in zip(a, spans[0]) for y, (t, f) in zip(b, spans[1]) if s < f and t < e]
+        cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups, low = [], 0
+        for cut in cuts:
+            inside = [[str(x) for x, (s, e) in zip(ids, of) if low <= s and e <= cut] for ids, of in zip((a, b), spans)]
+            groups.append("|".join(map(",".join, inside)))
+            low = cut
+        told.append((d, len(a), len(b), groups, pairs))
+    counts = {}
+    for *_, pairs in told:
+        for p in set(pairs):
+            counts[p] = counts.get(p, 0) + 1
+    best = {}
+    for (x, _), n in counts.items():
+        best[x] = max(best.get(x, 0), n)
+    return [
+        (d, n_a, n_b, len(groups), len(pairs), sum(counts[p] == best[p[0]] for p in pairs), sum(counts[p] for p in pairs),
+         sha(";".join(groups)) if groups else "")
+        for d, n_a, n_b, groups, pairs in told
+    ]
