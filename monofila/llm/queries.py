@@ -14,6 +14,7 @@ from monofila.llm.exact_dedup import exact_dedup
 from monofila.llm.line_dedup import line_dedup
 from monofila.llm.mixing import mix
 from monofila.llm.near_dedup import near_components
+from monofila.llm.prefix_trie import prefix_trie
 from monofila.llm.quality_classifier import quality_classifier
 from monofila.llm.quality_rules import quality_rules
 from monofila.llm.sharding import byte_shards
@@ -63,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op9_line_dedup": on_documents(line_dedup),
         "op10_quality_classifier": with_labels(quality_classifier),
         "op11_byte_bpe": on_documents(lambda docs: coded(docs, ranked())),
+        "op12_prefix_trie": lambda spark, folder: prefix_trie(table(spark, folder, "conversations")),
         "op13_alignment": on_documents(lambda docs: aligned(docs, vocabulary(), vocabulary(PIECES))),
     }
 

@@ -143,3 +143,35 @@ def alignment(rows, encode_a, bytes_a, encode_b, bytes_b):
          sha(";".join(groups)) if groups else "")
         for d, n_a, n_b, groups, pairs in told
     ]
+
+
+def prefix_trie(rows):
+    """Rows of the operator, sorted, from (conv_id, turn, role, text) rows whose turns differ within a conversation."""
+    import zlib
+
+    own = {}
+    for c, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own.setdefault(c, []).append((role or "", text or ""))
+    trie = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 9
+        whole = tuple(own.get(c - c % 5, [])[:h] + own[c][h:])
+        for d in range(len(whole) + 1):
+            trie.setdefault(whole[:d], []).append(c)
+            if d == len(whole):
+                trie.setdefault(("end", whole), []).append(c)
+    nodes = {k: v for k, v in trie.items() if not (k and k[0] == "end")}
+    kids = {}
+    for path in nodes:
+        if path:
+            kids.setdefault(path[:-1], []).append(path)
+    leaves, saved = {}, {}
+    for path in sorted(nodes, key=len, reverse=True):
+        own_bytes = len(path[-1][1].encode()) if path else 0
+        leaves[path] = sum(leaves[k] for k in kids.get(path, [])) or 1
+        saved[path] = (len(nodes[path]) - 1) * own_bytes + sum(saved[k] for k in kids.get(path, []))
+    return sorted(
+        (min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), len(kids.get(p, [])), leaves[p], saved[p],
+         sha(",".join(map(str, sorted(trie.get(("end", p), []))))))
+        for p, m in nodes.items()
+    )

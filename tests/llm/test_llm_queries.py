@@ -19,7 +19,7 @@ def texts():
 
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in registry.queries() if n.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in registry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in registry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -43,12 +43,19 @@ def test_line_query(spark, texts):
     assert {r.doc_id: sorted(r.removed) for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["op1_token_counts", "op3_byte_shards", "op5_bpe_round_trip", "op6_pfair_mix", "op8_quality_rules", "op10_quality_classifier"])
+@pytest.mark.parametrize("name", ["op1_token_counts", "op3_byte_shards", "op5_bpe_round_trip", "op6_pfair_mix", "op8_quality_rules", "op10_quality_classifier", "op11_byte_bpe", "op13_alignment"])
 def test_one_row_per_document(spark, texts, name):
     got = registry.queries()[name](spark, FOLDER)
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in texts)
 
 
+def test_trie_query(spark):
+    rows = duckdb.connect().execute(f"SELECT conv_id, turn, role, text FROM '{FOLDER}/conversations.parquet'").fetchall()
+    columns = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    got = registry.queries()["op12_prefix_trie"](spark, FOLDER).select(*columns).collect()
+    assert sorted(map(tuple, got)) == brute.prefix_trie(rows)
+
+
 def test_pipeline_stages(spark, tmp_path, library):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, before = docs.columns, docs
