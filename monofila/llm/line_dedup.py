@@ -12,9 +12,15 @@ to the right leave possible. Both sides carry the parity of 32 character counts:
 flips two bits at most, so most chance meetings end in the join itself. What is left is
 verified with a banded bit-parallel edit distance.
 
+A line needs one earlier witness, not all pairs of its group. So keys that ``CROWD`` lines or more have
+in common are looked at first: each of these lines is compared with the earliest one of the key alone,
+and what is near it is known to go. Such lines stay in the index, as others may be near only to
+them, but no two of them are paired again. A group of g near-equal lines thus makes about g pairs.
+
 Equal lines are combined before anything is compared, on the map side first, so a line with a
-third of all rows is one row. Few lines are in any pair; a bounded filter of their ids picks
-these where they lie, so verifying pairs does not move the whole table again.
+third of all rows is one row. A bounded filter of the index's keys leaves out probes that meet
+nobody before they are sent, another one picks the lines that are in any pair where they lie, so
+verifying pairs does not move the whole table again. Full filters only let more through.
 """
 
 from __future__ import annotations
@@ -25,14 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monofila.llm.common import mixed, scratch, texts
-from monofila.llm.repeats import filter_cells, is_on, repeat_filter
+from monofila.llm.repeats import filter_cells, hit_filters, is_on, repeat_filter
 
 EDITS, SHORTEST, CHARS_PER_EDIT = 2, 1, 20
 #: Lines that are compared have SHORTEST characters or more, one of which is no blank.
 _SOLID = r"[^\x20\x09-\x0D]"
 _LAST = 2**63 - 1
 _BASE = 0xD1342543DE82EF95
-_SAME_LENGTH = 1 << 40
+_SAME_LENGTH, _GOES = 1 << 40, 1 << 41
+#: Lines with one key from which on the key's earliest line is tried alone first.
+CROWD = 16
 
 
 def edit_distance_within(a: str, b: str, most: int) -> bool:
@@ -123,50 +131,76 @@ def segment(length: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
     return short * number + before, short + (number >= EDITS + 1 - longer)
 
 
-def entries(lines: DataFrame, probing: bool) -> DataFrame:
-    """(key, id, mark): index entries, or probes. The mark holds the parity, and for probes
-    whether they look for lines of their own length."""
+def entries(lines: DataFrame, probing: bool, met=None, size: int = 0) -> DataFrame:
+    """(key, id, mark, place): index entries, or probes. The mark holds the parity, whether the line is
+    known to go, and for probes whether they look for lines of their own length. ``met``, a broadcast
+    of filters of ``size`` cells, leaves out entries whose key no other index entry has."""
 
     def run(batches):
         for b in batches:
-            text, ids = b.column("line").to_pylist(), b.column("id").to_numpy()
+            text, ids, places, goes = b.column("line").to_pylist(), b.column("id").to_numpy(), b.column("place").to_numpy(), b.column("goes").to_numpy(zero_copy_only=False)
             for begin in range(0, len(text), 5_000):
-                part, own = Segments(text[begin : begin + 5_000]), ids[begin : begin + 5_000]
-                keys, owners, marks = [], [], []
+                end = begin + 5_000
+                part, own, place = Segments(text[begin:end]), ids[begin:end], places[begin:end]
+                known = goes[begin:end].astype(np.int64) * _GOES
+                keys, owners, marks, order = [], [], [], []
 
-                def take(ok: np.ndarray, at, size, length, number: int, flag: int) -> None:
+                def take(ok: np.ndarray, at, size_, length, number: int, flag: int, alone: bool) -> None:
                     i = np.flatnonzero(ok)
-                    keys.append(part.key(part.start[i] + at[i], size[i], length[i], number).view(np.int64))
+                    key = part.key(part.start[i] + at[i], size_[i], length[i], number).view(np.int64)
+                    if met is not None:
+                        # A line has its own key in the index, where it must be hit again.
+                        bits = np.frombuffer(met.value[0 if alone else 1], np.uint8)
+                        seen = is_on(bits, spots(key, size)).all(axis=0)
+                        i, key = i[seen], key[seen]
+                    keys.append(key)
                     owners.append(own[i])
-                    marks.append(part.parity[i].astype(np.int64) | flag)
+                    marks.append(part.parity[i].astype(np.int64) | flag | known[i])
+                    order.append(place[i])
 
                 for shorter in range(EDITS + 1 if probing else 1):
                     length = part.length - shorter
                     for number in range(EDITS + 1):
-                        start, size = segment(length, number)
+                        start, width = segment(length, number)
                         flag = _SAME_LENGTH if probing and not shorter else 0
                         if not probing:
-                            take(length > 0, start, size, length, number, flag)
+                            take(length > 0, start, width, length, number, flag, False)
                             continue
                         for move in range(-number, number + 1):
                             # Edits left of the segment move it by ``number`` at most, edits right of
                             # it leave the rest for the ones still to come.
                             if abs(move - shorter) <= EDITS - number:
                                 at = start + move
-                                take((length > 0) & (at >= 0) & (at + size <= part.length), at, size, length, number, flag)
+                                take((length > 0) & (at >= 0) & (at + width <= part.length), at, width, length, number, flag, bool(shorter or move))
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(np.concatenate(keys)), "id": pa.array(np.concatenate(owners)), "mark": pa.array(np.concatenate(marks)),
+                    "key": pa.array(np.concatenate(keys)), "id": pa.array(np.concatenate(owners)),
+                    "mark": pa.array(np.concatenate(marks)), "place": pa.array(np.concatenate(order)),
                 })
 
-    return lines.select("id", "line").mapInArrow(run, "key bigint, id bigint, mark bigint")
+    return lines.select("id", "line", "place", "goes").mapInArrow(run, "key bigint, id bigint, mark bigint, place bigint")
+
+
+def likely(x: Column, y: Column) -> Column:
+    """Whether the parities of two marks allow EDITS edits."""
+    return F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF))) <= 2 * EDITS
 
 
-def near_pairs(lines: DataFrame) -> DataFrame:
-    """(a, b): lines that share a segment and whose character parities allow a match."""
-    index, probe = entries(lines, False).alias("x"), entries(lines, True).alias("y")
-    one_way = (F.col("x.id") < F.col("y.id")) | (F.col("y.mark") < _SAME_LENGTH)
-    likely = F.bit_count(F.col("x.mark").bitwiseXOR(F.col("y.mark")).bitwiseAND(F.lit(0xFFFFFFFF))) <= 2 * EDITS
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & one_way & likely
+def crowd_pairs(index: DataFrame) -> DataFrame:
+    """(a, b): lines of crowded keys, each with the key's earliest line only."""
+    first = F.min(F.struct("place", "id", "mark")).alias("hub")
+    crowded = index.groupBy("key").agg(F.count("*").alias("n"), first).filter(F.col("n") >= CROWD)
+    met = index.join(crowded, "key").filter((F.col("id") != F.col("hub.id")) & likely(F.col("mark"), F.col("hub.mark")))
+    return met.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def near_pairs(lines: DataFrame, met, size: int) -> DataFrame:
+    """(a, b): lines that share a segment and whose character parities allow a match, but for two
+    lines that are both known to go."""
+    index = entries(lines, False).select("key", "id", "mark").alias("x")
+    probe = entries(lines, True, met, size).select("key", "id", "mark").alias("y")
+    one_way = (F.col("x.id") < F.col("y.id")) | (F.col("y.mark").bitwiseAND(F.lit(_SAME_LENGTH)) == 0)
+    open_ = F.col("x.mark").bitwiseAND(F.col("y.mark")).bitwiseAND(F.lit(_GOES)) == 0
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & one_way & open_ & likely(F.col("x.mark"), F.col("y.mark"))
     return index.join(probe, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -192,7 +226,12 @@ def later_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def cells(ids: pa.Array, size: int) -> np.ndarray:
-    value = mixed(ids.to_numpy().astype(np.uint64))
+    return spots(ids.to_numpy(), size)
+
+
+def spots(keys: np.ndarray, size: int) -> np.ndarray:
+    """Two cells of a filter for each number."""
+    value = mixed(keys.astype(np.uint64))
     return np.stack([value & np.uint64(size - 1), (value >> np.uint64(32)) & np.uint64(size - 1)]).astype(np.int64)
 
 
@@ -221,16 +260,33 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     return judged(docs).select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
 
 
+def near_lines(lines: DataFrame) -> DataFrame:
+    """Ids of lines (line, id, first, place) near an earlier line, once each."""
+    # Shorter lines may not differ at all.
+    long = lines.filter(F.length("line") >= CHARS_PER_EDIT).withColumn("goes", F.lit(False))
+    # Every line has EDITS + 1 keys; half the usual cells keep one in twenty chance meetings.
+    size = filter_cells((EDITS + 1) * long.count() // 2)
+    found = hit_filters(entries(long, False), size, lambda b: spots(b.column("key").to_numpy(), size).ravel())
+    once_and_again, again = (lines.sparkSession.sparkContext.broadcast(x) for x in (tuple(found), (found[1], found[1])))
+    pairs = scratch(crowd_pairs(entries(long, False, again, size)), "crowd-pairs")
+    early = scratch(later_lines(pairs, lines_of(pairs, long)), "crowded-lines")
+    marked = long
+    if not early.isEmpty():
+        marked = scratch(long.drop("goes").join(early.withColumn("goes", F.lit(True)), "id", "left").withColumn("goes", F.coalesce("goes", F.lit(False))), "marked-lines")
+    more = scratch(near_pairs(marked, once_and_again, size), "line-pairs")
+    return early.unionByName(later_lines(more, scratch(lines_of(more, long), "paired-lines"))).distinct()
+
+
 def judged(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, the named columns, d, key, n_lines and the removed line numbers."""
     rows = texts(docs, *keep).withColumns({
         "d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "key": F.xxhash64("text"),
     })
-    lines = scratch(distinct_lines(rows).withColumn("id", F.monotonically_increasing_id()), "lines")
-    # Shorter lines may not differ at all.
-    long = lines.filter(F.length("line") >= CHARS_PER_EDIT)
-    pairs = scratch(near_pairs(long), "line-pairs")
-    gone = later_lines(pairs, scratch(lines_of(pairs, long), "paired-lines"))
+    # In the order of first occurrence, as far as 43 bits of doc_id and 20 of the line number tell it.
+    # The exact order decides which line of a pair goes; this one only picks whom to try first.
+    place = F.least(F.greatest("first.d", F.lit(0)), F.lit(2**43 - 1)) * 2**20 + F.least("first.n", F.lit(2**20 - 1))
+    lines = scratch(distinct_lines(rows).withColumns({"id": F.monotonically_increasing_id(), "place": place}), "lines")
+    gone = near_lines(lines)
     kept = (
         lines.select("id", "first").join(gone, "id", "left_anti").groupBy("first.d", "first.key")
         .agg(F.collect_list("first.n").alias("kept"))

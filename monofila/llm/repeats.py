@@ -50,6 +50,13 @@ def joined(once: list[bytes], again: list[bytes]) -> tuple[bytes, bytes]:
 def repeat_filter(rows: DataFrame, size: int, cells: Callable[[pa.RecordBatch], np.ndarray], twice: bool = True) -> bytes:
     """Packed cells hit at least twice, or at all; ``cells`` gives the cells that a batch hits.
     ``size`` is a power of two."""
+    return hit_filters(rows, size, cells, ("again" if twice else "once",))[0]
+
+
+def hit_filters(
+    rows: DataFrame, size: int, cells: Callable[[pa.RecordBatch], np.ndarray], which: tuple[str, ...] = ("once", "again")
+) -> list[bytes]:
+    """Packed cells hit at all (``once``) and at least twice (``again``)."""
 
     def build(batches):
         once, again = np.zeros(size >> 3, np.uint8), np.zeros(size >> 3, np.uint8)
@@ -74,7 +81,8 @@ def repeat_filter(rows: DataFrame, size: int, cells: Callable[[pa.RecordBatch],
     parts = rows.mapInArrow(build, _PART)
     merged = parts.groupBy("segment", "part").applyInPandas(join, _PART).groupBy("segment").applyInPandas(join, _PART)
     # Bounded: the filter has a fixed largest size.
-    out = np.zeros(size >> 3, np.uint8)
-    for r in merged.select("segment", "again" if twice else "once").toLocalIterator():
-        out[r[0] * SEGMENT : (r[0] + 1) * SEGMENT] = np.frombuffer(r[1], np.uint8)
-    return out.tobytes()
+    out = [np.zeros(size >> 3, np.uint8) for _ in which]
+    for r in merged.select("segment", *which).toLocalIterator():
+        for bits, part in zip(out, r[1:]):
+            bits[r[0] * SEGMENT : (r[0] + 1) * SEGMENT] = np.frombuffer(part, np.uint8)
+    return [bits.tobytes() for bits in out]

@@ -89,21 +89,25 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def line_dedup(rows, allowed, shortest):
-    """{doc_id: removed line numbers}; doc_ids must differ."""
+def line_dedup(rows):
+    """{doc_id: removed line numbers}; doc_ids must differ. Lines with a word count; of those, one edit
+    per 20 characters of the shorter line may differ, two at most."""
+    def counts(line):
+        return bool(WORD.search(line))
+
     first = {}
     for d, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         for n, line in enumerate((text or "").split("\n")):
-            if len(line) >= shortest:
+            if counts(line):
                 first.setdefault(line, (d is None, d, n))
 
     def near(a, b):
-        most = allowed(a, b)
+        most = min(2, min(len(a), len(b)) // 20)
         return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
 
     gone = {x for x in first if any(first[y] < first[x] and near(x, y) for y in first)}
     return {
-        d: [n for n, x in enumerate((t or "").split("\n")) if len(x) >= shortest and (x in gone or first[x] != (d is None, d, n))]
+        d: [n for n, x in enumerate((t or "").split("\n")) if counts(x) and (x in gone or first[x] != (d is None, d, n))]
         for d, t in rows
     }
 

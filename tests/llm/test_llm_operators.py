@@ -307,12 +307,12 @@ def test_edit_distance():
 
 def test_line_dedup(docs, rows):
     got = {r.doc_id: (r.n_lines, r.n_removed, sorted(r.removed)) for r in line_dedup.line_dedup(docs).collect()}
-    want = brute.line_dedup(rows, line_dedup.allowed, line_dedup.SHORTEST)
+    want = brute.line_dedup(rows)
     assert got == {i: ((t or "").count("\n") + 1, len(want[i]), want[i]) for i, t in rows}
 
 
 def test_line_dedup_cuts_lines(docs, rows):
-    want = brute.line_dedup(rows, line_dedup.allowed, line_dedup.SHORTEST)
+    want = brute.line_dedup(rows)
     out = {}
     for i, t in rows:
         if want[i]:
@@ -333,6 +333,55 @@ def test_short_lines_go_when_equal(spark):
     assert kept == {1: rows[0][1], 2: "\n \nshort lime", 3: None, None: "x"}
 
 
+def template_lines(size, seed=6):
+    """Lines that differ from one text in one or two places, and from each other in up to four."""
+    import random
+
+    rng = random.Random(seed)
+    base = "this very common line of boilerplate stands on every page of the site, year after year"
+    rows = []
+    for i in range(size):
+        line = list(base)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(line))
+            line[at : at + 1] = rng.choice([["#"], ["@", "@"], [], [line[at]]])
+        rows.append((i, "".join(line)))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [2, 16, 10**9])
+def test_a_group_of_near_lines(spark, monkeypatch, crowd):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    rows = template_lines(220)
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.removed for r in got.collect()} == brute.line_dedup(rows)
+
+
+def test_pairs_of_a_group_do_not_grow_with_its_square(spark, monkeypatch):
+    pairs = []
+    write = line_dedup.scratch
+
+    def counted(df, name):
+        out = write(df, name)
+        if name.endswith("pairs"):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "scratch", counted)
+    for size in (500, 2_000):
+        rows = template_lines(size)
+        line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    assert sum(pairs[2:]) < 8 * sum(pairs[:2]) and sum(pairs[2:]) < 20 * 2_000
+
+
+def test_line_dedup_with_a_full_filter(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "filter_cells", lambda hashes: 8 * 32_768)
+    rows = template_lines(60) + [(100 + i, f"{'line %06d of some other document ' % (i * 7919)}{i}") for i in range(3_000)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = brute.line_dedup(rows[:60])
+    assert {r.doc_id: r.removed for r in got.collect() if r.doc_id < 60} == want
+
+
 def test_line_dedup_at_the_edges(odd, nothing):
     got = line_dedup.line_dedup(odd)
     assert got.count() == odd.count()

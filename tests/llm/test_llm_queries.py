@@ -7,7 +7,7 @@ import __spark_entry__ as registry
 import brute
 import corpus_pipeline
 from compare import connect, difference
-from monofila.llm import line_dedup, queries
+from monofila.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,7 +39,7 @@ def test_near_query(spark, texts):
 
 def test_line_query(spark, texts):
     got = registry.queries()["op9_line_dedup"](spark, FOLDER).collect()
-    want = brute.line_dedup(texts, line_dedup.allowed, line_dedup.SHORTEST)
+    want = brute.line_dedup(texts)
     assert {r.doc_id: sorted(r.removed) for r in got} == want
 
 
@@ -66,7 +66,7 @@ def test_pipeline_stages(spark, tmp_path, library):
         ids = {r.doc_id for r in after.collect()}
         assert ids <= set(here) and len(ids) == after.count()
         if name == "line_dedup":
-            want = brute.line_dedup(list(here.items()), line_dedup.allowed, line_dedup.SHORTEST)
+            want = brute.line_dedup(list(here.items()))
             for r in after.collect():
                 lines = here[r.doc_id].split("\n")
                 assert r.text == "\n".join(x for i, x in enumerate(lines) if i not in want[r.doc_id]) and r.n_chars == len(r.text)
