@@ -8,8 +8,9 @@ Distinct lines are joined like this: every line is cut into EDITS + 1 even segme
 touch at most EDITS of them, so a line within the distance contains one segment unchanged. An
 index holds (length, segment number, content) of each line; each line probes it with its own
 substrings for every length it could match, only at the places that the edits to the left and
-to the right leave possible. Both sides carry the parity of 32 character counts: an edit
-flips two bits at most, so most chance meetings end in the join itself. What is left is
+to the right leave possible. Both sides carry the parities of 32 counts of characters and of 64
+counts of neighbouring characters: an edit flips two bits of the one and four of the other at most, so
+most chance meetings, and templates filled in with other words, end in the join itself. What is left is
 verified with a banded bit-parallel edit distance.
 
 A line needs one earlier witness, not all pairs of its group. So keys that ``CROWD`` lines or more have
@@ -18,9 +19,8 @@ and what is near it is known to go. Such lines stay in the index, as others may
 them, but no two of them are paired again. A group of g near-equal lines thus makes about g pairs.
 
 Equal lines are combined before anything is compared, on the map side first, so a line with a
-third of all rows is one row. A bounded filter of the index's keys leaves out probes that meet
-nobody before they are sent, another one picks the lines that are in any pair where they lie, so
-verifying pairs does not move the whole table again. Full filters only let more through.
+third of all rows is one row. Few lines are in any pair; a bounded filter of their ids picks
+these where they lie, so verifying pairs does not move the whole table again.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monofila.llm.common import mixed, scratch, texts
-from monofila.llm.repeats import filter_cells, hit_filters, is_on, repeat_filter
+from monofila.llm.repeats import filter_cells, is_on, repeat_filter
 
 EDITS, SHORTEST, CHARS_PER_EDIT = 2, 1, 20
 #: Lines that are compared have SHORTEST characters or more, one of which is no blank.
@@ -117,6 +117,10 @@ class Segments:
         np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[:n], out=self.total[1:])
         bit = np.uint32(1) << (codes & np.uint32(31))
         self.parity = np.bitwise_xor.reduceat(bit, self.start) if len(lines) else np.zeros(0, np.uint32)
+        two = mixed(codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]) >> np.uint64(58)
+        bit = np.append(np.uint64(1) << two, np.zeros(min(n, 1), np.uint64))
+        bit[self.start[1:] - 1] = 0
+        self.sketch = np.bitwise_xor.reduceat(bit, self.start).view(np.int64) if len(lines) else np.zeros(0, np.int64)
 
     def key(self, at: np.ndarray, size: np.ndarray, length: np.ndarray, number: int) -> np.ndarray:
         """Hash of (indexed length, segment number, characters ``at`` to ``at + size``)."""
@@ -131,77 +135,72 @@ def segment(length: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
     return short * number + before, short + (number >= EDITS + 1 - longer)
 
 
-def entries(lines: DataFrame, probing: bool, met=None, size: int = 0) -> DataFrame:
-    """(key, id, mark, place): index entries, or probes. The mark holds the parity, whether the line is
-    known to go, and for probes whether they look for lines of their own length. ``met``, a broadcast
-    of filters of ``size`` cells, leaves out entries whose key no other index entry has."""
+def entries(lines: DataFrame, probing: bool) -> DataFrame:
+    """(key, id, mark, sketch, place): index entries, or probes. The mark holds the parity of characters,
+    whether the line is known to go, and for probes whether they look for lines of their own length."""
 
     def run(batches):
         for b in batches:
-            text, ids, places, goes = b.column("line").to_pylist(), b.column("id").to_numpy(), b.column("place").to_numpy(), b.column("goes").to_numpy(zero_copy_only=False)
+            text, goes = b.column("line").to_pylist(), b.column("goes").to_numpy(zero_copy_only=False)
+            ids, places = b.column("id").to_numpy(), b.column("place").to_numpy()
             for begin in range(0, len(text), 5_000):
                 end = begin + 5_000
-                part, own, place = Segments(text[begin:end]), ids[begin:end], places[begin:end]
-                known = goes[begin:end].astype(np.int64) * _GOES
-                keys, owners, marks, order = [], [], [], []
+                part, known = Segments(text[begin:end]), goes[begin:end].astype(np.int64) * _GOES
+                keys, rows, flags = [], [], []
 
-                def take(ok: np.ndarray, at, size_, length, number: int, flag: int, alone: bool) -> None:
+                def take(ok: np.ndarray, at, size, length, number: int, flag: int) -> None:
                     i = np.flatnonzero(ok)
-                    key = part.key(part.start[i] + at[i], size_[i], length[i], number).view(np.int64)
-                    if met is not None:
-                        # A line has its own key in the index, where it must be hit again.
-                        bits = np.frombuffer(met.value[0 if alone else 1], np.uint8)
-                        seen = is_on(bits, spots(key, size)).all(axis=0)
-                        i, key = i[seen], key[seen]
-                    keys.append(key)
-                    owners.append(own[i])
-                    marks.append(part.parity[i].astype(np.int64) | flag | known[i])
-                    order.append(place[i])
+                    keys.append(part.key(part.start[i] + at[i], size[i], length[i], number).view(np.int64))
+                    rows.append(i)
+                    flags.append(np.full(len(i), flag))
 
                 for shorter in range(EDITS + 1 if probing else 1):
                     length = part.length - shorter
                     for number in range(EDITS + 1):
-                        start, width = segment(length, number)
+                        start, size = segment(length, number)
                         flag = _SAME_LENGTH if probing and not shorter else 0
                         if not probing:
-                            take(length > 0, start, width, length, number, flag, False)
+                            take(length > 0, start, size, length, number, flag)
                             continue
                         for move in range(-number, number + 1):
                             # Edits left of the segment move it by ``number`` at most, edits right of
                             # it leave the rest for the ones still to come.
                             if abs(move - shorter) <= EDITS - number:
                                 at = start + move
-                                take((length > 0) & (at >= 0) & (at + width <= part.length), at, width, length, number, flag, bool(shorter or move))
+                                take((length > 0) & (at >= 0) & (at + size <= part.length), at, size, length, number, flag)
+                i = np.concatenate(rows)
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(np.concatenate(keys)), "id": pa.array(np.concatenate(owners)),
-                    "mark": pa.array(np.concatenate(marks)), "place": pa.array(np.concatenate(order)),
+                    "key": pa.array(np.concatenate(keys)), "id": pa.array(ids[begin:end][i]),
+                    "mark": pa.array(part.parity[i].astype(np.int64) | known[i] | np.concatenate(flags)),
+                    "sketch": pa.array(part.sketch[i]), "place": pa.array(places[begin:end][i]),
                 })
 
-    return lines.select("id", "line", "place", "goes").mapInArrow(run, "key bigint, id bigint, mark bigint, place bigint")
+    return lines.select("id", "line", "place", "goes").mapInArrow(run, "key bigint, id bigint, mark bigint, sketch bigint, place bigint")
 
 
-def likely(x: Column, y: Column) -> Column:
-    """Whether the parities of two marks allow EDITS edits."""
-    return F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF))) <= 2 * EDITS
+def likely(x: str, y: str) -> Column:
+    """Whether both parities of two entries allow EDITS edits."""
+    def differ(name: str, bits: int) -> Column:
+        return F.bit_count(F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}")).bitwiseAND(F.lit(bits)))
+
+    return (differ("mark", 0xFFFFFFFF) <= 2 * EDITS) & (differ("sketch", -1) <= 4 * EDITS)
 
 
 def crowd_pairs(index: DataFrame) -> DataFrame:
     """(a, b): lines of crowded keys, each with the key's earliest line only."""
-    first = F.min(F.struct("place", "id", "mark")).alias("hub")
-    crowded = index.groupBy("key").agg(F.count("*").alias("n"), first).filter(F.col("n") >= CROWD)
-    met = index.join(crowded, "key").filter((F.col("id") != F.col("hub.id")) & likely(F.col("mark"), F.col("hub.mark")))
-    return met.select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    first = F.min(F.struct("place", "id", "mark", "sketch")).alias("hub")
+    crowded = index.groupBy("key").agg(F.count("*").alias("n"), first).filter(F.col("n") >= CROWD).select("key", "hub.*")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & likely("x", "y")
+    return crowded.alias("x").join(index.alias("y"), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def near_pairs(lines: DataFrame, met, size: int) -> DataFrame:
-    """(a, b): lines that share a segment and whose character parities allow a match, but for two
-    lines that are both known to go."""
-    index = entries(lines, False).select("key", "id", "mark").alias("x")
-    probe = entries(lines, True, met, size).select("key", "id", "mark").alias("y")
+def near_pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
+    """(a, b): lines that share a segment and whose parities allow a match, but for two lines that are
+    both known to go."""
     one_way = (F.col("x.id") < F.col("y.id")) | (F.col("y.mark").bitwiseAND(F.lit(_SAME_LENGTH)) == 0)
     open_ = F.col("x.mark").bitwiseAND(F.col("y.mark")).bitwiseAND(F.lit(_GOES)) == 0
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & one_way & open_ & likely(F.col("x.mark"), F.col("y.mark"))
-    return index.join(probe, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & one_way & open_ & likely("x", "y")
+    return index.drop("place").alias("x").join(probe.drop("place").alias("y"), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def later_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -226,12 +225,7 @@ def later_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def cells(ids: pa.Array, size: int) -> np.ndarray:
-    return spots(ids.to_numpy(), size)
-
-
-def spots(keys: np.ndarray, size: int) -> np.ndarray:
-    """Two cells of a filter for each number."""
-    value = mixed(keys.astype(np.uint64))
+    value = mixed(ids.to_numpy().astype(np.uint64))
     return np.stack([value & np.uint64(size - 1), (value >> np.uint64(32)) & np.uint64(size - 1)]).astype(np.int64)
 
 
@@ -264,16 +258,18 @@ def near_lines(lines: DataFrame) -> DataFrame:
     """Ids of lines (line, id, first, place) near an earlier line, once each."""
     # Shorter lines may not differ at all.
     long = lines.filter(F.length("line") >= CHARS_PER_EDIT).withColumn("goes", F.lit(False))
-    # Every line has EDITS + 1 keys; half the usual cells keep one in twenty chance meetings.
-    size = filter_cells((EDITS + 1) * long.count() // 2)
-    found = hit_filters(entries(long, False), size, lambda b: spots(b.column("key").to_numpy(), size).ravel())
-    once_and_again, again = (lines.sparkSession.sparkContext.broadcast(x) for x in (tuple(found), (found[1], found[1])))
-    pairs = scratch(crowd_pairs(entries(long, False, again, size)), "crowd-pairs")
-    early = scratch(later_lines(pairs, lines_of(pairs, long)), "crowded-lines")
-    marked = long
-    if not early.isEmpty():
-        marked = scratch(long.drop("goes").join(early.withColumn("goes", F.lit(True)), "id", "left").withColumn("goes", F.coalesce("goes", F.lit(False))), "marked-lines")
-    more = scratch(near_pairs(marked, once_and_again, size), "line-pairs")
+    index = scratch(entries(long, False), "line-index")
+    pairs = scratch(crowd_pairs(index), "crowd-pairs")
+    if pairs.isEmpty():
+        early = pairs.select(F.col("a").alias("id"))
+    else:
+        early = scratch(later_lines(pairs, scratch(lines_of(pairs, long), "crowd")), "crowded-lines")
+        # What goes is marked where it lies in the index; the few hubs' lines make this side small.
+        goes = F.coalesce("_goes", F.lit(False))
+        known = early.withColumn("_goes", F.lit(True))
+        index = index.join(known, "id", "left").withColumn("mark", F.col("mark") + F.when(goes, _GOES).otherwise(0)).drop("_goes")
+        long = long.join(known, "id", "left").withColumn("goes", goes).drop("_goes")
+    more = scratch(near_pairs(index, entries(long, True)), "line-pairs")
     return early.unionByName(later_lines(more, scratch(lines_of(more, long), "paired-lines"))).distinct()
 
 
