@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from monofila.functions.columns import strip_blank
 from monofila.schemas import INTEGER, SOURCES, Source
+from monofila.sources.records import leaves_open, quoted_field, records
 from monofila.sources.storage import read_tenants, replace_shared, replace_tenants
 
 DEFAULT_ENCODING = "ISO-8859-1"
@@ -90,12 +91,6 @@ def read_header(spark: SparkSession, path: str, source: Source, encoding: str =
     return names
 
 
-def _field(separator: str) -> str:
-    """A well-formed quoted field together with the separator before it."""
-    sep = f"\\x{ord(separator):02x}"
-    return rf'(^|{sep})"(?:[^"]|"")*"(?={sep}|$)'
-
-
 def _text_probe(spark: SparkSession, path: str, separator: str) -> list[Row]:
     """Per file: its first line, whether any quoted field spans lines, empty lines, and lines
     of blanks only. One pass, one row per file.
@@ -104,13 +99,11 @@ def _text_probe(spark: SparkSession, path: str, separator: str) -> list[Row]:
     gone leaves that field open. Lines are taken as bytes, which suits every encoding that
     keeps ASCII.
     """
-    sep = f"\\x{ord(separator):02x}"
-    rest = F.regexp_replace("value", _field(separator), "$1")
     # The task that reads a file's first block sees its lines in order.
     head = F.first(F.when(F.col("_metadata.file_block_start") == 0, F.col("value")), ignorenulls=True)
     return spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
         head.alias("head"),
-        F.max(rest.rlike(rf'(^|{sep})"')).alias("spans"),
+        F.max(leaves_open(F.col("value"), separator)).alias("spans"),
         F.count(F.when(F.col("value") == "", 1)).alias("empty"),
         F.count(F.when((F.col("value") != "") & (F.trim("value") == ""), 1)).alias("blank"),
     ).orderBy("file").collect()
@@ -123,9 +116,9 @@ def scan(
     """Read one source, a file or a folder of files; None when there is no line in it.
 
     Each file is bound by its own header: files with the same first line are read together.
-    Quoted fields may contain line breaks, but reading for them gives a whole file to one
-    task. Unless told, the text pass that finds the headers also finds the files in which
-    any field does; all others stay splittable.
+    Quoted fields may contain line breaks. Unless told, the text pass that finds the headers
+    also finds the files in which any field does. Those are put together from their byte
+    ranges (``records``), so every file is read by as many tasks as its size asks for.
     """
     alike: dict[tuple[str, bool], list[Row]] = {}
     for row in _text_probe(spark, path, source.separator):
@@ -158,14 +151,18 @@ def _scan_alike(
 
     positions = [f"_{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(p, T.StringType()) for p in [*positions, _RAW]])
-    raw = (
-        spark.read.schema(schema)
-        .option("sep", source.separator).option("header", True).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).option("encoding", encoding).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False)
-        .csv(files)
-    )
-    unquoted = F.regexp_replace(_RAW, _field(source.separator), "$1")
+    options = {"sep": source.separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW}
+    if multi_line:
+        found = records(spark, files, source.separator)
+        text = F.col("record") if encoding == DEFAULT_ENCODING else F.decode(F.encode("record", DEFAULT_ENCODING), encoding)
+        # Every file begins with its header, and files read together have the same one.
+        rows = found.rows.filter("NOT heading AND record != ''").select(text.alias("record"))
+        raw = rows.select(F.from_csv("record", ", ".join(f"{p} STRING" for p in schema.names), {**options, "multiLine": "true"}).alias("r")).select("r.*")
+        skipped = found.blank
+    else:
+        raw = spark.read.schema(schema).options(**options).option("header", True).option("encoding", encoding).option("columnPruning", False).csv(files)
+        skipped = empty + blank
+    unquoted = F.regexp_replace(_RAW, quoted_field(source.separator), "$1")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(source.separator), F.lit(""))) + 1
     short = F.col(_RAW).isNotNull() & (fields < len(header))
 
@@ -177,13 +174,8 @@ def _scan_alike(
         return strip_blank(text)
 
     bound = [(value(c) if c in common else F.lit(None).cast("string")).alias(c) for c in source.columns]
-    # Line readers drop blank lines without marking them; they count as short rows too.
-    # With line breaks in fields, empty lines inside those fields are not rows.
-    inside = 0
-    if multi_line:
-        breaks = reduce(lambda a, b: a + b, [F.coalesce(F.regexp_count(F.col(p), F.lit(r"\n(?=\r?\n)")), F.lit(0)) for p in positions])
-        inside = raw.agg(F.coalesce(F.sum(breaks), F.lit(0))).first()[0]
-    skipped = empty - inside if multi_line else empty + blank
+    # Readers drop blank lines without marking them; they count as short rows too. Where fields
+    # hold line breaks, empty lines inside those fields are no rows.
     return Scan(raw.select(*bound, F.coalesce(short, F.lit(False)).alias("_short")), ignored, skipped)
 
 
