@@ -18,11 +18,17 @@ from the start and each round settles at least one more. A key that forgets its
 within a chunk settles in a round or two. A key so dense that it never does is
 followed chunk by chunk: no task ever holds it and each of its chunks is read one
 more time, but the rounds take their turn. The driver sees one row per chunk.
+
+A rule that can tell what a chunk makes of every entry state it may meet (``Course``) needs no
+rounds: all chunks work out their courses at once, and the states follow from one to the next
+on the driver. A course with more than ``COURSE_STEPS`` steps stays where it is and its chunk folds
+in its turn.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import count
 from typing import Any
 
@@ -43,6 +49,18 @@ State = list[int]
 # (times, marks, state) -> (outcome per row, new state)
 Fold = Callable[[Any, Any, State], tuple[Any, State]]
 
+
+@dataclass(frozen=True)
+class Course:
+    """What a rule makes of a chunk: its steps as lists of integers, and how an entry state runs
+    through them to the exit state."""
+
+    steps: Callable[[np.ndarray, np.ndarray], list[list[int]]]
+    exit: Callable[[list[list[int]], State], State]
+
+
+#: Steps of a course that are sent to the driver.
+COURSE_STEPS = 100_000
 #: Rows of a chunk, about, where the session's partitions would make larger ones.
 CHUNK_ROWS = 2_000_000
 
@@ -125,6 +143,44 @@ def _summaries(
     return {r["chunk"]: (r["first_key"], r["last_key"], list(r["exit"])) for r in found}
 
 
+def _courses(chunks: DataFrame, course: Course, only: list[int]) -> dict[int, list[list[int]]]:
+    """Steps of chunks that hold one key; a chunk's times and marks are held at once."""
+    most = COURSE_STEPS
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(b["chunk"].iloc[0], b["at"].to_numpy(), b["mark"].to_numpy(dtype=bool)) for b in batches if len(b)]
+        if held:
+            steps = course.steps(np.concatenate([t for _, t, _ in held]), np.concatenate([m for *_, m in held]))
+            if sum(map(len, steps)) <= most:
+                yield pd.DataFrame({"chunk": [int(held[0][0])], "steps": [steps]})
+
+    found = chunks.select("chunk", "at", "mark").mapInPandas(work, "chunk int, steps array<array<bigint>>").rdd
+    rows = chunks.sparkSession.sparkContext.runJob(found, list, partitions=only)
+    return {r["chunk"]: [list(x) for x in r["steps"]] for r in rows}
+
+
+def _follow(chunks: DataFrame, fold: Fold, course: Course) -> dict[int, State]:
+    """Entry states in one round: each chunk's exit is read off its course."""
+    known = _summaries(chunks, {}, fold)
+    order = sorted(known)
+    goes_on = {c: known[p][1] == known[c][0] for p, c in zip(order, order[1:])}
+    single = [c for c in order if goes_on.get(c) and known[c][0] == known[c][1]]
+    courses = _courses(chunks, course, single) if single else {}
+    entries: dict[int, State] = {}
+    state: State = []
+    for c in order:
+        entry = state if goes_on.get(c) else []
+        if entry:
+            entries[c] = entry
+        if not entry or known[c][0] != known[c][1]:
+            state = known[c][2]
+        elif c in courses:
+            state = course.exit(courses[c], entry)
+        else:
+            state = _summaries(chunks, {c: entry}, fold, [c])[c][2]
+    return entries
+
+
 def settle(chunks: DataFrame, fold: Fold, parallel_rounds: int = 2) -> dict[int, State]:
     """Entry state of every chunk whose first key began in an earlier one.
 
@@ -148,9 +204,9 @@ def settle(chunks: DataFrame, fold: Fold, parallel_rounds: int = 2) -> dict[int,
         known.update(_summaries(chunks, wanted, fold, now))
 
 
-def fold_rows(chunks: DataFrame, fold: Fold, outcome: T.DataType) -> DataFrame:
+def fold_rows(chunks: DataFrame, fold: Fold, outcome: T.DataType, course: Course | None = None) -> DataFrame:
     """Rows as (key, row_id, outcome), each decided by its key's ordered past."""
-    entries = settle(chunks, fold)
+    entries = settle(chunks, fold) if course is None else _follow(chunks, fold, course)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, outcomes, *_ in _runs(batches, entries, fold):

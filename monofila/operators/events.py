@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from monofila.operators.chunks import State, fold_rows, ordered_chunks
+from monofila.operators.chunks import Course, State, fold_rows, ordered_chunks
 
 _MICROS = 1_000_000
 
@@ -83,6 +83,61 @@ def lock_out(times: np.ndarray, fails: np.ndarray, state: State, failures: int,
     return outcome, [streak, locked_until] if streak or locked_until > int(times[-1]) else []
 
 
+def lock_steps(times: np.ndarray, fails: np.ndarray, failures: int, duration: int) -> list[list[int]]:
+    """What ``lock_out`` leaves behind a chunk, for every state it may be entered in.
+
+    From each place on, with no failure counted, the next lock and the place where it ends are known;
+    following these jumps from all places at once, each time twice as far, gives the last state. A
+    locked entry begins at the first attempt at or after its end, so [bounds, streaks, locks] tell the
+    exit of an entry locked until t by how many bounds lie before t. The fourth list holds the exits
+    of entries with 0, 1, ... failures counted, as pairs, the last one the chunk's last time.
+    """
+    size, last = len(times), int(times[-1])
+    places = np.arange(size + 1)
+    run = places[:-1] - np.maximum.accumulate(np.where(fails, -1, places[:-1]))
+    full_runs = np.flatnonzero(run >= failures)
+    at = np.searchsorted(full_runs, places + failures - 1)
+    locks = at < len(full_runs)
+    lock = full_runs[np.minimum(at, len(full_runs) - 1)] if len(full_runs) else np.zeros(size + 1, np.int64)
+    until = times[lock] + duration
+    after = np.maximum(lock + 1, np.searchsorted(times, until, side="left"))
+    goes_on = locks & (after < size)
+    end = np.where(goes_on, after, places)
+    while (end[end] != end).any():
+        end = end[end]
+    streaks = np.where(locks, 0, np.minimum(int(run[-1]), size - places))[end]
+    ends = np.where(locks & (until > last), until, 0)[end]
+
+    def counted(before: int) -> list[int]:
+        opening = size if fails.all() else int(np.argmin(fails))
+        if before + opening >= failures:
+            first = failures - before - 1
+            free = int(times[first]) + duration
+            place = max(first + 1, int(np.searchsorted(times, free, side="left")))
+            return [0, free] if place >= size and free > last else [int(streaks[place]), int(ends[place])] if place < size else [0, 0]
+        return [before + size, 0] if opening == size else [int(streaks[opening + 1]), int(ends[opening + 1])]
+
+    # No lock from before the chunk can end later than this.
+    reach = int(np.searchsorted(times, int(times[0]) + duration, side="left"))
+    steps = np.concatenate(([0], 1 + np.flatnonzero((np.diff(streaks[: reach + 1]) != 0) | (np.diff(ends[: reach + 1]) != 0))))
+    bounds = times[np.maximum(steps - 1, 0)][1:]
+    return [bounds.tolist(), streaks[steps].tolist(), ends[steps].tolist(), [x for n in range(failures) for x in counted(n)], [last]]
+
+
+def lock_exit(steps: list[list[int]], state: State) -> State:
+    """Exit state of a chunk with these ``lock_steps``."""
+    bounds, streaks, ends, counted, (last,) = steps
+    streak, locked_until = state or (0, 0)
+    if locked_until > last:
+        return [0, locked_until]
+    if locked_until:
+        at = int(np.searchsorted(bounds, locked_until, side="left"))
+        streak, locked_until = streaks[at], ends[at]
+    else:
+        streak, locked_until = counted[2 * streak], counted[2 * streak + 1]
+    return [streak, locked_until] if streak or locked_until else []
+
+
 def rate_limit(
     events: DataFrame, key: str = "user_id", time: str = "ts", row_id: str = "event_id",
     limit: int = 3, window_seconds: int = 900, chunks: int | None = None,
@@ -101,7 +156,8 @@ def lockouts(
     """Outcome of each attempt: ok, fail, lock (the failure that locks) or refused."""
     placed = ordered_chunks(attempts.withColumn("_failed", failed), key, time, row_id, "_failed", chunks)
     fold = partial(lock_out, failures=failures, duration=lock_seconds * _MICROS)
-    done = fold_rows(placed, fold, T.StringType())
+    course = Course(partial(lock_steps, failures=failures, duration=lock_seconds * _MICROS), lock_exit)
+    done = fold_rows(placed, fold, T.StringType(), course)
     return done.select(F.col("row_id").alias(row_id), F.col("key").alias(key), "outcome")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from monofila.operators.events import accept, lock_out
+from monofila.operators.events import accept, lock_exit, lock_out, lock_steps
 
 
 def slow_accept(times, limit, window):
@@ -77,3 +77,15 @@ def test_fourth_event_in_the_window_is_refused_and_does_not_extend_it():
     times = np.array([0, 1, 2, 3, 14, 15]) * minute
     out, _ = accept(times, np.zeros(6, dtype=bool), [], 3, 15 * minute)
     assert out.tolist() == [1, 1, 1, 0, 0, 1]
+
+
+@settings(max_examples=600, deadline=None)
+@given(gaps, st.data(), st.integers(1, 5), st.integers(1, 30))
+def test_a_course_tells_the_exit_of_every_entry(steps, data, failures, duration):
+    times = np.cumsum(steps) + 100
+    fails = np.array(data.draw(st.lists(st.sampled_from([True, True, True, False]), min_size=len(times), max_size=len(times))))
+    course = lock_steps(times, fails, failures, duration)
+    # A lock from before the chunk ends no later than ``duration`` after its first attempt.
+    ends = range(int(times[0]) - 1, int(times[0]) + duration + 1)
+    for entry in [[], *([n, 0] for n in range(1, failures)), *([0, t] for t in ends)]:
+        assert lock_exit(course, entry) == lock_out(times, fails, entry, failures, duration)[1]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from monofila.operators import events as E
 from monofila.operators import sampling as M
+from monofila.operators import chunks as C
 from monofila.operators.chunks import ordered_chunks, settle
 from monofila.streaming.guards import lockout_stream, rate_limit_stream
 from test_event_folds import slow_accept, slow_lock
@@ -55,6 +56,45 @@ def test_lockouts_equal_the_sequential_check(spark, regular, chunks):
         assert [got[e] for e, _, _ in rows] == wanted
 
 
+def passes(monkeypatch):
+    """Jobs over the chunks, as they are started."""
+    done = []
+    for name in ("_summaries", "_courses"):
+        monkeypatch.setattr(C, name, lambda *a, run=getattr(C, name), name=name: done.append(name) or run(*a))
+    return done
+
+
+def dense(spark, size, gap_every=None):
+    """One user who never pauses for a window, or pauses that long every now and then."""
+    rng = np.random.default_rng(8)
+    rows = [(i, 7, 10 * i + (5_000 * (i // gap_every) if gap_every else 0), bool(rng.random() < 0.9)) for i in range(size)]
+    frame = spark.createDataFrame(rows, "event_id bigint, user_id bigint, sec bigint, bad boolean")
+    return rows, frame.select("event_id", "user_id", F.timestamp_seconds("sec").alias("ts"), "bad")
+
+
+@pytest.mark.parametrize("steps", [100_000, 3])
+def test_a_dense_user_is_locked_in_two_passes_whatever_the_chunks(spark, monkeypatch, steps):
+    monkeypatch.setattr(C, "COURSE_STEPS", steps)
+    rows, frame = dense(spark, 1_280)
+    done = passes(monkeypatch)
+    found = E.lockouts(frame, F.col("bad"), failures=4, lock_seconds=700, chunks=64 if steps > 3 else 6).collect()
+    got = {r["event_id"]: r["outcome"] for r in found}
+    assert [got[e] for e, *_ in rows] == slow_lock([t for _, _, t, _ in rows], [b for *_, b in rows], 4, 700)
+    # Courses that are too long to be sent leave their chunks to be folded in turn.
+    assert done == ["_summaries", "_courses"] if steps > 3 else len(done) > 2
+
+
+def test_passes_do_not_grow_with_the_chunks_of_a_user_who_pauses(spark, monkeypatch):
+    rows, frame = dense(spark, 960, gap_every=12)
+    done, counts = passes(monkeypatch), []
+    for chunks in (4, 40):
+        done.clear()
+        got = {r["event_id"]: r["accepted"] for r in E.rate_limit(frame, window_seconds=1000, chunks=chunks).collect()}
+        counts.append(len(done))
+        assert [got[e] for e, *_ in rows] == slow_accept([t for _, _, t, _ in rows], 3, 1000)
+    assert counts[1] <= counts[0] + 1 <= 4
+
+
 def test_failure_streaks_cross_chunks(spark):
     frame, by_user = events(spark, True)
     found = E.failure_streaks(frame, F.col("bad"), chunks=13).collect()
