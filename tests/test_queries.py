@@ -28,3 +28,14 @@ def test_entry_has_rows(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     assert difference(registry.queries()[name](spark, FOLDER), duck, ORACLE[name]) is None
+
+
+def test_modules_that_were_left_out(tmp_path, monkeypatch):
+    import __spark_entry__ as registry
+
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "half" / "left").mkdir(parents=True)
+    (tmp_path / "broken.py").write_text("from os import no_such_name")
+    assert registry.optional("no_such_package.queries") is None and registry.optional("half.left.queries") is None
+    with pytest.raises(ImportError):
+        registry.optional("broken")
