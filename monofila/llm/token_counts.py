@@ -102,7 +102,8 @@ def token_counts(docs: DataFrame, definition: bytes, chunk: int = CHUNK, overlap
 
 
 def spliced(long: DataFrame, shared, margin: int, chunk: int, overlap: int) -> DataFrame:
-    """Token counts of long texts. Copies of one row are counted once and repeated after."""
+    """Token counts of long texts. Copies of one row are encoded each, summed up under one key and
+    repeated after."""
     keyed = long.withColumn("key", F.xxhash64("text"))
     parts, todo = None, keyed
     while True:
