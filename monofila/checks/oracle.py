@@ -312,6 +312,7 @@ def oracle_queries() -> dict[str, str]:
         ),
         "q_history_profile": _on_consolidated("SELECT * FROM history_profile"),
         "q_duplicity_profile": _on_consolidated("SELECT * FROM duplicity"),
+        "q_duplicity_of_people": _on_consolidated("SELECT * FROM duplicity"),
         "q_consolidated": _on_consolidated("SELECT * FROM consolidated"),
         "q_classification": _on_consolidated("SELECT tenant, person_key, classification FROM consolidated"),
         "q_quality_flags": _on_consolidated(f"SELECT {flags} FROM consolidated"),
@@ -346,6 +347,20 @@ def oracle_queries() -> dict[str, str]:
             FROM consolidated WHERE period IS NOT NULL GROUP BY period"""
         ),
         "q_quality_by_source": _on_universe(f", {_QUALITY} SELECT * FROM quality"),
+        "q_quality_by_source_tenant": _on_universe(f", {_QUALITY.replace('FROM universe', 'FROM universe WHERE tenant = 1')} SELECT * FROM quality"),
+        "q_distinct_persons": _on_universe(
+            """, f AS (SELECT tenant, channel, strftime(filed_at, '%Y-%m') AS period, person_key FROM universe WHERE person_key IS NOT NULL)
+            SELECT CAST(3 - grouping(tenant) - grouping(channel) - grouping(period) AS INTEGER) AS level, tenant, channel, period,
+            count(DISTINCT person_key) AS n_persons FROM f GROUP BY ROLLUP (tenant, channel, period)"""
+        ),
+        "q_dashboard_panels": _on_consolidated(" UNION ALL ".join(
+            f"SELECT '{panel}' AS panel, channel, {value} AS value, {_KPI_SUMS}, "
+            f"CAST(sum((m_multi_channel + m_internal > 0)::INTEGER) AS BIGINT) AS duplicated FROM consolidated {where} GROUP BY ALL"
+            for panel, value, where in (
+                ("kpis", "CAST(NULL AS VARCHAR)", ""), ("trend", "period", "WHERE period IS NOT NULL"), ("classification", "classification", ""),
+                ("territory", "dept", ""), ("status", "status", ""), ("regime", "regime", ""),
+            )
+        )),
         "q_out_of_catalogue": _on_universe(
             """SELECT channel, doc_type_received, count(*) AS n FROM universe WHERE doc_type = 'NO_HOMOLOGADO'
             GROUP BY ALL ORDER BY n DESC, channel, doc_type_received LIMIT 10"""
@@ -463,6 +478,22 @@ def oracle_queries() -> dict[str, str]:
             f"count(*) FILTER (id % 3 = 0 AND id % 37 = 0) AS discarded, 'EXTRA' AS ignored FROM {table} GROUP BY tenant"
             for file, table in (("AFILIACIONES.csv", "s_desk"), ("DIGITAL.csv", "s_web"), ("SAT.csv", "s_official"))
         )),
+        "q_load_rest": _staged("""SELECT NULL::INTEGER AS tenant, 'catalogue' AS source, concat_ws('|', abbr, code, name) AS row, count(*) AS n FROM catalog GROUP BY ALL
+            UNION ALL SELECT tenant, 'history', concat_ws('|', nullif(trim(doc_type), ''), nullif(trim(doc_num), ''), nullif(trim(entity), '')), count(*) FROM s_history GROUP BY ALL
+            UNION ALL SELECT tenant, 'notices', concat_ws('|', nullif(trim(log), ''), log || ' · Ñandú'), count(*) FROM s_labour GROUP BY ALL"""),
+        "q_load_total": _staged("""SELECT 12::BIGINT AS sources, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(short) AS BIGINT) AS discarded FROM (
+            SELECT count(*) FILTER (id % 3 <> 0 OR id % 37 <> 0) AS n, count(*) FILTER (id % 3 = 0 AND id % 37 = 0) AS short
+              FROM (SELECT id FROM s_desk UNION ALL SELECT id FROM s_web UNION ALL SELECT id FROM s_official)
+            UNION ALL SELECT count(*), 0 FROM s_history UNION ALL SELECT count(*), 0 FROM s_labour UNION ALL SELECT 2 * count(*), 0 FROM catalog)"""),
+        "q_oversized_files": "SELECT url || '.csv' AS file, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages WHERE octet_length(encode(html)) > 2000",
+        "q_tenant_backfill": "SELECT c_custkey, c_mktsegment, 0 AS tenant FROM customer",
+        "q_has_data": _on_consolidated(
+            "SELECT t.tenant, EXISTS (SELECT 1 FROM consolidated c WHERE c.tenant = t.tenant) AS has_data FROM (VALUES (0), (1), (99)) AS t(tenant)"
+        ),
+        "q_printed_figures": _on_consolidated(
+            "SELECT coalesce(channel, 'TODOS') AS channel, CAST(grouping(channel) AS VARCHAR) AS is_total, format('{:,}', count(*)) AS consolidated, "
+            + ", ".join(f"format('{{:,}}', {_sum(c)}) AS {n}" for n, c in _KPIS) + " FROM consolidated GROUP BY ROLLUP (channel)"
+        ),
         "q_export_round_trip": _on_consolidated(
             "SELECT " + ", ".join(f"nullif(CAST({c} AS VARCHAR), '') AS {c}" for c in EXPORTED) + " FROM consolidated"
         ),

@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from monofila.functions.columns import department_label, lookup, strip_blank
+from monofila.functions.columns import department_label, lookup, period, strip_blank
+from monofila.operators import bitmaps as B
 from monofila.operators import consolidate as C
 from monofila.operators import events as E
 from monofila.operators import profiles as P
@@ -16,11 +17,11 @@ from monofila.operators import sampling as M
 from monofila.operators import universe as U
 from monofila.plans import reports as R
 from monofila.rules import DESK, OFFICIAL, WEB, Rules
-from monofila.schemas import CONSOLIDATED, CONSOLIDATED_HEADINGS, DESK_CHANNEL, DESK_SOURCE, OFFICIAL_CHANNEL, OFFICIAL_SOURCE, SOURCES, WEB_CHANNEL, WEB_SOURCE
+from monofila.schemas import CATALOGUE, CONSOLIDATED, CONSOLIDATED_HEADINGS, DESK_CHANNEL, DESK_SOURCE, HISTORY_SOURCE, NOTICES_SOURCE, OFFICIAL_CHANNEL, OFFICIAL_SOURCE, SOURCES, WEB_CHANNEL, WEB_SOURCE, people
 from monofila.sources import staged as S
 from monofila.operators.universe import Channel
-from monofila.sources.delimited import completeness, load_source, staged, violations
-from monofila.sources.storage import read_tenants, replace_tenants, scratch_path, write_csv
+from monofila.sources.delimited import BY_FILE, completeness, load_source, load_total, oversized, staged, violations
+from monofila.sources.storage import ensure_tenant, read_tenants, replace_tenants, scratch_path, write_csv, write_scratch
 
 RULES = Rules()
 #: Tenants of the derived tables.
@@ -51,6 +52,9 @@ def _delimited(df: DataFrame, separator: str, path: str) -> None:
     ).csv(path)
 
 
+_LOADED = "tenant int, file string, state string, rows bigint, discarded bigint, ignored array<string>, encoding string"
+
+
 class Bench:
     """Staging and derived tables of one folder.
 
@@ -107,11 +111,20 @@ class Bench:
         return C.as_table(C.consolidate(self.universe, self.history, RULES))
 
     @cached_property
-    def consolidated(self) -> DataFrame:
+    def written(self) -> str:
         """The table a refresh writes: partitioned by tenant, sorted by channel and month."""
         path = scratch_path(self.spark, "consolidated")
-        replace_tenants(self.computed, path, TENANTS, ("channel", "period"))
-        return read_tenants(self.spark, path, CONSOLIDATED)
+        table = C.as_table(C.consolidate_people(self.universe, self.history, RULES))
+        replace_tenants(table, path, TENANTS, ("channel", "period"))
+        return path
+
+    @cached_property
+    def consolidated(self) -> DataFrame:
+        return read_tenants(self.spark, self.written, CONSOLIDATED)
+
+    @cached_property
+    def people(self) -> DataFrame:
+        return read_tenants(self.spark, self.written, people(RULES))
 
     @property
     def received(self) -> DataFrame:
@@ -141,8 +154,32 @@ class Bench:
                 lines.write.mode("append").option("header", True).option("sep", "\x01").option("quote", "\x00").csv(target)
                 report = load_source(self.spark, f"{folder}/{tenant}", warehouse, source, tenant, encoding="UTF-8")
                 reports.append((tenant, *report))
-        schema = "tenant int, file string, state string, rows bigint, discarded bigint, ignored array<string>, encoding string"
-        return self.spark.createDataFrame(reports, schema), warehouse
+        return self.spark.createDataFrame(reports, _LOADED), warehouse
+
+    @cached_property
+    def landed_rest(self) -> tuple[DataFrame, str]:
+        """The three sources that are no channel, written as files and loaded tenant by tenant. Every
+        other file of a source is UTF-8, the others are Latin-1; the load finds out."""
+        folder, warehouse, reports = scratch_path(self.spark, "landing"), scratch_path(self.spark, "warehouse"), []
+        shared = self.catalogue.select(F.col("name").alias("Tipo_Documento_Afiliado"), F.col("code").alias("CODIGO"), F.col("abbr").alias("Abreviatura"))
+        for tenant in TENANTS:
+            mine = F.col("tenant") == tenant
+            told = F.concat("log", F.lit(" · Ñandú"))
+            rows = (
+                (CATALOGUE, shared),
+                (HISTORY_SOURCE, self.history.filter(mine).select(
+                    F.col("doc_type").alias("TIPO_IDENTIFICACION"), F.col("doc_num").alias("NUMERO_IDENTIFICACION"), F.col("entity").alias("ENTIDAD")
+                )),
+                (NOTICES_SOURCE, self.notices.filter(mine).select(F.col("log").alias("LOG_ERRORES"), told.alias("ORIGEN"))),
+            )
+            for source, df in rows:
+                target = f"{folder}/{tenant}/{source.file}"
+                half = F.pmod(F.hash(*df.columns), F.lit(2))
+                for part, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+                    df.filter(half == part).write.mode("append").option("header", True).option("sep", source.separator).option("encoding", encoding).csv(target)
+                report = load_source(self.spark, f"{folder}/{tenant}", warehouse, source, tenant, encoding=BY_FILE)
+                reports.append((tenant, *report))
+        return self.spark.createDataFrame(reports, _LOADED), warehouse
 
     @property
     def sources(self) -> dict[str, DataFrame]:
@@ -227,6 +264,47 @@ def _load_report(b: Bench) -> DataFrame:
     return b.landed[0].select("tenant", "file", "state", "rows", "discarded", F.array_join("ignored", ",").alias("ignored"))
 
 
+def _loaded_rest(b: Bench) -> DataFrame:
+    """Catalogue, history and notices after two loads each: the catalogue is replaced as a whole,
+    the others tenant by tenant."""
+    warehouse = b.landed_rest[1]
+    catalogue, history, notices = (staged(b.spark, warehouse, source) for source in (CATALOGUE, HISTORY_SOURCE, NOTICES_SOURCE))
+    parts = [
+        catalogue.select(F.lit(None).cast("int").alias("tenant"), F.lit("catalogue").alias("source"), F.concat_ws("|", "Abreviatura", "CODIGO", "Tipo_Documento_Afiliado").alias("row")),
+        history.select("tenant", F.lit("history").alias("source"), F.concat_ws("|", "TIPO_IDENTIFICACION", "NUMERO_IDENTIFICACION", "ENTIDAD").alias("row")),
+        notices.select("tenant", F.lit("notices").alias("source"), F.concat_ws("|", "LOG_ERRORES", "ORIGEN").alias("row")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("tenant", "source", "row").agg(F.count("*").alias("n"))
+
+
+def _load_total(b: Bench) -> DataFrame:
+    """The grand total of all loads of both tenants, all six sources."""
+    return load_total(b.landed[0].unionByName(b.landed_rest[0]))
+
+
+def _oversized(b: Bench) -> DataFrame:
+    """Every page as a file that somebody sends, against a limit of the deployment."""
+    sent = b.table("pages").select(F.concat("url", F.lit(".csv")).alias("file"), F.octet_length("html").cast("bigint").alias("bytes"))
+    return oversized(sent, 2_000)
+
+
+def _backfilled(b: Bench) -> DataFrame:
+    """A table from before tenants existed, written without the column and read as today's."""
+    old = write_scratch(b.table("customer").select("c_custkey", "c_mktsegment"), "before-tenants")
+    return ensure_tenant(old)
+
+
+def _emptiness(b: Bench) -> DataFrame:
+    """Which tenants have consolidated rows; nobody is tenant 99."""
+    return b.spark.createDataFrame([(t, R.has_data(b.consolidated, t)) for t in (*TENANTS, 99)], "tenant int, has_data boolean")
+
+
+def _persons_rollup(b: Bench) -> DataFrame:
+    dims = ("tenant", "channel", "period")
+    filings = b.universe.select("person_key", "tenant", "channel", period(F.col("filed_at")).alias("period"))
+    return B.persons_rollup(write_scratch(B.person_bitmaps(filings, *dims), "bitmaps"), *dims)
+
+
 def _export_round_trip(b: Bench) -> DataFrame:
     """The consolidated table as a spreadsheet file, read back."""
     path = scratch_path(b.spark, "export")
@@ -275,6 +353,7 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         "q_homologation_code": _homologation_code,
         "q_history_profile": lambda b: P.history_profile(b.history, RULES),
         "q_duplicity_profile": lambda b: P.duplicity_profile(b.universe, RULES),
+        "q_duplicity_of_people": lambda b: P.duplicity_of_people(b.people, RULES),
         # consolidated row
         "q_consolidated": lambda b: b.computed,
         "q_classification": lambda b: b.consolidated.select("tenant", "person_key", "classification"),
@@ -296,13 +375,16 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         "q_advisor_pareto": lambda b: R.advisor_pareto(b.consolidated),
         "q_by_territory": lambda b: R.by_territory(b.consolidated),
         "q_trend": lambda b: R.trend(b.consolidated),
-        "q_quality_by_source": lambda b: R.quality_by_source(b.universe),
+        "q_quality_by_source": lambda b: R.quality_by_source(b.people),
         "q_out_of_catalogue": lambda b: R.out_of_catalogue(b.universe, top=10),
-        "q_channel_combinations": lambda b: R.channel_combinations(b.universe),
+        "q_channel_combinations": lambda b: R.channel_combinations(b.people),
         "q_labour_inconsistency": lambda b: R.labour_inconsistency(b.notices),
         "q_labour_reasons": lambda b: R.labour_reasons(b.notices),
         # dashboard
         "q_kpis_by_channel": lambda b: R.kpis_by_channel(b.consolidated, tenant=0),
+        "q_quality_by_source_tenant": lambda b: R.quality_by_source(b.people, tenant=1),
+        "q_distinct_persons": _persons_rollup,
+        "q_dashboard_panels": lambda b: R.panels(b.consolidated),
         "q_kpis_rollup": lambda b: R.kpis_rollup(b.consolidated),
         "q_source_counts": lambda b: R.source_counts(b.sources, b.catalogue, tenant=0),
         "q_trend_by_channel": lambda b: R.trend_by_channel(b.consolidated, tenant=0),
@@ -314,9 +396,9 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         "q_territory_labels_of_channel": lambda b: R.territory_labels(b.consolidated, channel=WEB),
         "q_top_territories": lambda b: R.top_territories(b.consolidated),
         "q_kpi_status": lambda b: R.kpi_status(b.consolidated),
-        "q_quality_status": lambda b: R.quality_status(b.universe),
+        "q_quality_status": lambda b: R.quality_status(b.people),
         "q_funnel": lambda b: R.funnel(b.received, b.consolidated),
-        "q_findings": lambda b: R.findings(b.universe, b.consolidated),
+        "q_findings": lambda b: R.findings(b.people, b.consolidated),
         "q_peak_month": lambda b: R.peak_month(b.consolidated),
         "q_incomplete_last_month": lambda b: R.incomplete_last_month(b.consolidated),
         # workbook
@@ -338,6 +420,12 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         "q_width_violations": _width_violations,
         "q_load_rows": _loaded,
         "q_load_report": _load_report,
+        "q_load_rest": _loaded_rest,
+        "q_load_total": _load_total,
+        "q_oversized_files": _oversized,
+        "q_tenant_backfill": _backfilled,
+        "q_has_data": _emptiness,
+        "q_printed_figures": lambda b: R.printable(R.kpis_rollup(b.consolidated)),
         "q_export_round_trip": _export_round_trip,
         "q_input_completeness": _input_completeness,
         "q_cohort_split": lambda b: M.split_cohorts(

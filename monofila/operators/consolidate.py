@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from monofila.functions.columns import flag, period
-from monofila.operators.profiles import channel_counts, distinct_channels, history_by_key, total_filings
+from monofila.operators.profiles import channel_counts, distinct_channels, history_by_key, tally_tests, total_filings
 from monofila.rules import CLASS_NEW, CLASS_RETURN, CLASS_TRANSFER, Rules
 
 _CARRIED = (
@@ -31,7 +31,7 @@ def priority_of(channel: Column, rules: Rules) -> Column:
 
 
 def survivors(universe: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The filing that stands for each person, with the person's channel counters.
+    """The filing that stands for each person, with the person's channel counters and tallies.
 
     Best channel first, then the earliest filing (unknown dates before any date),
     then the filing id compared as text.
@@ -39,18 +39,20 @@ def survivors(universe: DataFrame, rules: Rules = Rules()) -> DataFrame:
     best = F.min(F.struct(priority_of(F.col("channel"), rules).alias("place"), "filed_at", "filing_id", *_CARRIED))
     carried = [F.col(f"best.{c}").alias(c) for c in ("filed_at", "filing_id", *_CARRIED)]
     counters = [f"n_{c}" for c in rules.priority]
+    tests = tally_tests(rules)
 
     keyed = universe.filter(F.col("person_key").isNotNull()) if rules.keep_null_keys else universe
     chosen = (
         keyed.groupBy("tenant", "person_key")
-        .agg(best.alias("best"), *channel_counts(rules))
-        .select("tenant", "person_key", *counters, *carried)
+        .agg(best.alias("best"), *channel_counts(rules), *[F.count_if(test).alias(c) for c, test in tests.items()])
+        .select("tenant", "person_key", *counters, *tests, *carried)
     )
     if not rules.keep_null_keys:
         return chosen
     zero = [F.lit(0).cast("bigint").alias(c) for c in counters]
     loose = universe.filter(F.col("person_key").isNull())
-    return chosen.unionByName(loose.select("tenant", "person_key", *zero, "filed_at", "filing_id", *_CARRIED))
+    own = [flag(test).cast("bigint").alias(c) for c, test in tests.items()]
+    return chosen.unionByName(loose.select("tenant", "person_key", *zero, *own, "filed_at", "filing_id", *_CARRIED))
 
 
 def regime_group(c: Column) -> Column:
@@ -69,6 +71,16 @@ def classification(own: Column, other: Column) -> Column:
 
 def consolidate(universe: DataFrame, history: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Consolidated view: 27 columns, ``filed_at`` still a timestamp."""
+    rows = consolidate_people(universe, history, rules)
+    return rows.drop(*[f"n_{c}" for c in rules.priority], *tally_tests(rules))
+
+
+def consolidate_people(universe: DataFrame, history: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The consolidated view, followed by what each person filed in each channel.
+
+    The counters come from the aggregation that finds the survivor, so reports on raw
+    filings and on persons need not read, look up and move the filings again.
+    """
     people = survivors(universe, rules).join(history_by_key(history, rules), ["tenant", "person_key"], "left")
 
     own = F.array_contains("own_lengths", F.length("doc_type"))
@@ -110,6 +122,8 @@ def consolidate(universe: DataFrame, history: DataFrame, rules: Rules = Rules())
         ),
         F.greatest(channels, one).cast("int").alias("n_channels"),
         F.greatest(total, one).cast("int").alias("n_filings"),
+        *[f"n_{c}" for c in rules.priority],
+        *tally_tests(rules),
     )
 
 

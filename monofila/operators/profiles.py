@@ -67,6 +67,26 @@ def distinct_channels(rules: Rules = Rules()) -> Column:
     return sum(present[1:], present[0]).cast("bigint")
 
 
+#: What is counted of a person's filings in each channel, whether they count for duplicity or not.
+TALLIES = ("filings", "typed", "numbered", "placed", "dated")
+
+
+def tally(name: str, channel: str) -> str:
+    return f"{name}_{channel}"
+
+
+def tally_tests(rules: Rules = Rules()) -> dict[str, Column]:
+    """Which filings each counter of ``TALLIES`` takes, by the counter's column name."""
+    tests = dict(zip(TALLIES, (
+        F.lit(True),
+        F.col("doc_type") != rules.unknown_type,
+        F.nullif(F.col("doc_number"), F.lit("")).isNotNull(),
+        F.col("dept").isNotNull() & F.col("municipality").isNotNull(),
+        F.col("filed_at").isNotNull(),
+    )))
+    return {tally(name, c): (F.col("channel") == c) & test for c in rules.priority for name, test in tests.items()}
+
+
 def duplicity_profile(universe: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per person: distinct channels, filings, repeats inside a channel, presence.
 
@@ -78,6 +98,15 @@ def duplicity_profile(universe: DataFrame, rules: Rules = Rules()) -> DataFrame:
         .groupBy("tenant", "person_key")
         .agg(*channel_counts(rules))
     )
+    return _presence(counted, rules)
+
+
+def duplicity_of_people(people: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The duplicity profile from the counters that consolidation left: nothing moves."""
+    return _presence(people.filter(total_filings(rules) > 0), rules)
+
+
+def _presence(counted: DataFrame, rules: Rules) -> DataFrame:
     return counted.select(
         "tenant",
         "person_key",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from monofila import schemas as S
-from monofila.operators.consolidate import as_table, consolidate
+from monofila.operators.consolidate import as_table, consolidate_people
 from monofila.operators.universe import universe
 from monofila.rules import DESK, OFFICIAL, WEB, Rules
 from monofila.sources.delimited import DEFAULT_ENCODING, load_all, staged
@@ -69,10 +69,11 @@ def materialise(spark: SparkSession, warehouse: str, tenant: int, rules: Rules =
     """Recompute one tenant's consolidated rows; returns how many.
 
     Sorted inside each file by what reports filter and group on, so that channel and
-    month filters skip row groups.
+    month filters skip row groups. The counters of ``people`` lie in the same files; a reader
+    of one reads no column of the other.
     """
     staging = Staging(spark, warehouse, tenant)
-    table = as_table(consolidate(staging.universe(rules), staging.history, rules))
+    table = as_table(consolidate_people(staging.universe(rules), staging.history, rules))
     placed = table.sortWithinPartitions("tenant", "channel", "period")
     return replace_tenants(placed, f"{warehouse}/consolidated", [tenant])[tenant]
 
@@ -81,6 +82,11 @@ def consolidated(spark: SparkSession, warehouse: str, tenant: int | None = None)
     return read_tenants(spark, f"{warehouse}/consolidated", S.CONSOLIDATED, tenant)
 
 
+def people(spark: SparkSession, warehouse: str, tenant: int | None = None, rules: Rules = Rules()) -> DataFrame:
+    """What each person filed in each channel, from the files of the consolidated table."""
+    return read_tenants(spark, f"{warehouse}/consolidated", S.people(rules), tenant)
+
+
 def refresh(
     spark: SparkSession, folder: str, warehouse: str, tenant: int, rules: Rules = Rules(),
     encoding: str = DEFAULT_ENCODING, **options,

@@ -17,11 +17,12 @@ from monofila.functions.columns import (
     channel_label, department_label, flag, month_label, pct, pct1, serial_date, thousands, traffic_light,
 )
 from monofila.functions.measures import pick
-from monofila.operators.profiles import duplicity_profile
+from monofila.operators.profiles import duplicity_of_people, tally, tally_tests
 from monofila.rules import (
     BATCH_TITLES, CLASS_NEW, CLASS_RETURN, CLASS_TRANSFER, COMBINATIONS, HEADLINE, ONE_CHANNEL,
     WORKBOOK_HEADINGS, Rules,
 )
+from monofila.sources.storage import write_scratch
 
 ALL = "TODOS"
 
@@ -157,29 +158,35 @@ def trend(consolidated: DataFrame, tenant: int | None = None, channel: str | Non
 
 
 def quality_by_source(
-    universe: DataFrame, tenant: int | None = None, rules: Rules = Rules(), unknown: bool = False
+    people: DataFrame, tenant: int | None = None, rules: Rules = Rules(), unknown: bool = False
 ) -> DataFrame:
     """Quality of what each channel sends, on raw filings: those that lose to a better
-    one still count here. The distinct count is planned in two levels, by person first.
+    one still count here. ``people`` holds one row per tenant and person, so one tenant's
+    distinct persons are a plain sum; over all tenants, rows of one person meet first.
     ``unknown`` adds the number of filings whose type the catalogue does not know."""
-    def share(test: Column) -> Column:
-        return pct(F.sum(flag(test)), F.count("*"))
-
-    persons = F.count_distinct("person_key")
-    return (
-        scope(universe, tenant).groupBy("channel")
-        .agg(
-            F.count("*").alias("n"),
-            share(F.col("doc_type") != rules.unknown_type).alias("pct_homologated"),
-            share(F.nullif(F.col("doc_number"), F.lit("")).isNotNull()).alias("pct_document"),
-            share(F.col("dept").isNotNull() & F.col("municipality").isNotNull()).alias("pct_territory"),
-            share(F.col("filed_at").isNotNull()).alias("pct_date"),
+    counters = list(tally_tests(rules))
+    rows = scope(people, tenant)
+    if tenant is None:
+        rows = rows.groupBy("person_key").agg(*[F.sum(c).alias(c) for c in counters])
+    filed = {c: F.col("person_key").isNotNull() & (F.col(tally("filings", c)) > 0) for c in rules.priority}
+    wide = rows.agg(*[F.sum(c).alias(c) for c in counters], *[F.count_if(test).alias(f"persons_{c}") for c, test in filed.items()])
+
+    def line(channel: str) -> Column:
+        n, typed, numbered, placed, dated = (F.col(tally(t, channel)) for t in ("filings", "typed", "numbered", "placed", "dated"))
+        persons = F.col(f"persons_{channel}")
+        return F.struct(
+            F.lit(channel).alias("channel"),
+            n.alias("n"),
+            pct(typed, n).alias("pct_homologated"),
+            pct(numbered, n).alias("pct_document"),
+            pct(placed, n).alias("pct_territory"),
+            pct(dated, n).alias("pct_date"),
             persons.alias("n_persons"),
-            (F.count("*") - persons).alias("n_repeats"),
-            *([F.sum(flag(F.col("doc_type") == rules.unknown_type)).alias("n_unknown")] if unknown else []),
+            (n - persons).alias("n_repeats"),
+            *([(n - typed).alias("n_unknown")] if unknown else []),
         )
-        .orderBy(F.desc("n"), "channel")
-    )
+
+    return _rows(wide, [line(c) for c in rules.priority]).filter("n > 0").orderBy(F.desc("n"), "channel")
 
 
 def out_of_catalogue(
@@ -191,14 +198,14 @@ def out_of_catalogue(
     return ordered if top is None else ordered.limit(top)
 
 
-def channel_combinations(universe: DataFrame, tenant: int | None = None, rules: Rules = Rules()) -> DataFrame:
+def channel_combinations(people: DataFrame, tenant: int | None = None, rules: Rules = Rules()) -> DataFrame:
     """Persons by the combination of channels they used."""
     combination = F.when(F.lit(False), ONE_CHANNEL)
     for channels, label in COMBINATIONS.items():
         together = reduce(Column.__and__, [F.col(f"in_{c.lower()}") == 1 for c in channels])
         combination = combination.when(together, label)
     combination = combination.otherwise(ONE_CHANNEL)
-    profile = duplicity_profile(scope(universe, tenant), rules)
+    profile = duplicity_of_people(scope(people, tenant), rules)
     return _counts(profile, combination.alias("combination")).orderBy(F.desc("n"), "combination")
 
 
@@ -236,6 +243,41 @@ def _kpi_sums() -> list[Column]:
     return [F.count("*").alias("consolidated"), *[F.sum(c).alias(n) for n, c in _KPI_FLAGS.items()]]
 
 
+#: Panels of the dashboard and the column each is drawn over, beside the channel.
+PANELS = {
+    "kpis": None, "trend": "period", "classification": "classification", "territory": "dept", "status": "status", "regime": "regime",
+}
+
+
+def figures(consolidated: DataFrame, tenant: int | None = None) -> DataFrame:
+    """The finest sums any panel needs: one row per channel, month, class, department, status
+    and regime that occur together. Every panel re-aggregates from it."""
+    fine = [c for c in PANELS.values() if c]
+    return scope(consolidated, tenant).groupBy("channel", *fine).agg(*_kpi_sums(), _repeated().alias("duplicated"))
+
+
+def panels(consolidated: DataFrame, tenant: int | None = None) -> DataFrame:
+    """All panels as one long report from one scan: panel, channel, value and sums. Rows are
+    spread over the panels after the first aggregation, never before. Months a filing does not
+    have are no point of the trend."""
+    sums = ["consolidated", *_KPI_FLAGS, "duplicated"]
+    spread = F.array(*[
+        F.struct(
+            F.lit(name).alias("panel"), (F.lit(None).cast("string") if column is None else F.col(column)).alias("value")
+        )
+        for name, column in PANELS.items()
+    ])
+    return (
+        figures(consolidated, tenant).select("channel", *sums, F.inline(spread))
+        .filter((F.col("panel") != "trend") | F.col("value").isNotNull())
+        .groupBy("panel", "channel", "value").agg(*[F.sum(c).alias(c) for c in sums])
+    )
+
+
+def _repeated() -> Column:
+    return F.sum((F.col("m_multi_channel") + F.col("m_internal") > 0).cast("int"))
+
+
 def kpis_by_channel(consolidated: DataFrame, tenant: int | None = None) -> DataFrame:
     return scope(consolidated, tenant).groupBy("channel").agg(*_kpi_sums()).orderBy("channel")
 
@@ -266,11 +308,10 @@ def source_counts(
 
 
 def trend_by_channel(consolidated: DataFrame, tenant: int | None = None) -> DataFrame:
-    repeated = F.sum((F.col("m_multi_channel") + F.col("m_internal") > 0).cast("int"))
     return (
         scope(consolidated, tenant).filter(F.col("period").isNotNull())
         .groupBy("period", "channel")
-        .agg(F.count("*").alias("n"), F.sum("is_effective").alias("effective"), repeated.alias("duplicated"))
+        .agg(F.count("*").alias("n"), F.sum("is_effective").alias("effective"), _repeated().alias("duplicated"))
         .orderBy("period", "channel")
     )
 
@@ -336,7 +377,7 @@ def kpi_status(consolidated: DataFrame, tenant: int | None = None) -> DataFrame:
     return kpis_rollup(consolidated, tenant).select("channel", F.inline(lights))
 
 
-def quality_status(universe: DataFrame, tenant: int | None = None, rules: Rules = Rules()) -> DataFrame:
+def quality_status(people: DataFrame, tenant: int | None = None, rules: Rules = Rules()) -> DataFrame:
     """Traffic light for each quality percentage of each channel."""
     def cell(name: str, column: str) -> Column:
         # Good from 95, fair from 85.
@@ -346,7 +387,7 @@ def quality_status(universe: DataFrame, tenant: int | None = None, rules: Rules
         )
 
     cells = F.array(cell("homologated", "pct_homologated"), cell("territory", "pct_territory"), cell("date", "pct_date"))
-    return quality_by_source(universe, tenant, rules).select("channel", F.inline(cells))
+    return quality_by_source(people, tenant, rules).select("channel", F.inline(cells))
 
 
 def _totals(consolidated: DataFrame) -> DataFrame:
@@ -426,14 +467,14 @@ def incomplete_last_month(consolidated: DataFrame, tenant: int | None = None, ch
 
 
 def findings(
-    universe: DataFrame, consolidated: DataFrame, tenant: int | None = None, channel: str | None = None,
+    people: DataFrame, consolidated: DataFrame, tenant: int | None = None, channel: str | None = None,
     rules: Rules = Rules(),
 ) -> DataFrame:
     """Facts worth telling: kind, subject, percentage, count and status.
 
     The out-of-catalogue total covers every unknown type, not only a top list.
     """
-    sources = quality_by_source(universe, tenant, rules, unknown=True)
+    sources = quality_by_source(people, tenant, rules, unknown=True)
     in_scope = F.lit(True) if channel is None else F.col("channel") == channel
     summary = sources.agg(
         F.coalesce(F.sum(F.when(in_scope, F.col("n"))), F.lit(0)).alias("received"),
@@ -552,10 +593,10 @@ def printable(report: DataFrame) -> DataFrame:
 
 
 def batch_report(
-    consolidated: DataFrame, universe: DataFrame, notices: DataFrame, tenant: int, rules: Rules = Rules()
+    consolidated: DataFrame, people: DataFrame, universe: DataFrame, notices: DataFrame, tenant: int, rules: Rules = Rules()
 ) -> dict[str, DataFrame]:
     """The five tables a batch run ends with, by title."""
-    quality = quality_by_source(universe, tenant, rules)
+    quality = quality_by_source(people, tenant, rules)
     return dict(zip(BATCH_TITLES, (
         headline(consolidated, universe, notices, tenant, rules),
         by_classification(consolidated, tenant),
@@ -566,19 +607,29 @@ def batch_report(
 
 
 def dashboard(
-    consolidated: DataFrame, universe: DataFrame, sources: dict[str, DataFrame], catalogue: DataFrame, tenant: int,
-    rules: Rules = Rules(),
+    consolidated: DataFrame, people: DataFrame, universe: DataFrame, sources: dict[str, DataFrame], catalogue: DataFrame,
+    tenant: int, rules: Rules = Rules(),
 ) -> dict[str, DataFrame]:
-    """Everything one dashboard page shows, each with the channel as a dimension."""
+    """Everything one dashboard page shows, each with the channel as a dimension.
+
+    The panels over the consolidated table come from one scan of it: they are written
+    aside together, a few hundred rows, and each panel reads its own.
+    """
+    drawn = write_scratch(panels(consolidated, tenant), "panels")
+
+    def panel(name: str, *columns: Column | str) -> DataFrame:
+        return drawn.filter(F.col("panel") == name).select(*columns)
+
+    n, value = F.col("consolidated").alias("n"), F.col("value")
     return {
-        "kpis": kpis_by_channel(consolidated, tenant),
+        "kpis": panel("kpis", "channel", "consolidated", *_KPI_FLAGS).orderBy("channel"),
         "sources": source_counts(sources, catalogue, tenant),
         "contribution": source_contribution(universe, consolidated, tenant),
-        "quality": quality_by_source(universe, tenant, rules),
+        "quality": quality_by_source(people, tenant, rules),
         "out_of_catalogue": out_of_catalogue(universe, tenant, 10, rules),
-        "trend": trend_by_channel(consolidated, tenant),
-        "classification": by_classification_by_channel(consolidated, tenant),
-        "territory": by_territory_by_channel(consolidated, tenant),
-        "status": by_status_by_channel(consolidated, tenant),
-        "regime": by_regime_by_channel(consolidated, tenant),
+        "trend": panel("trend", value.alias("period"), "channel", n, "effective", "duplicated").orderBy("period", "channel"),
+        "classification": panel("classification", "channel", value.alias("classification"), n),
+        "territory": panel("territory", "channel", value.alias("dept"), department_label(value, "Sin dato").alias("department"), n),
+        "status": panel("status", "channel", F.coalesce(value, F.lit("SIN ESTADO")).alias("status"), n),
+        "regime": panel("regime", "channel", F.coalesce(value, F.lit("SIN DATO")).alias("regime"), n),
     }

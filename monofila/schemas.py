@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+from monofila.operators.profiles import TALLIES, tally
 from monofila.operators.universe import Channel
-from monofila.rules import DESK, OFFICIAL, WEB
+from monofila.rules import DESK, OFFICIAL, WEB, Rules
 
 INTEGER = 0
 
@@ -120,3 +121,10 @@ def _consolidated_type(name: str) -> T.DataType:
 
 
 CONSOLIDATED = T.StructType([T.StructField(c, _consolidated_type(c)) for c in CONSOLIDATED_HEADINGS])
+
+
+def people(rules: Rules = Rules()) -> T.StructType:
+    """The counters per person that are stored beside the consolidated row."""
+    counters = [f"n_{c}" for c in rules.priority] + [tally(t, c) for c in rules.priority for t in TALLIES]
+    keys = [T.StructField("tenant", T.IntegerType()), T.StructField("person_key", T.StringType())]
+    return T.StructType(keys + [T.StructField(c, T.LongType()) for c in counters])

@@ -18,6 +18,8 @@ from monofila.sources.records import leaves_open, quoted_field, records
 from monofila.sources.storage import read_tenants, replace_shared, replace_tenants
 
 DEFAULT_ENCODING = "ISO-8859-1"
+#: In place of an encoding: every file is read by what its own bytes allow.
+BY_FILE = "by file"
 _MARKS = ("﻿", "ï»¿")
 _RAW = "_raw"
 
@@ -75,6 +77,7 @@ class Scan:
     rows: DataFrame
     ignored: list[str]
     blank_lines: int
+    encodings: tuple[str, ...] = ()
 
 
 def read_header(spark: SparkSession, path: str, source: Source, encoding: str = DEFAULT_ENCODING) -> list[str] | None:
@@ -92,8 +95,9 @@ def read_header(spark: SparkSession, path: str, source: Source, encoding: str =
 
 
 def _text_probe(spark: SparkSession, path: str, separator: str) -> list[Row]:
-    """Per file: its first line, whether any quoted field spans lines, empty lines, and lines
-    of blanks only. One pass, one row per file.
+    """Per file: its first line, whether any quoted field spans lines, empty lines, lines
+    of blanks only, and whether its bytes are UTF-8 that says more than ASCII can. One pass, one
+    row per file.
 
     A line that still starts a field with a quote once its complete quoted fields are
     gone leaves that field open. Lines are taken as bytes, which suits every encoding that
@@ -106,6 +110,7 @@ def _text_probe(spark: SparkSession, path: str, separator: str) -> list[Row]:
         F.max(leaves_open(F.col("value"), separator)).alias("spans"),
         F.count(F.when(F.col("value") == "", 1)).alias("empty"),
         F.count(F.when((F.col("value") != "") & (F.trim("value") == ""), 1)).alias("blank"),
+        (F.min(F.is_valid_utf8("value")) & F.max(F.length("value") < F.octet_length("value"))).alias("utf8"),
     ).orderBy("file").collect()
 
 
@@ -116,21 +121,26 @@ def scan(
     """Read one source, a file or a folder of files; None when there is no line in it.
 
     Each file is bound by its own header: files with the same first line are read together.
+    With ``BY_FILE`` for an encoding, a file that holds non-ASCII characters and is valid UTF-8
+    throughout is read as UTF-8, every other one as Latin-1, which takes any byte; text in
+    Latin-1 is hardly ever valid UTF-8 by chance.
     Quoted fields may contain line breaks. Unless told, the text pass that finds the headers
     also finds the files in which any field does. Those are put together from their byte
     ranges (``records``), so every file is read by as many tasks as its size asks for.
     """
-    alike: dict[tuple[str, bool], list[Row]] = {}
+    alike: dict[tuple[str, bool, str], list[Row]] = {}
     for row in _text_probe(spark, path, source.separator):
-        alike.setdefault((row["head"], row["spans"] if multi_line is None else multi_line), []).append(row)
+        own = encoding if encoding != BY_FILE else "UTF-8" if row["utf8"] else DEFAULT_ENCODING
+        alike.setdefault((row["head"], row["spans"] if multi_line is None else multi_line, own), []).append(row)
     scans = [
-        _scan_alike(spark, [unquote(r["file"]) for r in rows], source, encoding, spans, repair_utf8, sum(r["empty"] for r in rows), sum(r["blank"] for r in rows))
-        for (_, spans), rows in alike.items()
+        _scan_alike(spark, [unquote(r["file"]) for r in rows], source, own, spans, repair_utf8, sum(r["empty"] for r in rows), sum(r["blank"] for r in rows))
+        for (_, spans, own), rows in alike.items()
     ]
     if not scans:
         return None
     ignored = list(dict.fromkeys(c for s in scans for c in s.ignored))
-    return Scan(reduce(DataFrame.unionByName, [s.rows for s in scans]), ignored, sum(s.blank_lines for s in scans))
+    encodings = tuple(sorted({own for *_, own in alike}))
+    return Scan(reduce(DataFrame.unionByName, [s.rows for s in scans]), ignored, sum(s.blank_lines for s in scans), encodings)
 
 
 def _scan_alike(
@@ -253,7 +263,7 @@ def load_source(
     else:
         replace_tenants(rows.withColumn("tenant", F.lit(tenant)), target, [tenant])
     count = seen.get
-    return (source.file, "loaded", count["rows"], count["short"] + found.blank_lines, found.ignored, encoding)
+    return (source.file, "loaded", count["rows"], count["short"] + found.blank_lines, found.ignored, ", ".join(found.encodings))
 
 
 def load_all(

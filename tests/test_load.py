@@ -215,6 +215,19 @@ def test_utf8_file_is_read_or_repaired(spark):
     assert [n["NOMBREIPS"] for n in names] == ["ClÃ\xadnica", "Clínica", "Clínica"]
 
 
+def test_encoding_is_decided_by_file(spark):
+    folder, warehouse = tempfile.mkdtemp(), tempfile.mkdtemp()
+    os.mkdir(f"{folder}/SAT.csv")
+    texts = [("utf-8", "1|Clínica"), ("latin-1", "2|Clínica"), ("utf-8-sig", "3|Ñandú"), ("ascii", "4|plain"), ("utf-8", '5|"dos\nlíneas"'), ("latin-1", '6|"dos\nlíneas"')]
+    for i, (encoding, line) in enumerate(texts):
+        with open(f"{folder}/SAT.csv/{i}.csv", "w", encoding=encoding) as f:
+            f.write("ID|NOMBREIPS\n" + line + "\n")
+    report = D.load_source(spark, folder, warehouse, S.OFFICIAL_SOURCE, 1, encoding=D.BY_FILE)
+    assert report[1:4] == ("loaded", 6, 0) and report[-1] == "ISO-8859-1, UTF-8"
+    got = {r["ID"]: r["NOMBREIPS"] for r in D.staged(spark, warehouse, S.OFFICIAL_SOURCE).collect()}
+    assert got == {1: "Clínica", 2: "Clínica", 3: "Ñandú", 4: "plain", 5: "dos\nlíneas", 6: "dos\nlíneas"}
+
+
 def test_folder_check_lists_missing_unexpected_and_oversized(spark, folders):
     folder = tempfile.mkdtemp()
     for name, text in (("SAT.csv", "x" * 50), ("OTHER.csv", "x")):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from monofila.functions import columns as C
 from monofila.functions.measures import MEASURE_TITLES, measures
-from monofila.operators.consolidate import as_table, consolidate, survivors
-from monofila.operators.profiles import duplicity_profile, history_by_key, history_profile
+from monofila.operators.bitmaps import distinct_persons, person_bitmaps, persons_rollup
+from monofila.operators.consolidate import as_table, consolidate, consolidate_people, survivors
+from monofila.operators.profiles import duplicity_of_people, duplicity_profile, history_by_key, history_profile
 from monofila.operators.universe import UNIVERSE_COLUMNS, Channel, universe
 from monofila.plans import reports as R
 from monofila.rules import DESK, OFFICIAL, WEB, Rules
@@ -210,7 +211,7 @@ def test_reports_on_nothing(spark):
     lines = {r["indicator"]: (r["value"], r["percentage"]) for r in R.headline(table, u, notices).collect()}
     assert lines["Producción consolidada"] == (0, None) and lines["Registros críticos"] == (None, None)
     assert R.peak_month(table).count() == R.incomplete_last_month(table).count() == 0
-    assert [r["kind"] for r in R.findings(u, table).collect()] == ["effective"]
+    assert [r["kind"] for r in R.findings(consolidate_people(u, no_history(spark)), table).collect()] == ["effective"]
 
 
 def test_scopes_and_literal_default_stays_apart(spark):
@@ -219,13 +220,23 @@ def test_scopes_and_literal_default_stays_apart(spark):
     table = as_table(consolidate(u, no_history(spark)))
     assert [r["n"] for r in R.by_status_by_channel(table, tenant=1).collect()] == [1, 1]
     assert R.by_territory(table, tenant=1, channel=DESK).count() == 0
-    assert set(R.dashboard(table, u, {WEB: u}, spark.createDataFrame(CATALOGUE, "a string, b int, c string"), 1)) >= {"kpis", "trend"}
+    people, catalogue = consolidate_people(u, no_history(spark)), spark.createDataFrame(CATALOGUE, "a string, b int, c string")
+    page = R.dashboard(table, people, u, {WEB: u}, catalogue, 1)
+    alone = {
+        "kpis": R.kpis_by_channel, "trend": R.trend_by_channel, "classification": R.by_classification_by_channel,
+        "territory": R.by_territory_by_channel, "status": R.by_status_by_channel, "regime": R.by_regime_by_channel,
+    }
+    for name, report in alone.items():
+        theirs = report(table, 1)
+        assert page[name].columns == theirs.columns and sorted(page[name].collect()) == sorted(theirs.collect()), name
+    assert [tuple(r) for r in page["quality"].collect()] == [(WEB, 2, 100.0, 100.0, 100.0, 0.0, 2, 0)]
 
 
 def test_batch_report_prints(spark):
     u = filings(spark, *[(1, WEB, str(i), "CC", str(i), None) for i in range(1200)])
     notices = spark.createDataFrame([(1, None)], "tenant int, log string")
-    tables = R.batch_report(as_table(consolidate(u, no_history(spark))), u, notices, 1)
+    people = as_table(consolidate_people(u, no_history(spark)))
+    tables = R.batch_report(people, people, u, notices, 1)
     lines = {r["indicator"]: (r["value"], r["percentage"]) for r in R.printable(tables["Cifras principales"]).collect()}
     assert lines["Producción consolidada"] == ("1,200", "—") and lines["Registros críticos"] == ("1,200", "100.0")
     assert lines["Inconsistencia operativa IRL"] == ("—", "—") and len(tables) == 5
@@ -253,3 +264,40 @@ def test_measures_have_titles_and_no_division_error(spark):
     assert set(measures()) == set(MEASURE_TITLES)
     table = as_table(consolidate(filings(spark), no_history(spark)))
     assert table.agg(measures()["effective_share"].alias("x")).first()["x"] is None
+
+
+@pytest.mark.parametrize("loose", [False, True])
+def test_counters_of_people_equal_the_filings(spark, loose):
+    rules = Rules(keep_null_keys=loose)
+    u = filings(
+        spark, (1, WEB, "1", "CC", "1", datetime(2025, 1, 1)), (1, WEB, "2", "CC", "1", None), (1, DESK, "3", "CC", "1", None),
+        (1, DESK, "4", "CC", None, None), (1, DESK, "5", "NO_HOMOLOGADO", None, None), (1, DESK, "6", "CC", "", None),
+        (2, DESK, "7", "CC", "1", None), (2, OFFICIAL, "8", "NO_HOMOLOGADO", "9", None),
+    )
+    people = consolidate_people(u, no_history(spark), rules)
+    assert set(duplicity_of_people(people, rules).collect()) == set(duplicity_profile(u, rules).collect())
+    told = {r["channel"]: tuple(r)[1:] for r in R.quality_by_source(people, rules=rules, unknown=True).collect()}
+    # n, typed, numbered, placed, dated (percent), persons, repeats, unknown; CC-1 files at the desk of both tenants.
+    assert told == {
+        DESK: (5, 80.0, 40.0, 100.0, 0.0, 2, 3, 1), WEB: (2, 100.0, 100.0, 100.0, 50.0, 1, 1, 0), OFFICIAL: (1, 0.0, 100.0, 100.0, 0.0, 1, 0, 1),
+    }
+    one_tenant = {r["channel"]: (r["n"], r["n_persons"]) for r in R.quality_by_source(people, 1, rules).collect()}
+    assert one_tenant == {DESK: (4, 2), WEB: (2, 1)}
+    assert consolidate(u, no_history(spark), rules).columns == people.columns[:27]
+
+
+def test_bitmaps_count_persons_at_every_level(spark):
+    rows = spark.range(70_000).selectExpr(
+        "IF(id % 7000 = 0, NULL, CAST(id % 50000 AS string)) AS person_key", "CAST(id % 2 AS int) AS tenant", "IF(id % 5 = 0, NULL, id % 3) AS month"
+    )
+    maps = person_bitmaps(rows, "tenant", "month")
+    assert maps.count() > 8, "more than one bucket a group"
+    keyed = rows.filter("person_key IS NOT NULL")
+    want = {(2, *r[:2], r[2]) for r in keyed.groupBy("tenant", "month").agg(F.count_distinct("person_key")).collect()}
+    want |= {(1, r[0], None, r[1]) for r in keyed.groupBy("tenant").agg(F.count_distinct("person_key")).collect()}
+    want |= {(0, None, None, keyed.select("person_key").distinct().count())}
+    assert {tuple(r) for r in persons_rollup(maps, "tenant", "month").collect()} == want
+    by_month = {tuple(r) for r in keyed.groupBy("month").agg(F.count_distinct("person_key")).collect()}
+    assert {tuple(r) for r in distinct_persons(maps, "month").collect()} == by_month
+    nobody = person_bitmaps(rows.filter("false"), "tenant")
+    assert [tuple(r) for r in persons_rollup(nobody, "tenant").collect()] == [(0, None, 0)]

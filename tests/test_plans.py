@@ -6,6 +6,8 @@ import pytest
 
 from monofila.checks.registry import Bench
 from monofila.operators import consolidate as C
+from monofila.operators import profiles as P
+from monofila.operators.bitmaps import person_bitmaps
 from monofila.plans import reports as R
 
 FOLDER = "/root/testdata/sf0.001"
@@ -60,7 +62,7 @@ def test_no_report_uses_a_cross_join_or_a_global_window_on_groups(spark):
     b = Bench(spark, FOLDER)
     for df in (
         R.headline(b.consolidated, b.universe, b.notices), R.by_territory(b.consolidated), R.labour_reasons(b.notices),
-        R.findings(b.universe, b.consolidated), R.funnel(b.universe, b.consolidated),
+        R.findings(b.people, b.consolidated), R.funnel(b.universe, b.consolidated),
     ):
         text = plan(df)
         assert "CartesianProduct" not in text and "NestedLoop" not in text and "Window" not in text
@@ -88,3 +90,27 @@ def test_raw_counts_need_no_lookup(spark):
 def test_staging_filters_reach_the_scan(spark):
     text = plan(Bench(spark, FOLDER).desk)
     assert "EqualTo(o_orderpriority,5-LOW)" in text
+
+
+def test_reports_on_persons_read_the_written_counters(spark):
+    b = Bench(spark, FOLDER)
+    for df in (
+        R.quality_by_source(b.people, tenant=1), R.channel_combinations(b.people), R.quality_status(b.people, tenant=1),
+        R.findings(b.people, b.consolidated, tenant=1), P.duplicity_of_people(b.people),
+    ):
+        text = plan(df)
+        assert "person_key" not in "".join(re.findall(r"Exchange hashpartitioning\([^)]*\)", text))
+        assert "o_orderkey" not in text, "no report goes back to the filings"
+
+
+def test_panels_come_from_one_scan(spark):
+    b = Bench(spark, FOLDER)
+    text = plan(R.panels(b.consolidated, tenant=0))
+    assert text.count("FileScan") == 1
+    assert text.index("Generate") < text.rindex("Exchange hashpartitioning"), "rows are spread after the first aggregation"
+
+
+def test_bitmaps_move_filings_once(spark):
+    text = plan(person_bitmaps(Bench(spark, FOLDER).universe, "tenant", "channel"))
+    assert len(re.findall(r"Exchange hashpartitioning\(person_key", text)) == 1
+    assert "partial_bitmap_construct_agg" in text and "partial_collect_set" in text
