@@ -481,6 +481,12 @@ def oracle_queries() -> dict[str, str]:
         "q_load_rest": _staged("""SELECT NULL::INTEGER AS tenant, 'catalogue' AS source, concat_ws('|', abbr, code, name) AS row, count(*) AS n FROM catalog GROUP BY ALL
             UNION ALL SELECT tenant, 'history', concat_ws('|', nullif(trim(doc_type), ''), nullif(trim(doc_num), ''), nullif(trim(entity), '')), count(*) FROM s_history GROUP BY ALL
             UNION ALL SELECT tenant, 'notices', concat_ws('|', nullif(trim(log), ''), log || ' · Ñandú'), count(*) FROM s_labour GROUP BY ALL"""),
+        "q_load_quarantine": _staged("""SELECT tenant, CAST(id AS VARCHAR) AS filing, CASE WHEN id % 11 <> 0 THEN CAST(id AS INTEGER) END AS id,
+            CASE WHEN len(found) > 0 THEN 'refused' ELSE 'accepted' END AS verdict, array_to_string(found, ', ') AS problems
+            FROM (SELECT tenant, id, list_filter([
+              CASE WHEN id % 11 = 0 THEN 'ID:not_integer:' || (1 + length(CAST(id AS VARCHAR))) || ':x' || id END,
+              CASE WHEN 4 * (1 + id % 8) > 20 AND advisor IS NOT NULL THEN 'CODIGOASESOR:too_long:' || 4 * (1 + id % 8) || ':' || repeat(advisor, CAST(1 + id % 8 AS BIGINT)) END
+            ], lambda x: x IS NOT NULL) AS found FROM s_desk)"""),
         "q_load_total": _staged("""SELECT 12::BIGINT AS sources, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(short) AS BIGINT) AS discarded FROM (
             SELECT count(*) FILTER (id % 3 <> 0 OR id % 37 <> 0) AS n, count(*) FILTER (id % 3 = 0 AND id % 37 = 0) AS short
               FROM (SELECT id FROM s_desk UNION ALL SELECT id FROM s_web UNION ALL SELECT id FROM s_official)

@@ -20,7 +20,7 @@ from monofila.rules import DESK, OFFICIAL, WEB, Rules
 from monofila.schemas import CATALOGUE, CONSOLIDATED, CONSOLIDATED_HEADINGS, DESK_CHANNEL, DESK_SOURCE, HISTORY_SOURCE, NOTICES_SOURCE, OFFICIAL_CHANNEL, OFFICIAL_SOURCE, SOURCES, WEB_CHANNEL, WEB_SOURCE, people
 from monofila.sources import staged as S
 from monofila.operators.universe import Channel
-from monofila.sources.delimited import BY_FILE, completeness, load_source, load_total, oversized, staged, violations
+from monofila.sources.delimited import BY_FILE, completeness, load_source, load_total, oversized, refused, staged, violations
 from monofila.sources.storage import ensure_tenant, read_tenants, replace_tenants, scratch_path, write_csv, write_scratch
 
 RULES = Rules()
@@ -52,7 +52,7 @@ def _delimited(df: DataFrame, separator: str, path: str) -> None:
     ).csv(path)
 
 
-_LOADED = "tenant int, file string, state string, rows bigint, discarded bigint, ignored array<string>, encoding string"
+_LOADED = "tenant int, file string, state string, rows bigint, discarded bigint, ignored array<string>, encoding string, refused bigint"
 
 
 class Bench:
@@ -277,6 +277,23 @@ def _loaded_rest(b: Bench) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("tenant", "source", "row").agg(F.count("*").alias("n"))
 
 
+def _quarantine(b: Bench) -> DataFrame:
+    """Desk filings with values that do not fit, loaded by one write each: what was accepted and what
+    was refused for which values."""
+    folder, warehouse = scratch_path(b.spark, "landing"), scratch_path(b.spark, "warehouse")
+    for tenant in TENANTS:
+        rows = b.desk.filter(F.col("tenant") == tenant).select(
+            F.concat(F.when(F.col("id") % 11 == 0, "x").otherwise(""), F.col("id")).alias("ID"), F.col("id").cast("string").alias("SOLICITUD"),
+            F.repeat("advisor", F.pmod("id", F.lit(8)).cast("int") + 1).alias("CODIGOASESOR"),
+        )
+        _delimited(rows, DESK_SOURCE.separator, f"{folder}/{tenant}/{DESK_SOURCE.file}")
+        load_source(b.spark, f"{folder}/{tenant}", warehouse, DESK_SOURCE, tenant, encoding="UTF-8", quarantine=True)
+    told = F.array_join(F.transform("problems", lambda x: F.concat_ws(":", x["column"], x["problem"], x["length"], x["value"])), ", ")
+    columns = ("tenant", F.col("SOLICITUD").alias("filing"), F.col("ID").alias("id"))
+    accepted = staged(b.spark, warehouse, DESK_SOURCE).select(*columns, F.lit("accepted").alias("verdict"), F.lit("").alias("problems"))
+    return accepted.unionByName(refused(b.spark, warehouse, DESK_SOURCE).select(*columns, F.lit("refused").alias("verdict"), told.alias("problems")))
+
+
 def _load_total(b: Bench) -> DataFrame:
     """The grand total of all loads of both tenants, all six sources."""
     return load_total(b.landed[0].unionByName(b.landed_rest[0]))
@@ -422,6 +439,7 @@ def registered() -> dict[str, Callable[[Bench], DataFrame]]:
         "q_load_report": _load_report,
         "q_load_rest": _loaded_rest,
         "q_load_total": _load_total,
+        "q_load_quarantine": _quarantine,
         "q_oversized_files": _oversized,
         "q_tenant_backfill": _backfilled,
         "q_has_data": _emptiness,

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from monofila.functions.columns import strip_blank
 from monofila.schemas import INTEGER, SOURCES, Source
 from monofila.sources.records import leaves_open, quoted_field, records
-from monofila.sources.storage import read_tenants, replace_shared, replace_tenants
+from monofila.sources.storage import read_tenants, replace_shared, replace_tenants, route
 
 DEFAULT_ENCODING = "ISO-8859-1"
 #: In place of an encoding: every file is read by what its own bytes allow.
@@ -30,9 +30,15 @@ REPORT_SCHEMA = T.StructType([
     T.StructField("discarded", T.LongType()),
     T.StructField("ignored", T.ArrayType(T.StringType())),
     T.StructField("encoding", T.StringType()),
+    T.StructField("refused", T.LongType()),
 ])
 
 
+_PROBLEMS = T.ArrayType(T.StructType([
+    T.StructField("column", T.StringType()), T.StructField("problem", T.StringType()),
+    T.StructField("length", T.IntegerType()), T.StructField("value", T.StringType()),
+]))
+
 # ---- what is in the folder -------------------------------------------------
 
 
@@ -199,9 +205,8 @@ def _unfit(name: str, width: int) -> Column:
     return F.coalesce(F.col(name).isNotNull() & wrong, F.lit(False))
 
 
-def violations(rows: DataFrame, widths: dict[str, int], *keys: str) -> DataFrame:
-    """One row per value that does not fit: column, problem, length and its first sixty
-    characters. Map-only; clean rows produce nothing."""
+def problems(widths: dict[str, int]) -> Column:
+    """The values of a row that do not fit: column, problem, length and first sixty characters."""
     checks = F.array(*[
         F.struct(
             F.lit(name).alias("column"),
@@ -212,10 +217,15 @@ def violations(rows: DataFrame, widths: dict[str, int], *keys: str) -> DataFrame
         )
         for name, width in widths.items()
     ])
-    return rows.select(*keys, F.inline(F.filter(checks, lambda x: x["unfit"]))).drop("unfit")
+    return F.transform(F.filter(checks, lambda x: x["unfit"]), lambda x: x.dropFields("unfit"))
+
+
+def violations(rows: DataFrame, widths: dict[str, int], *keys: str) -> DataFrame:
+    """One row per value that does not fit. Map-only; clean rows produce nothing."""
+    return rows.select(*keys, F.inline(problems(widths)))
 
 
-def typed(rows: DataFrame, source: Source, strict: bool = False) -> DataFrame:
+def typed(rows: DataFrame, source: Source, strict: bool = False, *carried: str) -> DataFrame:
     """Columns in their staging types. Text that is no integer becomes NULL, or, when
     ``strict``, the first value that does not fit fails the job."""
     columns = []
@@ -226,7 +236,7 @@ def typed(rows: DataFrame, source: Source, strict: bool = False) -> DataFrame:
             told = F.concat(F.lit(f"column {name} of {source.file} holds "), F.length(name), F.lit(" characters it cannot take, from: "), shown)
             value = F.when(_unfit(name, width), F.raise_error(told)).otherwise(value)
         columns.append(value.alias(name))
-    return rows.select(*columns)
+    return rows.select(*columns, *carried)
 
 
 # ---- loading ---------------------------------------------------------------
@@ -234,10 +244,13 @@ def typed(rows: DataFrame, source: Source, strict: bool = False) -> DataFrame:
 
 def load_source(
     spark: SparkSession, folder: str, warehouse: str, source: Source, tenant: int,
-    encoding: str = DEFAULT_ENCODING, strict: bool = True, **options,
+    encoding: str = DEFAULT_ENCODING, strict: bool = True, quarantine: bool = False, **options,
 ) -> tuple:
     """Load one file into its staging table, replacing only this tenant's rows.
 
+    With ``quarantine`` a row that holds a value that does not fit is refused, not the file: the
+    same write puts it beside the staging table, with what is wrong in it (``refused``).
+
     Returns one row of the load report. ``strict`` refuses the file at the first value
     that does not fit; the write then fails before it publishes, so the old rows stay
     and no extra pass over the file is needed.
@@ -248,22 +261,31 @@ def load_source(
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return (source.file, "absent", 0, 0, [], None)
+        return (source.file, "absent", 0, 0, [], None, 0)
     if found is None:
-        return (source.file, "empty", 0, 0, [], encoding)
+        return (source.file, "empty", 0, 0, [], encoding, 0)
 
     seen = Observation()
+    bad = reduce(Column.__or__, [_unfit(c, w) for c, w in source.columns.items()]) if quarantine else F.lit(False)
     counted = found.rows.observe(
-        seen, F.count(F.when(~F.col("_short"), 1)).alias("rows"), F.count(F.when(F.col("_short"), 1)).alias("short")
+        seen, F.count(F.when(~F.col("_short"), 1)).alias("rows"), F.count(F.when(F.col("_short"), 1)).alias("short"),
+        F.count(F.when(~F.col("_short") & bad, 1)).alias("refused"),
     )
-    rows = typed(counted.filter(~F.col("_short")), source, strict)
+    whole = counted.filter(~F.col("_short"))
+    rows = typed(whole, source, strict)
     target = f"{warehouse}/{source.name}"
-    if source.shared:
+    if quarantine:
+        wrong = problems(source.columns)
+        judged = whole.withColumns({"problems": wrong, "verdict": F.when(F.size(wrong) > 0, "refused").otherwise("accepted")})
+        own = "" if source.shared else f"/tenant={tenant}"
+        route(typed(judged, source, False, "problems", "verdict"), "verdict", {"accepted": target + own, "refused": f"{target}_refused{own}"})
+    elif source.shared:
         replace_shared(rows, target)
     else:
         replace_tenants(rows.withColumn("tenant", F.lit(tenant)), target, [tenant])
     count = seen.get
-    return (source.file, "loaded", count["rows"], count["short"] + found.blank_lines, found.ignored, ", ".join(found.encodings))
+    loaded = count["rows"] - count["refused"]
+    return (source.file, "loaded", loaded, count["short"] + found.blank_lines, found.ignored, ", ".join(found.encodings), count["refused"])
 
 
 def load_all(
@@ -280,11 +302,11 @@ def load_all(
     present = listing(spark, folder)
     large = set() if limit_bytes is None else {r["file"] for r in oversized(present, limit_bytes).collect()}
     report = [
-        (s.file, "oversized", 0, 0, [], None) if s.file in large else load_source(spark, folder, warehouse, s, tenant, **options)
+        (s.file, "oversized", 0, 0, [], None, 0) if s.file in large else load_source(spark, folder, warehouse, s, tenant, **options)
         for s in sources
     ]
     surplus = completeness(present, expected_files(spark, sources)).filter("problem = 'unexpected'").orderBy("file").collect()
-    report += [(r["file"], "unexpected", 0, 0, [], None) for r in surplus]
+    report += [(r["file"], "unexpected", 0, 0, [], None, 0) for r in surplus]
     return spark.createDataFrame(report, REPORT_SCHEMA)
 
 
@@ -296,14 +318,24 @@ def load_total(report: DataFrame) -> DataFrame:
     )
 
 
+def refused(spark: SparkSession, warehouse: str, source: Source, tenant: int | None = None) -> DataFrame:
+    """Rows that loads with ``quarantine`` refused: the columns of the source, NULL where an
+    integer was none, and ``problems``, one entry per value that does not fit."""
+    schema = T.StructType([*source.schema().fields, T.StructField("problems", _PROBLEMS)])
+    return _read(spark, f"{warehouse}/{source.name}_refused", schema, source.shared, tenant)
+
+
 def staged(spark: SparkSession, warehouse: str, source: Source, tenant: int | None = None) -> DataFrame:
     """Staging table of a source, of one tenant or of all; empty when never loaded."""
-    path = f"{warehouse}/{source.name}"
-    if not source.shared:
-        return read_tenants(spark, path, source.schema(), tenant)
+    return _read(spark, f"{warehouse}/{source.name}", source.schema(), source.shared, tenant)
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, shared: bool, tenant: int | None) -> DataFrame:
+    if not shared:
+        return read_tenants(spark, path, schema, tenant)
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).select(*schema.names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], source.schema())
+        return spark.createDataFrame([], schema)

@@ -103,6 +103,44 @@ def replace_shared(df: DataFrame, path: str) -> None:
     write_scratch(df, "shared").write.mode("overwrite").parquet(path)
 
 
+def publish(spark: SparkSession, built: str, target: str) -> None:
+    """Put a written folder in the place of another. The old one steps aside by a rename and goes
+    once the new one is there, so a failure in between leaves both on disk."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    new, place, aside = path(built), path(target), path(f"{scratch_path(spark, 'replaced')}")
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    for folder in (place, aside):
+        files.mkdirs(folder.getParent())
+    if files.exists(place) and not files.rename(place, aside):
+        raise OSError(f"cannot move {target} aside")
+    if not files.rename(new, place):
+        raise OSError(f"cannot publish {built} as {target}")
+    files.delete(aside, True)
+
+
+def route(rows: DataFrame, verdict: str, targets: dict[str, str]) -> None:
+    """Rows to one folder per value of ``verdict``, by one write. Each folder is replaced as a
+    whole, also by no rows. The rows are written under the first target's parent, on the same
+    file system, before any folder is touched."""
+    spark = rows.sparkSession
+    parent = next(iter(targets.values())).rsplit("/", 1)[0]
+    built = f"{parent}/_routed-{uuid4().hex[:12]}"
+    rows.write.partitionBy(verdict).parquet(built)
+    nothing = spark.createDataFrame([], rows.drop(verdict).schema)
+    for value, target in targets.items():
+        part = f"{built}/{verdict}={value}"
+        try:
+            spark.read.parquet(part)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            nothing.write.parquet(part)
+        publish(spark, part, target)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(built)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_csv(df: DataFrame, path: str, tenant: int | None = None, single_file: bool = False) -> None:
     """Semicolon-separated text with header and byte-order mark, one file per task. Blanks at
     the ends of values are kept.

@@ -153,6 +153,33 @@ def test_values_that_do_not_fit_fail_the_load_and_keep_the_old_rows(spark):
     }
 
 
+def test_rows_that_do_not_fit_go_beside_the_table(spark):
+    folder, warehouse = tempfile.mkdtemp(), tempfile.mkdtemp()
+
+    def load(text, tenant=1, source=S.OFFICIAL_SOURCE):
+        with open(f"{folder}/{source.file}", "w") as f:
+            f.write(text)
+        report = D.load_source(spark, folder, warehouse, source, tenant, quarantine=True)
+        kept, wrong = (r(spark, warehouse, source, tenant) for r in (D.staged, D.refused))
+        return (report[2], report[3], report[6]), kept, wrong
+
+    load("ID|TIPODOCUMENTO\n9|3\n8|tooolong\n", tenant=2)
+    counts, kept, wrong = load("ID|TIPODOCUMENTO|NOMBREIPS\n1|3|a\nx|1234567|b\n2|4\n3|4|" + "z" * 201 + "\n")
+    assert counts == (1, 1, 2) and kept.schema == S.OFFICIAL_SOURCE.schema() and [r["ID"] for r in kept.collect()] == [1]
+    told = {r["ID"]: [tuple(p) for p in r["problems"]] for r in wrong.collect()}
+    assert told == {
+        None: [("ID", "not_integer", 1, "x"), ("TIPODOCUMENTO", "too_long", 7, "1234567")], 3: [("NOMBREIPS", "too_long", 201, "z" * 60)],
+    }
+    counts, kept, wrong = load("ID|TIPODOCUMENTO\n5|3\n")
+    assert counts == (1, 0, 0) and kept.count() == 1 and wrong.isEmpty(), "an earlier load's refusals go with its rows"
+    counts, kept, wrong = load("ID|TIPODOCUMENTO\n5|1234567\n")
+    assert counts == (0, 0, 1) and kept.isEmpty() and wrong.count() == 1
+    assert D.staged(spark, warehouse, S.OFFICIAL_SOURCE, 2).count() == D.refused(spark, warehouse, S.OFFICIAL_SOURCE, 2).count() == 1
+    counts, kept, wrong = load("Abreviatura|CODIGO\nCC|3\nNI|four\n", source=S.CATALOGUE)
+    assert counts == (1, 0, 1) and kept.count() == wrong.count() == 1
+    assert not [f for f in os.listdir(warehouse) if f.startswith("_routed")]
+
+
 def test_unknown_header_is_an_error(spark):
     folder = tempfile.mkdtemp()
     with open(f"{folder}/SAT.csv", "w") as f:
@@ -223,7 +250,7 @@ def test_encoding_is_decided_by_file(spark):
         with open(f"{folder}/SAT.csv/{i}.csv", "w", encoding=encoding) as f:
             f.write("ID|NOMBREIPS\n" + line + "\n")
     report = D.load_source(spark, folder, warehouse, S.OFFICIAL_SOURCE, 1, encoding=D.BY_FILE)
-    assert report[1:4] == ("loaded", 6, 0) and report[-1] == "ISO-8859-1, UTF-8"
+    assert report[1:4] == ("loaded", 6, 0) and report[5] == "ISO-8859-1, UTF-8"
     got = {r["ID"]: r["NOMBREIPS"] for r in D.staged(spark, warehouse, S.OFFICIAL_SOURCE).collect()}
     assert got == {1: "Clínica", 2: "Clínica", 3: "Ñandú", 4: "plain", 5: "dos\nlíneas", 6: "dos\nlíneas"}
 
