@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -424,6 +425,29 @@ def test_quality_classifier_on_held_out_documents(spark):
     assert right >= 590
 
 
+def test_every_vote_pattern_is_trained_on():
+    assert quality_classifier.dealt(np.array([1, 3, 50_000, 20]), 40).tolist() == [1, 3, 18, 18]
+    assert quality_classifier.dealt(np.array([5, 5, 5]), 2).tolist() == [1, 1, 1]
+    assert quality_classifier.dealt(np.array([], dtype=np.int64), 2).tolist() == []
+
+
+@pytest.mark.parametrize("with_ids", [True, False])
+def test_rare_junk_is_rejected(spark, with_ids):
+    """One document in 20,000 shouts; it and its like outside the sample must go."""
+    rng = np.random.default_rng(3)
+    plain = ["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (3_000, 5))]
+    texts = [" ".join(rng.choice(plain, 40)) + f" page {i}" for i in range(19_999)]
+    shout = "BUY THIS NOW!!! " * 15
+    texts += [shout] + ["#### $$$$ **** #### $$$$ **** " + texts[i] for i in range(600)]
+    docs = spark.createDataFrame([(i if with_ids else None, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(8)
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    # The query's result carries no text; a document is told by its score alone where it has no id.
+    rejected = quality_classifier.quality_classifier(docs, labels).filter("NOT kept")
+    assert 601 <= rejected.count() <= 640
+    if with_ids:
+        assert rejected.filter("doc_id = 19999").count() == 1
+
+
 def test_quality_classifier_at_the_edges(odd, nothing, docs, labels):
     got = quality_classifier.quality_classifier(odd, labels)
     assert got.count() == odd.count() and not [r for r in got.filter("doc_id = 7").collect() if r.kept]
