@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from monofila.operators.events import accept, lock_exit, lock_out, lock_steps
+from monofila.streaming.guards import accept_late
 
 
 def slow_accept(times, limit, window):
@@ -55,6 +56,17 @@ def test_accept(steps, cuts, limit, window):
     assert got == slow_accept(times.tolist(), limit, window)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 80), min_size=1, max_size=15), min_size=1, max_size=5), st.integers(1, 4), st.integers(1, 30))
+def test_accept_late_judges_rows_older_than_the_ones_before(pieces, limit, window):
+    got, state = [], []
+    for piece in pieces:
+        times = np.array(sorted(piece))
+        taken, state = accept_late(times, np.zeros(len(times), dtype=bool), state, limit, window)
+        got += taken.tolist()
+    assert got == slow_accept([t for piece in pieces for t in sorted(piece)], limit, window)
+
+
 @settings(max_examples=600, deadline=None)
 @given(gaps, st.data(), st.lists(st.integers(0, 100), max_size=4), st.integers(1, 5), st.integers(1, 30))
 def test_lock_out(steps, data, cuts, failures, duration):

@@ -11,7 +11,7 @@ from monofila.operators import events as E
 from monofila.operators import sampling as M
 from monofila.operators import chunks as C
 from monofila.operators.chunks import ordered_chunks, settle
-from monofila.streaming.guards import lockout_stream, rate_limit_stream
+from monofila.streaming.guards import _judge, accept_late, lockout_stream, rate_limit_stream
 from test_event_folds import slow_accept, slow_lock
 
 SCHEMA = "event_id bigint, user_id bigint, ts timestamp, bad boolean"
@@ -208,7 +208,7 @@ def run_stream(spark, build, name):
         build(stream).writeStream.outputMode("append").format("memory").queryName(name)
         .option("checkpointLocation", tempfile.mkdtemp(prefix="monofila-state-")).trigger(availableNow=True).start()
     )
-    query.awaitTermination(240)
+    assert query.awaitTermination(240)
     assert query.exception() is None
     return {r["event_id"]: r[-1] for r in spark.table(name).collect()}, by_user
 
@@ -237,11 +237,54 @@ def test_a_late_attempt_gets_a_verdict(spark):
         rate_limit_stream(stream, window_seconds=60).writeStream.outputMode("append").format("memory").queryName("late")
         .option("checkpointLocation", tempfile.mkdtemp(prefix="monofila-state-")).trigger(availableNow=True).start()
     )
-    query.awaitTermination(240)
+    assert query.awaitTermination(240)
     assert query.exception() is None
     assert {r["event_id"] for r in spark.table("late").collect()} == {1, 2, 3, 4, 5}
 
 
+def test_a_hot_key_is_never_held_as_a_whole(spark):
+    """One key with a million attempts in one micro-batch: pieces stay at the batch size."""
+    folder, state, size = tempfile.mkdtemp(prefix="monofila-stream-"), tempfile.mkdtemp(prefix="monofila-state-"), 1_000_000
+    rows = spark.range(0, size, 1, 1).select(
+        F.col("id").alias("event_id"), F.lit(7).cast("bigint").alias("user_id"),
+        F.timestamp_seconds(F.col("id") * 10).alias("ts"), F.lit(False).alias("bad"),
+    )
+    rows.write.mode("append").parquet(folder)
+
+    def fold(times, marks, carried):
+        taken, carried = accept_late(times, marks, carried, 3, 100_000_000)
+        return taken + 2 * len(times), carried
+
+    stream = spark.readStream.schema(SCHEMA).parquet(folder)
+    judged = _judge(stream, F.col("bad"), "user_id", "ts", "event_id", 60, "1 minute", fold, lambda _, last: last, "int")
+    query = (
+        judged.writeStream.outputMode("append").format("memory").queryName("hot")
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(240)
+    assert query.exception() is None
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 1
+    # 10 seconds apart, three in 100 seconds: the first three of every ten.
+    wrong = F.count_if(F.col("outcome") % 2 != (F.col("event_id") % 10 < 3).cast("int"))
+    rows, largest, n_wrong = spark.table("hot").agg(F.count("*"), F.max(F.col("outcome") / 2).cast("int"), wrong).first()
+    assert (rows, n_wrong) == (size, 0)
+    assert largest <= int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
+def test_attempts_without_a_key_form_a_key(spark):
+    folder = tempfile.mkdtemp(prefix="monofila-stream-")
+    rows = [(i, None if i % 2 else 0, False) for i in range(12)]
+    data = spark.createDataFrame(rows, "event_id bigint, user_id bigint, bad boolean")
+    data.select("event_id", "user_id", F.timestamp_seconds("event_id").alias("ts"), "bad").coalesce(1).write.mode("append").parquet(folder)
+    query = (
+        rate_limit_stream(spark.readStream.schema(SCHEMA).parquet(folder)).writeStream.outputMode("append").format("memory")
+        .queryName("keyless").option("checkpointLocation", tempfile.mkdtemp(prefix="monofila-state-")).trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(240)
+    got = {r["event_id"]: (r["user_id"], r["accepted"]) for r in spark.table("keyless").collect()}
+    assert got == {i: (None if i % 2 else 0, int(i < 6)) for i in range(12)}
+
+
 def test_stream_state_is_dropped_when_it_stops_mattering(spark):
     folder, state = tempfile.mkdtemp(prefix="monofila-stream-"), tempfile.mkdtemp(prefix="monofila-state-")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
@@ -254,7 +297,8 @@ def test_stream_state_is_dropped_when_it_stops_mattering(spark):
             rate_limit_stream(stream, window_seconds=1, idle_seconds=0, slack="0 seconds").writeStream.outputMode("append").format("noop")
             .option("checkpointLocation", state).trigger(availableNow=True).start()
         )
-        query.awaitTermination(120)
+        assert query.awaitTermination(120)
         time.sleep(1.5)
-        kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
+        held = spark.read.format("statestore").option("stateVarName", "carried").load(state)
+        kept.append(held.count())
     assert 1 <= max(kept) <= 2, "users whose window is over leave no state"
