@@ -145,13 +145,74 @@ def write_csv(df: DataFrame, path: str, tenant: int | None = None, single_file:
     """Semicolon-separated text with header and byte-order mark, one file per task. Blanks at
     the ends of values are kept.
 
-    Spark writes no mark, so it goes in front of the first header name. One single
-    file means one task; ask for it only for results that small.
+    Spark writes no mark, so it goes in front of the first header name. A single file is put
+    together from parts written in parallel where the file system can concatenate files; its rows
+    stand in the order of the partitions. Elsewhere (object stores) one task writes it; ask for
+    it there only for results that small.
     """
     rows = df if tenant is None else df.filter(F.col("tenant") == tenant)
-    if single_file:
-        rows = rows.coalesce(1)
-    marked = rows.withColumnRenamed(rows.columns[0], "﻿" + rows.columns[0])
-    marked.write.mode("overwrite").option("sep", ";").option("header", True).option("quoteAll", False).option(
+    marked = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+    if not single_file:
+        _csv(marked, path, header=True, mode="overwrite")
+    elif _concatenates(df.sparkSession, path):
+        _write_joined(marked, path)
+    else:
+        _csv(marked.coalesce(1), path, header=True, mode="overwrite")
+
+
+def _csv(rows: DataFrame, path: str, header: bool, mode: str) -> None:
+    rows.write.mode(mode).option("sep", ";").option("header", header).option("quoteAll", False).option(
         "escape", '"'
     ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("encoding", "UTF-8").csv(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The path, its file system, and the one below that keeps no checksums, which may be the same."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(context._jsc.hadoopConfiguration())
+    return place, files, files.getRawFileSystem() if files.getScheme() == "file" else files
+
+
+def _concatenates(spark: SparkSession, path: str) -> bool:
+    place, _, plain_files = _file_system(spark, path)
+    return plain_files.hasPathCapability(place, "fs.capability.paths.concat")
+
+
+def _write_joined(rows: DataFrame, path: str) -> None:
+    """Parts without header, then the header as a file of its own, joined by the file system.
+
+    HDFS appends the parts to the header by moving blocks. The local file system, which is one
+    machine's, copies them one after the other. The folder is replaced when the file is whole.
+    """
+    spark = rows.sparkSession
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    built = f"{path.rstrip('/')}-{uuid4().hex[:12]}"
+    place, files, plain_files = _file_system(spark, path)
+    folder = jvm.org.apache.hadoop.fs.Path(built)
+
+    def listed() -> dict[str, int]:
+        return {f.getPath().toString(): f.getLen() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")}
+
+    try:
+        _csv(rows, built, header=False, mode="overwrite")
+        parts = listed()
+        _csv(spark.createDataFrame([], rows.schema), built, header=True, mode="append")
+        (header,) = listed().keys() - parts.keys()
+        local = files.getScheme() == "file"
+        # Part names begin with the number of their partition.
+        sources = ([header] if local else []) + [p for p, size in sorted(parts.items()) if size]
+        target = f"{built}/part-whole.csv" if local else header
+        paths = gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(sources))
+        for i, source in enumerate(sources):
+            paths[i] = jvm.org.apache.hadoop.fs.Path(source)
+        if sources:
+            plain_files.concat(jvm.org.apache.hadoop.fs.Path(target), paths)
+        for left in listed().keys() - {jvm.org.apache.hadoop.fs.Path(target).makeQualified(files.getUri(), folder).toString()}:
+            files.delete(jvm.org.apache.hadoop.fs.Path(left), False)
+        files.delete(place, True)
+        if not files.rename(folder, place):
+            raise OSError(f"cannot publish {built} as {path}")
+    finally:
+        if files.exists(folder):
+            files.delete(folder, True)

@@ -125,6 +125,22 @@ def test_csv_export_has_mark_headings_and_one_tenant(spark, folders, loaded):
     assert raw.decode("utf-8-sig").count("\n7;") == 8
 
 
+@pytest.mark.parametrize("size", [0, 3, 5_000])
+def test_one_file_from_many_tasks_equals_the_one_of_one_task(spark, monkeypatch, size):
+    rows = spark.range(0, size, 1, 7).select(
+        F.col("id").alias("a;b"), F.expr("CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' x\"y;' ELSE repeat('ñ', 9) END").alias("text")
+    )
+    out = tempfile.mkdtemp(prefix="monofila-out-")
+    assert storage._concatenates(spark, out)
+    storage.write_csv(rows, f"{out}/many", single_file=True)
+    storage.write_csv(rows, f"{out}/many", single_file=True)
+    monkeypatch.setattr(storage, "_concatenates", lambda *_: False)
+    storage.write_csv(rows, f"{out}/one", single_file=True)
+    (many,), (one,) = glob.glob(f"{out}/many/part-*"), glob.glob(f"{out}/one/part-*")
+    assert open(many, "rb").read() == open(one, "rb").read()
+    assert sorted(os.listdir(out)) == ["many", "one"]
+
+
 def test_absent_and_empty_files_are_reported(spark):
     folder, warehouse = tempfile.mkdtemp(), tempfile.mkdtemp()
     with pytest.raises(FileNotFoundError):
