@@ -150,7 +150,8 @@ def first_shared() -> Column:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the similarity."""
+    """Those pairs (a, b) of which some text of a and some text of b reach the similarity by
+    their full sets."""
 
     def run(batches):
         for b in batches:
@@ -168,7 +169,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         pairs.join(texts_of.withColumnsRenamed({"doc_id": "a", "text": "left"}), "a")
         .join(texts_of.withColumnsRenamed({"doc_id": "b", "text": "right"}), "b")
     )
-    return joined.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint, link boolean").filter("link").select("a", "b")
+    return joined.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint, link boolean").filter("link").select("a", "b").distinct()
 
 
 def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -190,7 +191,9 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     met = scratch(keys.join(scratch(shared.select("key", "root"), "roots"), "key"), "shared-keys")
     # Texts of every document that meets another one, once; later joins read only these.
     meeting = met.select(F.col("id").alias("doc_id")).distinct()
-    candidates = scratch(rows.join(meeting, "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
+    # A doc_id that several rows share keeps each of its different texts.
+    distinct_texts = rows.join(meeting, "doc_id").withColumn("digest", F.md5("text")).dropDuplicates(["doc_id", "digest"])
+    candidates = scratch(distinct_texts.drop("digest"), "candidate-texts")
     signed = classes.select("id", "n", *_C, *_P)
 
     links, tested, labels = None, None, None

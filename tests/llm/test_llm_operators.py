@@ -107,6 +107,13 @@ def test_near_components_at_the_edges(odd, nothing):
     assert near_dedup.near_components(nothing).collect() == []
 
 
+def test_texts_that_share_a_doc_id_keep_their_links(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, "quite another text here")]
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+
+
 def test_a_large_group_of_near_copies(spark):
     import random
 
