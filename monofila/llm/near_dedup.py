@@ -175,8 +175,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
-    Null and empty texts have no shingles and are linked with nothing. Of rows with one
-    doc_id all share its component (texts of equal ids count as that id's). A null doc_id takes
+    Null and empty texts have no shingles and are linked with nothing. Texts of
+    rows with one doc_id are linked as that id's; a row with a set that a smaller id has too takes
+    that id's component, which its id's other sets do not share. A null doc_id takes
     the component of rows with the same set; without such rows it stays null and is kept. An
     empty table gives none; other columns are ignored.
     """
