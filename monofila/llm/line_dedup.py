@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,25 +102,50 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
     return lines.groupBy("line").agg(F.min(F.struct("d", "n", "key")).alias("first"))
 
 
+#: ``mixed`` of every character of the first plane but its last, and the 64 single bits.
+_MIXED = mixed(np.arange(1, 1 << 16, dtype=np.uint64))
+_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``; a task works them out once for all of its batches."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        known[0] = 1
+        # A single very long batch is not kept.
+        known = np.multiply.accumulate(known)
+        if len(known) <= 1 << 21:
+            _POWERS[base] = known
+    return known[:n]
+
+
 class Segments:
     """Hashes of substrings of a batch of lines, from one running polynomial sum."""
 
-    def __init__(self, lines: list[str]) -> None:
-        codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32)
-        self.length = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    def __init__(self, lines: pa.Array) -> None:
+        self.length = pc.utf8_length(lines).to_numpy().astype(np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(lines)], lines), "")[0].as_py()
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         self.start = np.cumsum(self.length) - self.length
         n = len(codes)
-        power = np.full(n + 1, _BASE | 1, dtype=np.uint64)
-        inverse = np.full(n + 1, pow(_BASE | 1, -1, 1 << 64), dtype=np.uint64)
-        power[0] = inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
+        plain = n == 0 or codes.max() < len(_MIXED)
+        letters = _MIXED[codes] if plain else mixed(codes.astype(np.uint64) + np.uint64(1))
+        self.inverse = powers(pow(_BASE | 1, -1, 1 << 64), n + 1)
         self.total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(power)[:n], out=self.total[1:])
+        np.cumsum(letters * powers(_BASE | 1, n), out=self.total[1:])
         bit = np.uint32(1) << (codes & np.uint32(31))
         self.parity = np.bitwise_xor.reduceat(bit, self.start) if len(lines) else np.zeros(0, np.uint32)
-        two = mixed(codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]) >> np.uint64(58)
-        bit = np.append(np.uint64(1) << two, np.zeros(min(n, 1), np.uint64))
-        bit[self.start[1:] - 1] = 0
+        # Any function of the two characters will do: the top six bits of a sum that wraps.
+        two = codes * np.uint32(0x9E3779B1)
+        two[:-1] += codes[1:] * np.uint32(0x85EBCA6B)
+        two ^= two >> np.uint32(15)
+        two *= np.uint32(0xC2B2AE35)
+        bit = _BITS[two >> np.uint32(26)]
+        if len(lines):
+            bit[self.start[1:] - 1] = 0
+            bit[-1:] = 0
         self.sketch = np.bitwise_xor.reduceat(bit, self.start).view(np.int64) if len(lines) else np.zeros(0, np.int64)
 
     def key(self, at: np.ndarray, size: np.ndarray, length: np.ndarray, number: int) -> np.ndarray:
@@ -136,16 +162,17 @@ def segment(length: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def entries(lines: DataFrame, probing: bool) -> DataFrame:
-    """(key, id, mark, sketch, place): index entries, or probes. The mark holds the parity of characters,
-    whether the line is known to go, and for probes whether they look for lines of their own length."""
+    """(key, id, mark, sketch, place): index entries, or probes, which have no place. The mark holds the
+    parity of characters, whether the line is known to go, and for probes whether they look for lines of
+    their own length."""
 
     def run(batches):
         for b in batches:
-            text, goes = b.column("line").to_pylist(), b.column("goes").to_numpy(zero_copy_only=False)
-            ids, places = b.column("id").to_numpy(), b.column("place").to_numpy()
-            for begin in range(0, len(text), 5_000):
-                end = begin + 5_000
-                part, known = Segments(text[begin:end]), goes[begin:end].astype(np.int64) * _GOES
+            goes = b.column("goes").to_numpy(zero_copy_only=False)
+            own = {c: b.column(c).to_numpy() for c in ("id", "place") if c in b.schema.names}
+            for begin in range(0, b.num_rows, 2_000):
+                end = begin + 2_000
+                part, known = Segments(b.column("line").slice(begin, 2_000)), goes[begin:end].astype(np.int64) * _GOES
                 keys, rows, flags = [], [], []
 
                 def take(ok: np.ndarray, at, size, length, number: int, flag: int) -> None:
@@ -170,12 +197,12 @@ def entries(lines: DataFrame, probing: bool) -> DataFrame:
                                 take((length > 0) & (at >= 0) & (at + size <= part.length), at, size, length, number, flag)
                 i = np.concatenate(rows)
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(np.concatenate(keys)), "id": pa.array(ids[begin:end][i]),
-                    "mark": pa.array(part.parity[i].astype(np.int64) | known[i] | np.concatenate(flags)),
-                    "sketch": pa.array(part.sketch[i]), "place": pa.array(places[begin:end][i]),
-                })
+                    "key": pa.array(np.concatenate(keys)), "mark": pa.array(part.parity[i].astype(np.int64) | known[i] | np.concatenate(flags)),
+                    "sketch": pa.array(part.sketch[i]),
+                } | {c: pa.array(x[begin:end][i]) for c, x in own.items()}).select(shape)
 
-    return lines.select("id", "line", "place", "goes").mapInArrow(run, "key bigint, id bigint, mark bigint, sketch bigint, place bigint")
+    shape = ["key", "id", "mark", "sketch", *([] if probing else ["place"])]
+    return lines.select("id", "line", "goes", *shape[4:]).mapInArrow(run, ", ".join(f"{c} bigint" for c in shape))
 
 
 def likely(x: str, y: str) -> Column:
@@ -200,7 +227,7 @@ def near_pairs(index: DataFrame, probe: DataFrame) -> DataFrame:
     one_way = (F.col("x.id") < F.col("y.id")) | (F.col("y.mark").bitwiseAND(F.lit(_SAME_LENGTH)) == 0)
     open_ = F.col("x.mark").bitwiseAND(F.col("y.mark")).bitwiseAND(F.lit(_GOES)) == 0
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & one_way & open_ & likely("x", "y")
-    return index.drop("place").alias("x").join(probe.drop("place").alias("y"), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return index.drop("place").alias("x").join(probe.alias("y"), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def later_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:

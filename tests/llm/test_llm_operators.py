@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,6 +320,20 @@ def test_line_dedup(docs, rows):
     assert got == {i: ((t or "").count("\n") + 1, len(want[i]), want[i]) for i, t in rows}
 
 
+def test_segments_of_arrow_slices():
+    """Hashed as they lie in a batch: slices, characters beyond the first plane, and what one edit may change."""
+    lines = ["plain line of some words", "ñandú 日本 and more", "\U0001f600 beyond the first plane \uffff", "plain line of some wordz"]
+    whole, cut = line_dedup.Segments(pa.array(lines)), line_dedup.Segments(pa.array(["other", *lines, "last"]).slice(1, 4))
+    assert cut.length.tolist() == [len(x) for x in lines]
+    for name in ("start", "total", "parity", "sketch"):
+        assert getattr(whole, name).tolist() == getattr(cut, name).tolist()
+    assert (int(whole.sketch[0]) ^ int(whole.sketch[3])).bit_count() <= 4 and (int(whole.parity[0]) ^ int(whole.parity[3])).bit_count() == 2
+    size = np.full(2, 10)
+    keys = whole.key(whole.start[[0, 3]], size, np.full(2, 24), 0)
+    assert keys[0] == keys[1] != whole.key(whole.start[[1]], size[:1], np.full(1, 24), 0)[0]
+    assert len(line_dedup.Segments(pa.array([], pa.string())).sketch) == 0
+
+
 def test_line_dedup_cuts_lines(docs, rows):
     want = brute.line_dedup(rows)
     out = {}
