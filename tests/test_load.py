@@ -296,3 +296,29 @@ def test_several_tenants_are_replaced_in_one_write(spark):
     assert storage.replace_tenants(fewer, path, [0, 1]) == {0: 10, 1: 0}
     left = {r["tenant"]: r["count"] for r in spark.read.parquet(path).groupBy("tenant").count().collect()}
     assert left == {0: 10, 2: 30}
+
+
+def test_loads_of_different_tables_run_side_by_side(spark):
+    from threading import Barrier
+
+    from monofila.checks.registry import _side_by_side
+
+    both, order = Barrier(2, timeout=30), []
+
+    def load(name, meets):
+        if meets:
+            both.wait()
+        order.append(name)
+        return (name, spark.range(3).count())
+
+    turns = [[lambda: load("a", True), lambda: load("b", False)], [lambda: load("c", True)]]
+    assert _side_by_side(spark, turns) == [("a", 3), ("b", 3), ("c", 3)]
+    assert order.index("a") < order.index("b")
+
+
+def test_lines_without_quotes_leave_no_field_open(spark):
+    from monofila.sources.records import keeps_open, leaves_open
+
+    lines = [("",), ("a|b",), ('a|"b',), ('a|"b|c"|d',), ('x"|y',), ('x"|"y',)]
+    rows = spark.createDataFrame(lines, "value string").select(leaves_open(F.col("value"), "|"), keeps_open(F.col("value"), "|"))
+    assert [tuple(r) for r in rows.collect()] == [(False, True), (False, True), (True, True), (False, True), (False, False), (False, True)]
