@@ -3,8 +3,8 @@
 quality classifier   documents that it rejects go
 line dedup           lines that occur earlier, or nearly so, go; emptied documents go
 near dedup           one document of each near-duplicate group stays
-mixing               all documents, in the order of the mix
-BPE                  ids of every text, and proof that they decode to it
+mixing               all documents, in files and rows in the order of the mix
+BPE                  ids of every text, and proof that they decode to it, with its place in that order
 """
 
 from __future__ import annotations
@@ -61,7 +61,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return round_trip(docs, vocabulary(), with_ids=True)
+    """Ids with ``mix_file`` and ``mix_row``: sorted by them, documents stand in the order in which
+    ``mixture`` was written. A scan hands files out by size, so the order must be in the rows."""
+    name = F.col("_metadata.file_name")
+    number = [F.regexp_extract(name, pattern, 1).try_cast("bigint") for pattern in (r"^part-(\d+)-", r"-c(\d+)\.")]
+    place = F.coalesce(number[0], F.lit(0)) * 1_000_000 + F.coalesce(number[1], F.lit(0))
+    rows = docs.select("*", place.alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    return round_trip(rows, vocabulary(), with_ids=True, keep=("mix_file", "mix_row"))
 
 
 STAGES = [

@@ -221,16 +221,16 @@ def decode(encoded: DataFrame, definition: bytes, id_type: str = "bigint") -> Da
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, text string")
 
 
-def round_trip(docs: DataFrame, definition: bytes, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, definition: bytes, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids
     where asked for.
 
     Nothing is shuffled. Null and empty texts have no tokens
     and the hashes of the empty string; a null doc_id stays null; repeated rows give repeated
-    rows; an empty table gives none; other columns are ignored. ``definition`` is the
-    vocabulary file, of fixed size, and is broadcast.
+    rows; an empty table gives none; columns of ``keep`` (bigint) are carried along, others are
+    ignored. ``definition`` is the vocabulary file, of fixed size, and is broadcast.
     """
-    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = texts(docs, *keep).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     shared = rows.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches):
@@ -247,9 +247,10 @@ def round_trip(docs: DataFrame, definition: bytes, with_ids: bool = False) -> Da
             n, ids, decoded = zip(*out) if out else ((), (), ())
             more = {"ids": pa.array(lists, pa.list_(pa.int32()))} if with_ids else {}
             yield carried(
-                b, "doc_id", **more, n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids, pa.string()),
+                b, "doc_id", *keep, **more, n_tokens=pa.array(n, pa.int64()), ids_sha256=pa.array(ids, pa.string()),
                 decoded_sha256=pa.array(decoded, pa.string()),
             )
 
     ids = "ids array<int>, " if with_ids else ""
-    return rows.mapInArrow(run, f"doc_id bigint, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    kept = "".join(f"{c} bigint, " for c in keep)
+    return rows.mapInArrow(run, f"doc_id bigint, {kept}{ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")

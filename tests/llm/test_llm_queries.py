@@ -96,3 +96,11 @@ def test_pipeline_keeps_one_row_of_each_group(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "quality_classifier", verdicts)
     got = corpus_pipeline.good_documents(spark, docs, FOLDER).collect()
     assert len(got) == 5 and all(r.text.startswith("w") for r in got)
+
+
+def test_order_of_the_mix_reaches_the_ids(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    corpus_pipeline.mixture(spark, docs, FOLDER).write.option("maxRecordsPerFile", 100).parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.token_ids(spark, spark.read.parquet(f"{tmp_path}/mixed"), FOLDER).orderBy("mix_file", "mix_row")
+    place = {r.doc_id: (r.slot, r.start) for r in registry.queries()["op6_pfair_mix"](spark, FOLDER).collect()}
+    assert [r.doc_id for r in got.collect()] == sorted(place, key=lambda i: (*place[i], i))
