@@ -49,6 +49,25 @@ def hash_below(total: int, most: int) -> int:
     return min(2**63 - 1, int(-(2**63) + share * 2**64))
 
 
+#: Ranges that a round of ``nth_lowest`` counts.
+RANGES = 4_096
+
+
+def nth_lowest(rows: DataFrame, column: str, n: int) -> float:
+    """The value of ``column`` (doubles, no nulls) that ``n`` others stand before in ascending order. All rows
+    count: each round counts them by even ranges and goes on inside the range that holds the place."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        at = F.least(F.floor((F.col(column) - low) / (high - low) * RANGES), F.lit(RANGES - 1))
+        inside = rows.filter(F.col(column).between(low, high))
+        for r in inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy("at").collect():
+            if n < r["n"]:
+                break
+            n -= r["n"]
+        low, high = r["low"], r["high"]
+    return low
+
+
 def hashed_sample(rows: DataFrame, most: int, key: str) -> DataFrame:
     """At most ``most`` rows, those with the lowest hashes of ``key``. All but a few more than
     these are left out before any are sent, so what reaches one place is bounded too."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from monofila.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, repeats, sharding, substring_dedup, token_counts
+from monofila.llm import bpe, common, exact_dedup, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, repeats, sharding, substring_dedup, token_counts
 
 
 def tuples(df, *columns):
@@ -475,3 +475,29 @@ def test_quality_classifier_at_the_edges(odd, nothing, docs, labels):
     assert got.count() == odd.count() and not [r for r in got.filter("doc_id = 7").collect() if r.kept]
     assert quality_classifier.quality_classifier(nothing, labels).collect() == []
     assert quality_classifier.quality_classifier(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_nth_lowest_counts_every_row(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.random(500), np.full(300, 0.25), 1e-9 * rng.random(200)])
+    rows = spark.createDataFrame([(float(v),) for v in values], "score double").repartition(4)
+    for n in (0, 150, 420, 999):
+        assert common.nth_lowest(rows, "score", n) == np.sort(values)[n]
+
+
+def test_thresholds_come_from_every_labelled_row(spark):
+    """More labelled rows than were once read; one of them alone lowers the threshold."""
+    n = 30_000
+    scored = spark.range(n).select(F.col("id").alias("doc_id"), (0.4 + F.col("id") / 1e6).alias("score"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = quality_classifier.calibrated(quality_classifier.Scorer(np.zeros(1), 0.0), scored, labels)
+    assert got.threshold == np.quantile(0.4 + np.arange(n) / 1e6, 1 - quality_classifier.KEEP, method="lower")
+
+
+def test_every_labelled_row_may_grow_a_tree(spark):
+    counts = {c: F.lit(100) for c in quality_rules.COUNTS} | {"word_chars": F.col("id") + 100}
+    rows = spark.range(3_000).select(F.col("id").alias("doc_id"), *[x.cast("bigint").alias(c) for c, x in counts.items()], F.lit(0).alias("copy"))
+    got = quality_rules.drawn(rows, 3_000)
+    assert {len(x) for x in got} == {quality_rules.SAMPLE} and len(got) == quality_rules.TREES
+    assert len({x for m in got for x in m[:, 0]}) > 2_900
+    assert all(len(set(m[:, 0])) == quality_rules.SAMPLE for m in got)
