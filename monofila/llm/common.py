@@ -68,13 +68,6 @@ def nth_lowest(rows: DataFrame, column: str, n: int) -> float:
     return low
 
 
-def hashed_sample(rows: DataFrame, most: int, key: str) -> DataFrame:
-    """At most ``most`` rows, those with the lowest hashes of ``key``. All but a few more than
-    these are left out before any are sent, so what reaches one place is bounded too."""
-    h = F.xxhash64(key)
-    return rows.filter(h <= hash_below(rows.count(), most)).orderBy(h, key).limit(most)
-
-
 def shipped(spark: SparkSession, model: object):
     """Broadcast of a small model, with its class, for executors without the package."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))

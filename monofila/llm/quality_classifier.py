@@ -11,7 +11,7 @@ Training sees every vote pattern of the corpus: ``TRAINED`` documents are dealt
 the patterns, rare ones give all they have, and each pattern has at least one. A document weighs
 by the square root of how many of its pattern it stands for, so a kind of junk that is one in
 many thousand still tells. Documents are picked by a hash of id and text. Calibration uses
-``LABELLED`` labelled rows at most. Votes, accuracies and scores cover all documents and whole texts.
+every labelled row. Votes, accuracies and scores cover all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from monofila.llm.common import Words, carried, hash_below, hashed_sample, scratch, shipped, slices, texts, unpacked, utf8
+from monofila.llm.common import Words, carried, hash_below, nth_lowest, scratch, shipped, slices, texts, unpacked, utf8
 from monofila.llm.statistics import rule_counts
 
-TRAINED, LABELLED = 4_096, 20_000
+TRAINED = 4_096
 #: Places for hashed features; the first ``SHAPES`` hold repeats and word shapes, the others words.
 PLACES, SHAPES = 1 << 14, 1 << 11
 KEEP = 0.995
@@ -259,22 +259,20 @@ def train(docs: DataFrame, patterns: DataFrame, trained: int) -> tuple[Scorer, d
     return Scorer.fit(features, target, mass), belief
 
 
-def calibrated(scorer: Scorer, scored: DataFrame, labels: DataFrame, labelled: int, keep: float = KEEP) -> Scorer:
+def calibrated(scorer: Scorer, scored: DataFrame, labels: DataFrame, keep: float = KEEP) -> Scorer:
     """Threshold that keeps ``keep`` of the rows labelled good, 0.5 at most, lowered as far as it
-    rejects no less labelled junk."""
+    rejects no less labelled junk. Every labelled row counts."""
     marks = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    known = scored.select("doc_id", "score").join(marks.filter("quality IS NOT NULL"), "doc_id")
-    rows = hashed_sample(known, labelled, "doc_id").select("score", "quality").toPandas()
-    good = rows.loc[rows["quality"] == 1, "score"].to_numpy()
-    if len(good):
-        most = min(0.5, float(np.quantile(good, 1 - keep, method="lower")))
-        caught = rows.loc[(rows["quality"] != 1) & (rows["score"] < most), "score"].to_numpy()
-        scorer.threshold = (most + float(caught.max())) / 2 if len(caught) else most
+    known = scratch(scored.select("doc_id", "score").join(marks.filter("quality IS NOT NULL"), "doc_id").select("score", "quality"), "labelled-scores")
+    good = known.filter("quality = 1")
+    if n := good.count():
+        most = min(0.5, nth_lowest(good, "score", int((n - 1) * (1 - keep))))
+        caught = known.filter((F.col("quality") != 1) & (F.col("score") < most)).agg(F.max("score")).first()[0]
+        scorer.threshold = most if caught is None else (most + caught) / 2
     return scorer
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, trained: int = TRAINED, labelled: int = LABELLED,
-                       keep: tuple[str, ...] = ()) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, trained: int = TRAINED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, weak_label (posterior of its votes), score, kept.
 
     A document without words scores 0 and is rejected; null counts as empty. A null doc_id
@@ -295,5 +293,5 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, trained: int = TRAINE
                 yield carried(b.slice(i, j - i), "doc_id", *keep, weak_label=pa.array(weak), score=pa.array(scorer.score(values[i:j])))
 
     scored = scratch(rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("doc_id", *keep)) + ", weak_label double, score double"), "scores")
-    threshold = calibrated(scorer, scored, labels, labelled).threshold
+    threshold = calibrated(scorer, scored, labels).threshold
     return scored.withColumn("kept", (F.col("score") >= threshold) & (F.col("score") > 0))
