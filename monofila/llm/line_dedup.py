@@ -4,7 +4,12 @@ A line goes when a line that occurs earlier (by doc_id, then line number) is wit
 distance: one edit per ``CHARS_PER_EDIT`` characters, ``EDITS`` at most. Shorter lines go when they
 are equal to an earlier one. Lines without a word are left alone.
 
-Distinct lines are joined like this: every line is cut into EDITS + 1 even segments. Edits can
+Most lines are near no other one. So each distinct line is given a few coarse keys first, hashes of its
+beginning, middle and end for a range of lengths; lines within the distance share one of them. Spark
+counts the keys, a bounded filter of those that occur again picks the lines that have one, and only
+these lines are joined.
+
+They are joined like this: every line is cut into EDITS + 1 even segments. Edits can
 touch at most EDITS of them, so a line within the distance contains one segment unchanged. An
 index holds (length, segment number, content) of each line; each line probes it with its own
 substrings for every length it could match, only at the places that the edits to the left and
@@ -42,6 +47,8 @@ _BASE = 0xD1342543DE82EF95
 _SAME_LENGTH, _GOES = 1 << 40, 1 << 41
 #: Lines with one key from which on the key's earliest line is tried alone first.
 CROWD = 16
+#: Lengths that have their coarse segments in common; 2 * CHARS_PER_EDIT is a multiple of it.
+WIDTH = 10
 
 
 def edit_distance_within(a: str, b: str, most: int) -> bool:
@@ -102,6 +109,34 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
     return lines.groupBy("line").agg(F.min(F.struct("d", "n", "key")).alias("first"))
 
 
+def coarse_keys(line: Column) -> Column:
+    """Hashes, one of which at least is shared by two lines of CHARS_PER_EDIT characters or more within their distance.
+
+    The longer one's range of lengths is also a range of the other, so both have keys for it with segments of
+    the same size: the beginning, the end and, where two edits are allowed, a middle that lies apart from
+    both. An edit in the beginning and one in the end leave the middle whole and move it by one
+    character at most; each line has it at its place and one character further on.
+    """
+    length = F.length(line)
+
+    def of(start: Column) -> Column:
+        least = start - EDITS
+
+        def key(number: int, at: Column, size: Column) -> Column:
+            return F.xxhash64(F.lit(number), start, F.substring(line, at + 1, size))
+
+        def ends(size: Column) -> list[Column]:
+            return [key(0, F.lit(0), size), key(1, length - size, size)]
+
+        half, third = F.floor(least / 2).cast("int"), F.floor(least / 3).cast("int")
+        middle = least - 2 * third - 1
+        whole = F.array(*ends(third), key(2, third, middle), key(2, third + 1, middle))
+        return F.when(start < 2 * CHARS_PER_EDIT, F.array(*ends(half))).otherwise(whole)
+
+    own, longer = length - length % WIDTH, length + EDITS - (length + EDITS) % WIDTH
+    return F.concat(of(own), F.when(own != longer, of(longer)).otherwise(F.array().cast("array<bigint>")))
+
+
 #: ``mixed`` of every character of the first plane but its last, and the 64 single bits.
 _MIXED = mixed(np.arange(1, 1 << 16, dtype=np.uint64))
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -256,12 +291,16 @@ def cells(ids: pa.Array, size: int) -> np.ndarray:
     return np.stack([value & np.uint64(size - 1), (value >> np.uint64(32)) & np.uint64(size - 1)]).astype(np.int64)
 
 
+def present(values: DataFrame):
+    """Size and broadcast bits of a bounded filter of one column of integers."""
+    size = filter_cells(values.count())
+    bits = repeat_filter(values, size, lambda b: cells(b.column(0), size).ravel(), twice=False)
+    return size, values.sparkSession.sparkContext.broadcast(bits)
+
+
 def lines_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The lines that occur in ``pairs`` and perhaps some others."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    size = filter_cells(ids.count())
-    present = repeat_filter(ids, size, lambda b: cells(b.column("id"), size).ravel(), twice=False)
-    shared = lines.sparkSession.sparkContext.broadcast(present)
+    size, shared = present(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def run(batches):
         bits = np.frombuffer(shared.value, np.uint8)
@@ -271,6 +310,25 @@ def lines_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, lines.schema)
 
 
+def sharing_lines(lines: DataFrame) -> DataFrame:
+    """The lines that have a coarse key in common with another one and perhaps some others."""
+    keyed = lines.withColumn("keys", coarse_keys(F.col("line")))
+    counts = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    size, shared = present(scratch(counts.filter("n > 1").select("key"), "line-keys"))
+
+    def run(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            keys = b.column("keys")
+            found = is_on(bits, cells(keys.flatten(), size)).all(axis=0)
+            # Every line has keys.
+            n = pc.list_value_length(keys).to_numpy()
+            yield b.select(names).filter(pa.array(np.logical_or.reduceat(found, np.cumsum(n) - n)))
+
+    names = lines.columns
+    return keyed.mapInArrow(run, lines.schema)
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, removed (line numbers from 0).
 
@@ -284,7 +342,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 def near_lines(lines: DataFrame) -> DataFrame:
     """Ids of lines (line, id, first, place) near an earlier line, once each."""
     # Shorter lines may not differ at all.
-    long = lines.filter(F.length("line") >= CHARS_PER_EDIT).withColumn("goes", F.lit(False))
+    long = scratch(sharing_lines(lines.filter(F.length("line") >= CHARS_PER_EDIT)), "sharing-lines").withColumn("goes", F.lit(False))
     index = scratch(entries(long, False), "line-index")
     pairs = scratch(crowd_pairs(index), "crowd-pairs")
     if pairs.isEmpty():

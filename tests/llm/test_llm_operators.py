@@ -397,6 +397,46 @@ def test_pairs_of_a_group_do_not_grow_with_its_square(spark, monkeypatch):
     assert sum(pairs[2:]) < 8 * sum(pairs[:2]) and sum(pairs[2:]) < 20 * 2_000
 
 
+def test_near_lines_share_a_coarse_key(spark):
+    """Lines of all lengths around the limits, with as many edits as they may differ by, anywhere."""
+    import random
+
+    rng = random.Random(8)
+    pairs = []
+    for length in [*range(20, 75), 99, 100, 101, 250]:
+        for most in range(3):
+            for _ in range(12):
+                a = [rng.choice("ab é\U0001f600" if rng.random() < 0.5 else "abcdefgh") for _ in range(length)]
+                b = list(a)
+                for _ in range(most):
+                    at = rng.choice([0, len(b) - 1, rng.randrange(len(b)), len(b) // 3, len(b) - len(b) // 3])
+                    b[at : at + 1] = rng.choice([["#"], ["@", b[at]], [b[at], "@"], []])
+                a, b = "".join(a), "".join(b)
+                if min(len(a), len(b)) >= 20 and brute.edit_distance(a, b) <= min(2, min(len(a), len(b)) // 20):
+                    pairs.append((a, b))
+    keys = [line_dedup.coarse_keys(F.col(c)) for c in "ab"]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert len(pairs) > 1_500 and df.filter(~F.arrays_overlap(*keys)).collect() == []
+    assert df.filter(F.exists(keys[0], lambda x: x.isNull()) | (F.size(keys[0]) > 8)).count() == 0
+
+
+def test_lines_unlike_all_others_are_not_indexed(spark, monkeypatch):
+    written = {}
+    write = line_dedup.scratch
+
+    def counted(df, name):
+        out = write(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "scratch", counted)
+    near = template_lines(40)
+    rows = near + [(100 + i, f"{i * 7919 % 100_003:06d} is a line {i * 104_729 % 99_991:06d} like no other one {i * 31_337 % 99_989:06d}") for i in range(2_000)]
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute.line_dedup(near) | {i: [] for i, _ in rows[40:]}
+    assert written["lines"] > 2_000 and written["line-index"] <= 3 * 60
+
+
 def test_line_dedup_with_a_full_filter(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "filter_cells", lambda hashes: 8 * 32_768)
     rows = template_lines(60) + [(100 + i, f"{'line %06d of some other document ' % (i * 7919)}{i}") for i in range(3_000)]
