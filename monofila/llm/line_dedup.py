@@ -120,21 +120,18 @@ def coarse_keys(line: Column) -> Column:
     length = F.length(line)
 
     def of(start: Column) -> Column:
-        least = start - EDITS
+        least, two = start - EDITS, start >= 2 * CHARS_PER_EDIT
 
         def key(number: int, at: Column, size: Column) -> Column:
             return F.xxhash64(F.lit(number), start, F.substring(line, at + 1, size))
 
-        def ends(size: Column) -> list[Column]:
-            return [key(0, F.lit(0), size), key(1, length - size, size)]
-
-        half, third = F.floor(least / 2).cast("int"), F.floor(least / 3).cast("int")
-        middle = least - 2 * third - 1
-        whole = F.array(*ends(third), key(2, third, middle), key(2, third + 1, middle))
-        return F.when(start < 2 * CHARS_PER_EDIT, F.array(*ends(half))).otherwise(whole)
+        size = F.floor(least / F.when(two, 3).otherwise(2)).cast("int")
+        middle = [key(2, size + move, least - 2 * size - 1) for move in (0, 1)]
+        return F.concat(F.array(key(0, F.lit(0), size), key(1, length - size, size)), F.when(two, F.array(*middle)).otherwise(none))
 
+    none = F.array().cast("array<bigint>")
     own, longer = length - length % WIDTH, length + EDITS - (length + EDITS) % WIDTH
-    return F.concat(of(own), F.when(own != longer, of(longer)).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(of(own), F.when(own != longer, of(longer)).otherwise(none))
 
 
 #: ``mixed`` of every character of the first plane but its last, and the 64 single bits.
@@ -311,9 +308,8 @@ def lines_of(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def sharing_lines(lines: DataFrame) -> DataFrame:
-    """The lines that have a coarse key in common with another one and perhaps some others."""
-    keyed = lines.withColumn("keys", coarse_keys(F.col("line")))
-    counts = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    """The lines that have one of their ``keys`` in common with another one and perhaps some others."""
+    counts = lines.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     size, shared = present(scratch(counts.filter("n > 1").select("key"), "line-keys"))
 
     def run(batches):
@@ -323,10 +319,10 @@ def sharing_lines(lines: DataFrame) -> DataFrame:
             found = is_on(bits, cells(keys.flatten(), size)).all(axis=0)
             # Every line has keys.
             n = pc.list_value_length(keys).to_numpy()
-            yield b.select(names).filter(pa.array(np.logical_or.reduceat(found, np.cumsum(n) - n)))
+            yield b.select(out.names).filter(pa.array(np.logical_or.reduceat(found, np.cumsum(n) - n)))
 
-    names = lines.columns
-    return keyed.mapInArrow(run, lines.schema)
+    out = lines.drop("chars", "keys").schema
+    return lines.mapInArrow(run, out)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -340,9 +336,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """Ids of lines (line, id, first, place) near an earlier line, once each."""
+    """Ids of lines (line, id, first, place, chars, keys) near an earlier line, once each."""
     # Shorter lines may not differ at all.
-    long = scratch(sharing_lines(lines.filter(F.length("line") >= CHARS_PER_EDIT)), "sharing-lines").withColumn("goes", F.lit(False))
+    long = scratch(sharing_lines(lines.filter(F.col("chars") >= CHARS_PER_EDIT)), "sharing-lines").withColumn("goes", F.lit(False))
     index = scratch(entries(long, False), "line-index")
     pairs = scratch(crowd_pairs(index), "crowd-pairs")
     if pairs.isEmpty():
@@ -366,7 +362,11 @@ def judged(docs: DataFrame, *keep: str) -> DataFrame:
     # In the order of first occurrence, as far as 43 bits of doc_id and 20 of the line number tell it.
     # The exact order decides which line of a pair goes; this one only picks whom to try first.
     place = F.least(F.greatest("first.d", F.lit(0)), F.lit(2**43 - 1)) * 2**20 + F.least("first.n", F.lit(2**20 - 1))
-    lines = scratch(distinct_lines(rows).withColumns({"id": F.monotonically_increasing_id(), "place": place}), "lines")
+    # Keys are worked out once, not where they are exploded: Spark would infer a filter there that works them out
+    # again. Under a condition, for long lines only, their code would be too large for the JVM to compile.
+    lines = scratch(distinct_lines(rows).withColumns({
+        "id": F.monotonically_increasing_id(), "place": place, "chars": F.length("line"), "keys": coarse_keys(F.col("line")),
+    }), "lines")
     gone = near_lines(lines)
     kept = (
         lines.select("id", "first").join(gone, "id", "left_anti").groupBy("first.d", "first.key")
